@@ -12,8 +12,8 @@ from collections.abc import Callable
 
 import regex
 
-CHUNK_ENTRIES = 500_000
-PIECE_ENTRIES = 250_000
+CHUNK_ENTRIES = 900_000
+PIECE_ENTRIES = 500_000
 KEY_CHARS = 40
 
 

@@ -83,46 +83,37 @@ def minimax(blocks: list[tuple[int, int, bool]], largest: int, shards: int, refi
             exact, upper = _greedy(edges, atomic, sure, shards)
             if exact == upper:
                 return Cuts(sure, exact)
+        # open intervals in which a cut may fall, out to block edges; at most one a shard
+        spans = []
+        for lo, hi in zip(lows, highs, strict=True):
+            i, j = bisect.bisect_right(edges, lo) - 1, bisect.bisect_left(edges, hi)
+            if any(not x for x in atomic[i:j]):
+                spans.append((edges[i], edges[j]))
         ranges: list[list[int]] = []
-        for i, (start, end, single) in enumerate(blocks):
-            if not single and any(lo <= end and hi >= start for lo, hi in zip(lows, highs, strict=True)):
-                if ranges and ranges[-1][1] == start:
-                    ranges[-1][1] = end
-                else:
-                    ranges.append([start, end])
-        wanted = [tuple(r) for r in ranges]
+        for start, end in sorted(spans):
+            if ranges and start <= ranges[-1][1]:
+                ranges[-1][1] = max(end, ranges[-1][1])
+            else:
+                ranges.append([start, end])
+        wanted = [(r[0], r[1]) for r in ranges]
         finer = refine(wanted)
-        kept = [x for x in blocks if x[2] or not any(s <= x[0] and x[1] <= e for s, e in wanted)]
-        blocks = sorted(kept + finer)
+        firsts = [r[0] for r in wanted]
+        inside = lambda x: (at := bisect.bisect_right(firsts, x[0]) - 1) >= 0 and x[1] <= wanted[at][1]
+        blocks = sorted([x for x in blocks if not inside(x)] + finer)
 
 
 def _blocks(groups: DataFrame, ranges: list[tuple[int, int]] | None, count: int) -> list[tuple[int, int, bool]]:
-    """Blocks of the groups in the offset ranges: about ``count`` runs, cut at multiples of a step."""
-    part = groups
-    total = F.lit(True)
-    if ranges is not None:
-        total = F.lit(False)
-        for s, e in ranges:
-            total = total | ((F.col("start") >= s) & (F.col("end") <= e))
-        part = groups.where(total)
-        span = sum(e - s for s, e in ranges)
-    else:
-        span = groups.agg(F.max("end")).first()[0] or 0
-    step = max(1, span // count)
-    rows = part.groupBy(F.floor(F.col("start") / F.lit(step)).alias("b")).agg(F.min("start").alias("s"), F.max("end").alias("e"), F.count(F.lit(1)).alias("n")).select("s", "e", "n").collect()
-    found = sorted((r[0], r[1], r[2] == 1) for r in rows)
+    """Blocks of the groups in the offset ranges: about ``count`` runs of equally many groups."""
     if ranges is None:
-        return found
-    # a step may span a gap between two ranges: such a block is cut in two at the gap
-    out = []
-    for s, e, one in found:
-        for lo, hi in ranges:
-            if s < hi and e > lo:
-                if s >= lo and e <= hi:
-                    out.append((s, e, one))
-                else:
-                    out += _blocks(groups, [(max(s, lo), min(e, hi))], 64)
-    return out
+        part = groups.withColumn("_r", F.lit(0))
+    else:
+        starts = F.array(*[F.lit(s).cast("long") for s, _ in ranges])
+        ends = F.array(*[F.lit(e).cast("long") for _, e in ranges])
+        part = groups.withColumn("_r", F.size(F.filter(starts, lambda s: s <= F.col("start"))) - 1)
+        part = part.where((F.col("_r") >= 0) & (F.col("end") <= F.get(ends, F.col("_r"))))
+    step = max(1, -(-part.count() // count))
+    rows = part.groupBy("_r", F.floor(F.col("place") / F.lit(step)).alias("b")).agg(F.min("start").alias("s"), F.max("end").alias("e"), F.count(F.lit(1)).alias("n")).select("s", "e", "n").collect()
+    return sorted((r[0], r[1], r[2] == 1) for r in rows)
 
 
 def _running(groups: DataFrame) -> DataFrame:
@@ -130,15 +121,14 @@ def _running(groups: DataFrame) -> DataFrame:
     spark = groups.sparkSession
     spread = groups.withColumn("_b", id_bucket(groups, "first", partitions(spark)))
     inside = Window.partitionBy("_b").orderBy("first", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = materialize(spread.withColumn("_end", F.sum("bytes").over(inside)), "shard-groups")
-    sums = rows.groupBy("_b").agg(F.max("_end").alias("t"))
-    before = F.coalesce(F.sum("t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = {r[0]: r[1] for r in sums.select("_b", before.alias("o")).collect()}  # one row per id range
-    if not offsets:
-        return rows.withColumn("end", F.col("_end")).withColumn("start", F.col("_end"))
-    top = max(offsets) + 1
-    shift = F.get(F.array(*[F.lit(offsets.get(i, 0)).cast("long") for i in range(top)]), F.col("_b"))
-    return rows.withColumn("end", F.col("_end") + shift).withColumn("start", F.col("end") - F.col("bytes"))
+    rows = materialize(spread.withColumns({"_end": F.sum("bytes").over(inside), "_place": F.count(F.lit(1)).over(inside)}), "shard-groups")
+    sums = rows.groupBy("_b").agg(F.max("_end").alias("t"), F.max("_place").alias("n"))
+    earlier = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_b", F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("t"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n"))
+    offsets = {r[0]: (r[1], r[2]) for r in sums.collect()}  # one row per id range
+    top = max(offsets, default=-1) + 1
+    shift = lambda i: F.get(F.array(*[F.lit(offsets.get(b, (0, 0))[i]).cast("long") for b in range(top)]), F.col("_b")) if top else F.lit(0)
+    return rows.withColumns({"end": F.col("_end") + shift(0), "place": F.col("_place") - 1 + shift(1)}).withColumn("start", F.col("end") - F.col("bytes"))
 
 
 def _shard_of(ends: list[int], names: list[int]) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 from tessera.llm.common import strings, text_batches
 
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 1_000_000
 MEMO_KEY_CHARS = 48
 
 
