@@ -50,8 +50,8 @@ def _greedy(edges: list[int], atomic: list[bool], capacity: int, shards: int) ->
 def minimax(blocks: list[tuple[int, int, bool]], largest: int, shards: int, refine) -> Cuts:
     """Smallest capacity and its greedy cuts.
 
-    ``blocks``: (start, end, is one group), contiguous in the running sum. ``refine(ranges)`` gives
-    finer blocks for offset ranges; it must end at single groups.
+    ``blocks``: (start, end, is one group), contiguous in the running sum. ``refine(ranges, n)``
+    gives at least ``n`` blocks for offset ranges, or one a group.
     """
     total = blocks[-1][1] if blocks else 0
     if not total:
@@ -96,10 +96,10 @@ def minimax(blocks: list[tuple[int, int, bool]], largest: int, shards: int, refi
             else:
                 ranges.append([start, end])
         wanted = [(r[0], r[1]) for r in ranges]
-        finer = refine(wanted)
         firsts = [r[0] for r in wanted]
         inside = lambda x: (at := bisect.bisect_right(firsts, x[0]) - 1) >= 0 and x[1] <= wanted[at][1]
-        blocks = sorted([x for x in blocks if not inside(x)] + finer)
+        kept = [x for x in blocks if not inside(x)]
+        blocks = sorted(kept + refine(wanted, 2 * (len(blocks) - len(kept))))
 
 
 def _blocks(groups: DataFrame, ranges: list[tuple[int, int]] | None, count: int) -> list[tuple[int, int, bool]]:
@@ -168,7 +168,7 @@ def shard(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "tex
     rest = _running(groups.where(~big)) if alone else _running(groups)
     largest = rest.agg(F.max("bytes")).first()[0] or 0
     blocks = _blocks(rest, None, BLOCKS)
-    cuts = minimax(blocks, largest, room, lambda ranges: _blocks(rest, ranges, BLOCKS))
+    cuts = minimax(blocks, largest, room, lambda ranges, n: _blocks(rest, ranges, max(n, BLOCKS)))
     placed = rest.select("key", _shard_of(cuts.ends, list(range(room))).cast("int").alias("shard"))
     if alone:
         own = F.lit(None).cast("int")
