@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, fingerprints, jaccard, pii, quality, sharding, token_counts, token_files
+from tessera.llm import bpe, decontaminate, fingerprints, jaccard, pii, quality, repeats, sharding, token_counts, token_files
 
 SHARDS = 40
 
@@ -40,6 +40,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.spans(docs, pii.fit(docs))
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_decontamination": op4_decontamination,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_pii": op7_pii,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_files": op9_token_files,
