@@ -121,6 +121,17 @@ def text_batches(batches, rows: int = 2000, chars: int = 8_000_000):
             at += step
 
 
+#: Most ids that are broadcast; with more, rows are matched by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, doc_id: str) -> DataFrame:
+    """``docs`` without the rows whose id is in the one column of ``ids``; null ids stay."""
+    ids = materialize(ids.select(F.col(ids.columns[0]).alias("_gone")).where("_gone IS NOT NULL").distinct(), "gone")
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, docs[doc_id] == ids["_gone"], "left_anti")
+
+
 def strings(column: pa.Array) -> list[str]:
     """Texts of an Arrow column; null counts as empty."""
     return [x or "" for x in column.to_pylist()]

@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import without
+
 WINDOW = 8
 #: Words of a window that must be literal, else it says too little.
 LITERALS = 4
@@ -121,5 +123,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; rows with a null id stay."""
-    found = contamination(docs, benchmark, doc_id).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, docs[doc_id] == found["_found"], "left_anti")
+    return without(docs, contamination(docs, benchmark, doc_id).select("doc_id"), doc_id)

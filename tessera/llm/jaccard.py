@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles
-from tessera.llm.common import materialize, strings, text_batches
+from tessera.llm.common import BROADCAST_IDS, materialize, strings, text_batches, without
 from tessera.llm.components import components
 
 SKETCH = 64
@@ -38,8 +38,6 @@ SHORT_LIST = 64
 #: of 32 posted shingles linked sets share 3/4 on average, under 6 with a chance of 1e-11.
 MEETINGS = 6
 PIVOTS = 8
-#: Most ids that are broadcast; with more, texts are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
@@ -198,6 +196,20 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each linked group: that of the smallest id.
+
+    Documents without words and rows with a null id stay. Of rows that repeat an id one stays.
+    """
+    found = materialize(jaccard_components(docs, doc_id, text), "jaccard-found")
+    kept = without(docs, found.where("component_id <> doc_id").select("doc_id"), doc_id)
+    named = found.where("doc_id IS NOT NULL")
+    if named.count() != named.select("doc_id").distinct().count():
+        order = Window.partitionBy(doc_id).orderBy(*[F.col(c) for c in kept.columns if c != doc_id])
+        kept = kept.withColumn("_row", F.row_number().over(order)).where((F.col("_row") == 1) | F.col(doc_id).isNull()).drop("_row")
+    return kept
+
+
 def _long_lists(rows: DataFrame, full: DataFrame, links: list[DataFrame], labels: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """Answer the long lists by pivots, a few more a round, until each list is one component or used up.
 

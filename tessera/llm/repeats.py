@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles
-from tessera.llm.common import materialize, strings, text_batches
+from tessera.llm.common import BROADCAST_IDS, materialize, strings, text_batches
 
 LENGTH = 50
 GRAM = 8
@@ -31,7 +31,6 @@ REST = LENGTH - SEED
 REACH = 50
 #: Suffixes of one seed that are sorted in one task; with more, windows are counted instead.
 SORTED = 2_000
-BROADCAST_IDS = 2_000_000
 
 
 def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
