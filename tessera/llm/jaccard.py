@@ -7,12 +7,13 @@ too few lists can't be similar and is skipped unseen. In long ones a few sets at
 pivots and are compared with all others; a set found to be linked with a pivot shares the pivot's
 answers (its component), so pairs inside a component are never compared.
 
-Which shingles are posted. For a set of at most 64 shingles: its first quarter plus one, frequent
-shingles last; two linked sets can't miss each other. For a larger set: of the 64 smallest hashes
-the first 32 that aren't frequent, and, if over three tenths are frequent, the first 32 frequent
-ones as well. Two linked sets share at least 58 % of one of those kinds, so that none of the 32 is
-shared has a chance under 0.42 ** 32, about 1e-12 a pair, like that of a hash collision.
-``FREQUENT`` shingles at most are treated as frequent; which ones only moves work about.
+Which shingles are posted. All sets order shingles alike: those that aren't frequent by hash, then
+frequent ones by hash. A set of at most 64 shingles, or with more than half of its 64 smallest
+hashes frequent, posts the first quarter of its order plus one; two such sets that are linked can't
+miss each other. Other sets post the first 32 of their 64 smallest hashes that aren't frequent. Of
+those a linked partner shares at least half, so none of the 32 is shared with a chance of 2 ** -32
+at worst and 4 ** -32 where frequent shingles are rare, like that of a hash collision. At most
+``FREQUENT`` shingles are treated as frequent; which ones only moves work about.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ SKETCH = 64
 POSTED = 32
 #: A shingle posted by more sets than OFTEN is frequent; at most FREQUENT of them, the most common.
 OFTEN = 32
-FREQUENT = 20_000
+FREQUENT = 100_000
 #: Lists up to this length give their pairs directly.
 SHORT_LIST = 64
 #: Pairs of two large sets without frequent shingles that meet in fewer lists are no candidates:
@@ -59,38 +60,69 @@ def _sketches(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, key binary, low array<long>")
 
 
-def _posted(low: np.ndarray, n: int, frequent: np.ndarray) -> tuple[np.ndarray, bool]:
-    """Shingles that a set posts, and whether pairs of it must not be judged by meetings."""
+def _is_frequent(x: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    if not len(frequent):
+        return np.zeros(len(x), bool)
+    return frequent[np.minimum(np.searchsorted(frequent, x), len(frequent) - 1)] == x
+
+
+def _prefix(x: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """First quarter of a whole set plus one, frequent shingles last."""
+    hot = _is_frequent(x, frequent)
+    return np.concatenate([x[~hot], x[hot]])[: len(x) // 4 + 1]
+
+
+def _posted(low: np.ndarray, n: int, frequent: np.ndarray) -> np.ndarray | None:
+    """Shingles that a larger set posts; None where it takes the whole set to tell."""
     x = low.view(np.uint64)
-    at = np.searchsorted(frequent, x)
-    hot = (frequent[np.minimum(at, len(frequent) - 1)] == x) if len(frequent) else np.zeros(len(x), bool)
-    if n <= SKETCH:
-        ordered = np.concatenate([x[~hot], x[hot]])
-        return ordered[: n // 4 + 1], True
-    own = x[~hot][:POSTED]
-    if hot.sum() > 0.3 * len(x) or len(own) < POSTED:
-        return np.concatenate([own, x[hot][:POSTED]]), True
-    return own, False
+    own = x[~_is_frequent(x, frequent)][:POSTED]
+    return own if len(own) == POSTED else None
 
 
-def _postings(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """One row per posted shingle: h, rep, n, free (see ``_posted``)."""
+def _post_batch(rows: list[tuple[int, np.ndarray, bool]], ns: list[int]) -> pa.RecordBatch:
+    hs = [h.view(np.int64) for _, h, _ in rows]
+    size = [len(h) for h in hs]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate([*hs, np.zeros(0, np.int64)])),
+            pa.array(np.repeat(np.array([r for r, _, _ in rows], np.int64), size)),
+            pa.array(np.repeat(np.array(ns, np.int64), size)),
+            pa.array(np.repeat(np.array([f for _, _, f in rows], bool), size)),
+        ],
+        names=["h", "rep", "n", "free"],
+    )
 
-    def run(batches):
+
+POSTING = "h long, rep long, n long, free boolean"
+
+
+def _postings(docs: DataFrame, sets: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """One row per posted shingle: h, rep, n, free (pairs of it must not be judged by meetings)."""
+
+    def from_sketch(batches):
         for part in batches:
-            hs, reps, ns, free = [], [], [], []
+            rows, ns = [], []
             lists = part.column(2)
             flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             for i, (rep, n) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
-                h, f = _posted(flat[offsets[i] : offsets[i + 1]], n, frequent)
-                hs.append(h)
-                reps.append(np.full(len(h), rep, np.int64))
-                ns.append(np.full(len(h), n, np.int64))
-                free.append(np.full(len(h), f))
-            if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(reps)), pa.array(np.concatenate(ns)), pa.array(np.concatenate(free))], names=["h", "rep", "n", "free"])
+                low = flat[offsets[i] : offsets[i + 1]]
+                h = _prefix(low.view(np.uint64), frequent) if n <= SKETCH else _posted(low, n, frequent)
+                # a row of no shingle asks for the whole set
+                rows.append((rep, np.zeros(1, np.uint64) if h is None else h, h is None or n <= SKETCH))
+                ns.append(-1 if h is None else n)
+            yield _post_batch(rows, ns)
+
+    def from_text(batches):
+        for part in text_batches(batches, rows=1000):
+            whole = shingles.sets([t.encode("utf-8", "surrogatepass") for t in strings(part.column(1))])
+            rows = [(rep, _prefix(s, frequent), True) for rep, s in zip(part.column(0).to_pylist(), whole, strict=True)]
+            yield _post_batch(rows, [len(s) for s in whole])
 
-    return sets.select("rep", "n", "low").mapInArrow(run, "h long, rep long, n long, free boolean")
+    first = materialize(sets.select("rep", "n", "low").mapInArrow(from_sketch, POSTING), "jaccard-postings")
+    asked = first.where("n < 0").select("rep")
+    wanted = F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked
+    rest = docs.join(wanted, docs["doc_id"] == asked["rep"], "left_semi").mapInArrow(from_text, POSTING)
+    return first.where("n >= 0").unionByName(materialize(rest, "jaccard-prefixes"))
 
 
 def _compatible(a: str, b: str):
@@ -163,7 +195,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     often = sets.select(F.explode(F.slice("low", 1, POSTED)).alias("h")).groupBy("h").count().where(F.col("count") > OFTEN)
     hot = [r[0] for r in often.orderBy(F.desc("count"), "h").limit(FREQUENT).select("h").collect()]
     frequent = np.sort(np.array(hot, np.int64).view(np.uint64))
-    postings = materialize(_postings(sets, frequent), "jaccard-postings")
+    postings = _postings(src, sets, frequent)
     lists = postings.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     shared = materialize(postings.join(lists, "h"), "jaccard-lists")
 
@@ -214,8 +246,8 @@ def _long_lists(rows: DataFrame, full: DataFrame, links: list[DataFrame], labels
     """Answer the long lists by pivots, a few more a round, until each list is one component or used up.
 
     A pivot is compared with every set of its lists that it isn't connected with; then it leaves
-    the lists, as all its pairs there are answered. Pivots follow a hash of the set's id, so lists
-    of one family of near copies share them.
+    the lists, as all its pairs there are answered. Sets of small components go first, then a hash
+    of the set's id decides, so lists of one family of near copies share their pivots.
     """
     count = PIVOTS
     rows = materialize(rows, "jaccard-long")
@@ -226,13 +258,15 @@ def _long_lists(rows: DataFrame, full: DataFrame, links: list[DataFrame], labels
         rows = materialize(placed.join(open_lists, "h").withColumn("o", F.xxhash64("rep")), "jaccard-open")
         if rows.isEmpty():
             return links, labels
-        # the first few of each list by hash order; the limit per list is taken before the shuffle
-        rank = F.row_number().over(Window.partitionBy("h").orderBy("o", "rep"))
-        pivots = rows.withColumn("_k", rank).where(F.col("_k") <= count).select("h", F.col("rep").alias("p"), F.col("n").alias("np"), F.col("component").alias("cp"), F.col("_k"))
+        # of the smallest component in a list first: once only one is left, the list is answered
+        share = rows.groupBy("h", "component").agg(F.count(F.lit(1)).alias("_c"))
+        ranked = rows.join(share, ["h", "component"])
+        rank = F.row_number().over(Window.partitionBy("h").orderBy("_c", "o", "rep"))
+        pivots = ranked.withColumn("_k", rank).where(F.col("_k") <= count).select("h", F.col("rep").alias("p"), F.col("n").alias("np"), F.col("component").alias("cp"))
         pivots = materialize(pivots, "jaccard-pivots")
         pair = pivots.join(rows, "h").where((F.col("p") != F.col("rep")) & (F.col("cp") != F.col("component")) & (F.least("n", "np") * 100 >= F.greatest("n", "np") * 75))
         pair = pair.select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
         links.append(_linked(pair, full))
         labels = _labels(links)
-        rows = rows.join(pivots.select("h", F.col("p").alias("rep")), ["h", "rep"], "left_anti").select("h", "rep", "n")
+        rows = rows.select("h", "rep", "n").join(pivots.select("h", F.col("p").alias("rep")), ["h", "rep"], "left_anti")
         count *= 2
