@@ -204,7 +204,7 @@ def fit_counts(counts: dict[tuple[int, tuple[int, ...]], int], rounds: int = 200
             q = new
             break
         q = new
-    x = np.array([_row(k, vote) for k, vote in keys]).reshape(len(keys), -1)
+    x = np.array([_row(k, vote) for k, vote in keys])
     w = np.zeros(1 + len(KINDS) + 2 * len(LABELERS))
     scale = np.sqrt(n) if keys else n  # frequent patterns count more, yet don't drown rare ones
     for _ in range(50 if keys else 0):
