@@ -1,11 +1,12 @@
 """Jaccard self-join over word shingles, by set relations.
 
 Documents with equal sets form one class. Each class posts a few of its shingles in hash order to
-an index. Index lists are sorted by set size, so partners outside the size range are skipped as a
-block. Lists are answered in two ways. Short ones give their pairs directly; a pair that meets in
-too few lists can't be similar and is skipped unseen. In long ones a few sets at a time act as
-pivots and are compared with all others; a set found to be linked with a pivot shares the pivot's
-answers (its component), so pairs inside a component are never compared.
+an index. Lists are answered in two ways. Short ones give their pairs directly; sizes that can't
+match are skipped, a pair that meets in too few lists can't be similar and is skipped unseen, and
+each set is first compared with the one it meets most: what that links shares its answers (its
+component), so pairs inside a component are never compared. Long lists that aren't yet inside one
+component are cut into blocks by set size; blocks of sizes too far apart are skipped, and the
+overlaps inside two blocks come from one matrix product, where each set is sent once.
 
 Which shingles are posted. All sets order shingles alike: those that aren't frequent by hash, then
 frequent ones by hash. A set of at most 64 shingles, or with more than half of its 64 smallest
@@ -38,14 +39,17 @@ SHORT_LIST = 64
 #: Pairs of two large sets without frequent shingles that meet in fewer lists are no candidates:
 #: of 32 posted shingles linked sets share 3/4 on average, under 6 with a chance of 1e-11.
 MEETINGS = 6
-PIVOTS = 8
+#: Sets and shingles of a block of a long list, and shingles in one matrix product.
+BLOCK_SETS = 1024
+BLOCK_ITEMS = 400_000
+COLUMNS = 2048
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n (set size), key (128 bits of the sorted set), low (its 64 smallest hashes)."""
 
     def run(batches):
-        for part in text_batches(batches, rows=1000):
+        for part in text_batches(batches, rows=500):
             sets = shingles.sets([t.encode("utf-8", "surrogatepass") for t in strings(part.column(1))])
             yield pa.RecordBatch.from_arrays(
                 [
@@ -113,7 +117,7 @@ def _postings(docs: DataFrame, sets: DataFrame, frequent: np.ndarray) -> DataFra
             yield _post_batch(rows, ns)
 
     def from_text(batches):
-        for part in text_batches(batches, rows=1000):
+        for part in text_batches(batches, rows=500):
             whole = shingles.sets([t.encode("utf-8", "surrogatepass") for t in strings(part.column(1))])
             rows = [(rep, _prefix(s, frequent), True) for rep, s in zip(part.column(0).to_pylist(), whole, strict=True)]
             yield _post_batch(rows, [len(s) for s in whole])
@@ -136,7 +140,7 @@ def _full_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
     texts = docs.join(wanted, docs["doc_id"] == reps["rep"], "left_semi")
 
     def run(batches):
-        for part in text_batches(batches, rows=1000):
+        for part in text_batches(batches, rows=500):
             sets = shingles.sets([t.encode("utf-8", "surrogatepass") for t in strings(part.column(1))])
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "items"])
 
@@ -220,7 +224,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     links.append(_linked(_across(rest, labels), full))
 
     labels = _labels(links)
-    links, labels = _long_lists(long.select("h", "rep", "n"), full, links, labels)
+    links.append(_long_lists(long.select("h", "rep", "n"), full, labels))
+    labels = _labels(links)
 
     found = sets.select("key", "rep").join(labels, sets["rep"] == labels["node"], "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     out = base.select("doc_id", "n", "key").join(found, "key", "left")
@@ -242,31 +247,72 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return kept
 
 
-def _long_lists(rows: DataFrame, full: DataFrame, links: list[DataFrame], labels: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Answer the long lists by pivots, a few more a round, until each list is one component or used up.
+def _block_links(reps: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links among the sets of one unit, as a star (member, first) for each component.
 
-    A pivot is compared with every set of its lists that it isn't connected with; then it leaves
-    the lists, as all its pairs there are answered. Sets of small components go first, then a hash
-    of the set's id decides, so lists of one family of near copies share their pivots.
+    All overlaps come from products of membership matrices, a bounded number of shingles at a time;
+    shingles of one set alone can't add to an overlap and are left out.
+    """
+    size = np.array([len(x) for x in sets])
+    flat = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), size)
+    values, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    place = np.cumsum(count > 1) - 1
+    keep = count[column] > 1
+    row, column = row[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    overlap = np.zeros((len(sets), len(sets)), np.float32)
+    width = int(place[-1]) + 1 if len(place) else 0
+    for first in range(0, width, COLUMNS):
+        lo, hi = np.searchsorted(column, (first, first + COLUMNS))
+        x = np.zeros((len(sets), min(COLUMNS, width - first)), np.float32)
+        x[row[lo:hi], column[lo:hi] - first] = 1
+        overlap += x @ x.T
+    near = 100 * overlap >= 75 * (size[:, None] + size[None, :] - overlap)
+    root = np.full(len(sets), -1)
+    for i in range(len(sets)):
+        if root[i] < 0:
+            front = np.array([i])
+            root[i] = i
+            while len(front):
+                reached = near[front].any(axis=0) & (root < 0)
+                front = np.flatnonzero(reached)
+                root[front] = i
+    tied = np.flatnonzero(root != np.arange(len(sets)))
+    return reps[tied], reps[root[tied]]
+
+
+def _long_lists(rows: DataFrame, full: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links (a, b) found in the long lists, as stars; lists inside one component are skipped.
+
+    A list is dealt into blocks of bounded rows and shingles, by size class where it takes several,
+    and a task gets two blocks at most: sets of classes too far apart never meet. Each set is sent
+    once a unit, not once a pair, and only a spanning star of the links comes out.
     """
-    count = PIVOTS
-    rows = materialize(rows, "jaccard-long")
-    while True:
-        known = labels.select(F.col("node").alias("rep"), "component")
-        placed = rows.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        open_lists = placed.groupBy("h").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("h")
-        rows = materialize(placed.join(open_lists, "h").withColumn("o", F.xxhash64("rep")), "jaccard-open")
-        if rows.isEmpty():
-            return links, labels
-        # of the smallest component in a list first: once only one is left, the list is answered
-        share = rows.groupBy("h", "component").agg(F.count(F.lit(1)).alias("_c"))
-        ranked = rows.join(share, ["h", "component"])
-        rank = F.row_number().over(Window.partitionBy("h").orderBy("_c", "o", "rep"))
-        pivots = ranked.withColumn("_k", rank).where(F.col("_k") <= count).select("h", F.col("rep").alias("p"), F.col("n").alias("np"), F.col("component").alias("cp"))
-        pivots = materialize(pivots, "jaccard-pivots")
-        pair = pivots.join(rows, "h").where((F.col("p") != F.col("rep")) & (F.col("cp") != F.col("component")) & (F.least("n", "np") * 100 >= F.greatest("n", "np") * 75))
-        pair = pair.select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
-        links.append(_linked(pair, full))
-        labels = _labels(links)
-        rows = rows.select("h", "rep", "n").join(pivots.select("h", F.col("p").alias("rep")), ["h", "rep"], "left_anti")
-        count *= 2
+    known = labels.select(F.col("node").alias("rep"), "component")
+    placed = rows.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    lists = placed.groupBy("h").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("_c"), F.sum("n").alias("_n")).where("_lo <> _hi")
+    many = (F.col("_c") > BLOCK_SETS) | (F.col("_n") > BLOCK_ITEMS)
+    # sizes of one class differ by less than 4/3, so links stay inside a class or join neighbours
+    size_class = F.when(many, F.floor(F.log("n") / F.log(F.lit(4 / 3)))).otherwise(F.lit(0)).cast("int")
+    rows = placed.join(lists.select("h", "_c", "_n"), "h").select("h", "rep", "n", size_class.alias("s"))
+    blocks = rows.groupBy("h", "s").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_ITEMS)).cast("int").alias("k"))
+    rows = materialize(rows.join(blocks, ["h", "s"]).select("h", "rep", "s", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int").alias("b")), "jaccard-long")
+    each = blocks.select("h", "s", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("b"))
+    other = each.select("h", F.col("s").alias("s2"), F.col("b").alias("b2"))
+    units = each.join(other, "h").where(((F.col("s2") == F.col("s")) & (F.col("b2") >= F.col("b"))) | (F.col("s2") == F.col("s") + 1))
+    # a block that meets another also meets itself there; alone it is its own unit
+    units = units.withColumn("unit", F.xxhash64("h", "s", "b", "s2", "b2"))
+    first = units.select("unit", "h", "s", "b")
+    second = units.where("s <> s2 OR b <> b2").select("unit", "h", F.col("s2").alias("s"), F.col("b2").alias("b"))
+    dealt = rows.join(first.unionByName(second), ["h", "s", "b"]).select("unit", "rep")
+    dealt = dealt.join(full, "rep")
+
+    def link(table: pa.Table) -> pa.Table:
+        reps = table.column("rep").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("items")]
+        a, b = _block_links(reps, sets)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return materialize(dealt.groupBy("unit").applyInArrow(link, "a long, b long"), "jaccard-family-links")

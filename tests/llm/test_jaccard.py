@@ -56,7 +56,8 @@ def test_query(spark, small, texts):
     assert answer(QUERIES["op5_jaccard_join"](spark, small)) == plain(texts)
 
 
-def test_families_and_boilerplate(spark, monkeypatch):
+@pytest.mark.parametrize("blocks", [7, 1024])
+def test_families_and_boilerplate(spark, monkeypatch, blocks):
     """Large families of near copies, a passage in most documents, and borderline likenesses."""
     rng = random.Random(9)
     word = lambda: "".join(rng.choices("abcdefgh", k=6))
@@ -75,7 +76,8 @@ def test_families_and_boilerplate(spark, monkeypatch):
     rng.shuffle(rows)
     monkeypatch.setattr(jaccard, "SHORT_LIST", 12)
     monkeypatch.setattr(jaccard, "OFTEN", 8)
-    monkeypatch.setattr(jaccard, "PIVOTS", 2)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", blocks)
+    monkeypatch.setattr(jaccard, "COLUMNS", 64)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert answer(jaccard.jaccard_components(df)) == plain(sorted(rows))
 
