@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, fingerprints, jaccard, pii, quality, repeats, sharding, token_counts, token_files
+from tessera.llm import bpe, decontaminate, fingerprints, jaccard, pii, quality, repeats, sharding, sql, token_counts, token_files
 
 SHARDS = 40
 
@@ -77,4 +77,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = sql.ORACLE_SQL
