@@ -1,12 +1,13 @@
 """Jaccard self-join over word shingles, by set relations.
 
 Documents with equal sets form one class. Each class posts a few of its shingles in hash order to
-an index. Lists are answered in two ways. Short ones give their pairs directly; sizes that can't
-match are skipped, a pair that meets in too few lists can't be similar and is skipped unseen, and
-each set is first compared with the one it meets most: what that links shares its answers (its
-component), so pairs inside a component are never compared. Long lists that aren't yet inside one
-component are cut into blocks by set size; blocks of sizes too far apart are skipped, and the
-overlaps inside two blocks come from one matrix product, where each set is sent once.
+an index. Short lists give their pairs: sizes that can't match are skipped, and so is a pair that
+meets in too few lists or whose smallest hashes differ too much. What is left hangs together in
+families of similar sets, and a family's answers come from one matrix product of its sets; only a
+spanning star of its links goes on, as sets of one component share their answers. Long lists that
+aren't inside one component by then are cut into blocks by set size; blocks of sizes too far apart
+are skipped, and two blocks at a time are answered like a family. Each set is sent once a family or
+pair of blocks, never once a pair of sets.
 
 Which shingles are posted. All sets order shingles alike: those that aren't frequent by hash, then
 frequent ones by hash. A set of at most 64 shingles, or with more than half of its 64 smallest
@@ -147,6 +148,35 @@ def _full_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
     return materialize(texts.mapInArrow(run, "rep long, items binary"), "jaccard-sets")
 
 
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` without those whose smallest hashes speak against a link.
+
+    Up to the smaller of the two largest known hashes both sets are known whole: a sample of their
+    union by hash, of 64 or more (or all of it). A pair that shares under two fifths of it goes;
+    for a linked one, which shares three quarters on average, the chance of that is about 1e-10.
+    """
+    left = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("low").alias("x"))
+    right = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("low").alias("y"))
+    both = pairs.select("a", "b", "met").join(left, "a").join(right, "b").select("a", "b", "met", "na", "nb", "x", "y")
+
+    def run(batches):
+        for part in batches:
+            keep = []
+            lists = []
+            for at in (5, 6):
+                c = part.column(at)
+                flat, offsets = c.values.to_numpy(zero_copy_only=False).view(np.uint64), c.offsets.to_numpy()
+                lists.append([flat[offsets[i] : offsets[i + 1]] for i in range(part.num_rows)])
+            for na, nb, p, q in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), *lists, strict=True):
+                z = np.concatenate([p[p <= q[-1]] if nb > SKETCH else p, q[q <= p[-1]] if na > SKETCH else q])
+                z.sort()
+                same = int((z[1:] == z[:-1]).sum())
+                keep.append(5 * same >= 2 * (len(z) - same))
+            yield pa.RecordBatch.from_arrays(part.columns[:5], names=["a", "b", "met", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long, met long, na long, nb long")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets have 100 * intersection >= 75 * union."""
     left = sets.select(F.col("rep").alias("a"), F.col("items").alias("x"))
@@ -212,17 +242,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.max(F.col("fa") | F.col("fb")).alias("free"))
     pairs = pairs.join(in_long.withColumnRenamed("rep", "a").withColumnRenamed("_long", "la"), "a", "left").join(in_long.withColumnRenamed("rep", "b").withColumnRenamed("_long", "lb"), "b", "left")
     pairs = pairs.where((F.col("met") >= MEETINGS) | F.col("free") | F.col("la") | F.col("lb")).select("a", "b", "met")
-    pairs = materialize(pairs, "jaccard-pairs")
-
+    pairs = materialize(_alike(pairs, sets), "jaccard-pairs")
     involved = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(long.select("rep")).distinct()
     full = _full_sets(src, materialize(involved, "jaccard-involved"))
-    # each set with the partner it meets most first; then what is left between components
-    best = pairs.groupBy("b").agg(F.max(F.struct("met", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    links = [_linked(best, full)]
-    labels = _labels(links)
-    rest = pairs.join(best.withColumn("_done", F.lit(True)), ["a", "b"], "left").where("_done IS NULL")
-    links.append(_linked(_across(rest, labels), full))
-
+    links = _short_lists(pairs, full)
     labels = _labels(links)
     links.append(_long_lists(long.select("h", "rep", "n"), full, labels))
     labels = _labels(links)
@@ -247,6 +270,42 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return kept
 
 
+def _short_lists(pairs: DataFrame, full: DataFrame) -> list[DataFrame]:
+    """Links among the candidate pairs.
+
+    Pairs that hang together form a family. Families that fit into one unit are answered by a
+    matrix product, each set sent once. In larger ones a set is first compared with the one it meets
+    most; what is left between components comes after.
+    """
+    family = materialize(components(pairs.select("a", "b")), "jaccard-families")
+    sizes = pairs.select(F.col("a").alias("node"), F.col("na").alias("n")).unionByName(pairs.select(F.col("b").alias("node"), F.col("nb").alias("n"))).distinct()
+    totals = family.join(sizes, "node").groupBy("component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t"))
+    large = totals.where((F.col("c") > 2 * BLOCK_SETS) | (F.col("t") > 2 * BLOCK_ITEMS)).select("component")
+    unit = family.join(large, "component", "left_anti").select(F.col("component").alias("unit"), F.col("node").alias("rep"))
+    links = [_unit_links(unit, full, "jaccard-small-links")]
+    if large.isEmpty():
+        return links
+    inside = family.join(large, "component").select(F.col("node").alias("a"))
+    pairs = materialize(pairs.join(inside, "a", "left_semi"), "jaccard-large-pairs")
+    best = pairs.groupBy("b").agg(F.max(F.struct("met", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+    links.append(_linked(best, full))
+    rest = pairs.join(best.withColumn("_done", F.lit(True)), ["a", "b"], "left").where("_done IS NULL")
+    links.append(_linked(_across(rest, _labels(links)), full))
+    return links
+
+
+def _unit_links(units: DataFrame, full: DataFrame, name: str) -> DataFrame:
+    """Links inside each unit (unit, rep) of bounded size, as stars."""
+
+    def link(table: pa.Table) -> pa.Table:
+        reps = table.column("rep").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("items")]
+        a, b = _block_links(reps, sets)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return materialize(units.join(full, "rep").groupBy("unit").applyInArrow(link, "a long, b long"), name)
+
+
 def _block_links(reps: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Links among the sets of one unit, as a star (member, first) for each component.
 
@@ -307,12 +366,4 @@ def _long_lists(rows: DataFrame, full: DataFrame, labels: DataFrame) -> DataFram
     first = units.select("unit", "h", "s", "b")
     second = units.where("s <> s2 OR b <> b2").select("unit", "h", F.col("s2").alias("s"), F.col("b2").alias("b"))
     dealt = rows.join(first.unionByName(second), ["h", "s", "b"]).select("unit", "rep")
-    dealt = dealt.join(full, "rep")
-
-    def link(table: pa.Table) -> pa.Table:
-        reps = table.column("rep").to_numpy()
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("items")]
-        a, b = _block_links(reps, sets)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return materialize(dealt.groupBy("unit").applyInArrow(link, "a long, b long"), "jaccard-family-links")
+    return _unit_links(dealt, full, "jaccard-long-links")
