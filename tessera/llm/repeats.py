@@ -119,24 +119,24 @@ def _contexts(texts: DataFrame) -> DataFrame:
                 short = (w >> np.uint64(32)).astype(np.uint32)
                 short[short == 0] = 1
                 padded = np.concatenate([np.zeros(REACH, np.uint32), short, np.zeros(REACH, np.uint32)])
-                windows = None
+                crowded: set[int] = set()
                 for hit in hits:
                     at = hit["at"]
                     if hit["crowded"]:
-                        if windows is None:
-                            windows = shingles.join_hashes(w, LENGTH).view(np.int64)
-                        for s in range(max(0, at - REST), min(at, len(w) - LENGTH) + 1):
-                            out["seed"].append(int(windows[s]))
-                            out["doc"].append(doc)
-                            out["at"].append(s)
-                            out["left"].append(None)
-                            out["right"].append(None)
+                        crowded.update(range(max(0, at - REST), min(at, len(w) - LENGTH) + 1))
                         continue
                     out["seed"].append(hit["seed"])
                     out["doc"].append(doc)
                     out["at"].append(at)
                     out["left"].append(padded[at : at + REACH][::-1].tobytes())
                     out["right"].append(padded[REACH + at + SEED : 2 * REACH + at + SEED].tobytes())
+                if crowded:  # windows of neighbouring seeds overlap; each counts once
+                    starts = sorted(crowded)
+                    out["seed"] += shingles.join_hashes(w, LENGTH).view(np.int64)[starts].tolist()
+                    out["doc"] += [doc] * len(starts)
+                    out["at"] += starts
+                    out["left"] += [None] * len(starts)
+                    out["right"] += [None] * len(starts)
             yield pa.RecordBatch.from_arrays([pa.array(out["seed"], pa.int64()), pa.array(out["doc"], pa.int64()), pa.array(out["at"], pa.int32()), pa.array(out["left"], pa.binary()), pa.array(out["right"], pa.binary())], names=["seed", "doc", "at", "left", "right"])
 
     return texts.mapInArrow(run, "seed long, doc long, at int, left binary, right binary")
@@ -198,7 +198,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     src = docs.select(docs[doc_id].cast("long").alias("doc"), docs[text].cast("string").alias("t")).where("doc IS NOT NULL AND t IS NOT NULL")
 
     def run(batches):
-        for part in text_batches(batches, rows=1000):
+        for part in text_batches(batches, rows=500):
             ids, keys, sizes, ats, hashes = [], [], [], [], []
             for doc, key, w in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), _word_lists(strings(part.column(1))), strict=True):
                 if len(w) < LENGTH:
