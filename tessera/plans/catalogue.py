@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import lengths, text as tx
-from tessera.operators import align, batching, chat, checkpoints, generate, guards, metrics as mt, ordering
+from tessera.operators import align, batching, chat, checkpoints, generate, guards, hooks, metrics as mt, ordering
 from tessera.plans import views as v
 from tessera.plans.views import sql_answer, sql_normalize, sql_strip, sql_tokens, sql_turn, with_views
 from tessera.sources import manifests
@@ -642,3 +642,30 @@ def generate_stub(spark, sf):
     rows = v.captions(spark, sf).select("idx", chat.generation_prompt(tx.truncate_tokens(F.col("caption"), 7500)).alias("prompt"))
     out = generate.generate(rows, "prompt", generate.echo(64))
     return out.select("idx", tx.mark_truncated(F.col("response"), F.col("finish_reason")).alias("response"))
+
+
+@query(
+    "SELECT vec_id, CAST(r AS BIGINT) AS rank, CAST(i AS BIGINT) AS place FROM (SELECT vec_id, i, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS r FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)) WHERE r <= 20"
+)
+def top_k_scores(spark, sf):
+    rows = v.table(spark, sf, "embeddings").select("vec_id", F.posexplode(hooks.top_k(F.col("embedding"), 20)).alias("r", "p"))
+    return rows.select("vec_id", (F.col("r") + 1).cast("long").alias("rank"), F.col("p.place").alias("place"))
+
+
+@query("SELECT * FROM (VALUES (1, 'qa_results-a-iter-5.txt'), (2, 'qa_results-b.txt'), (3, 'qa_results-c.txt')) t(n, name)")
+def result_names(spark, sf):
+    rows = spark.createDataFrame([(1, "a", "iter-5"), (2, "b", ""), (3, "c", None)], "n int, t string, s string")
+    return rows.select("n", hooks.result_name(F.col("t"), F.col("s")).alias("name"))
+
+
+@query("SELECT * FROM (VALUES (1, 'a,<|audio|>'), (2, '<|audio|>,b'), (3, '<|audio|>')) t(n, tokens)")
+def special_tokens(spark, sf):
+    rows = spark.createDataFrame([(1, ["a"]), (2, [tx.AUDIO, "b"]), (3, [])], "n int, t array<string>")
+    return rows.select("n", F.array_join(hooks.register_token(F.col("t"), tx.AUDIO), ",").alias("tokens"))
+
+
+@query("SELECT label, CAST(count(*) AS BIGINT) AS n, CAST(sum(len(embedding)) AS BIGINT) AS width FROM embeddings GROUP BY label")
+def transposed_frames(spark, sf):
+    """Frames of a vector of one channel, turned to channels of one frame each and counted."""
+    rows = v.table(spark, sf, "embeddings").select("label", F.size(align.transpose(F.array("embedding"))).alias("w"))
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("width"))

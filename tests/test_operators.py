@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.operators import align, batching, checkpoints, generate, guards, metrics as mt, ordering
+from tessera.operators import align, batching, checkpoints, generate, guards, hooks, metrics as mt, ordering
 
 
 def test_expand_placeholders(spark):
@@ -146,3 +146,13 @@ def test_generate(spark):
 def test_last_by_key(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 3, "z"), ("a", 2, "y"), ("b", 1, None)], "k string, p int, v string")
     assert {r["k"]: r["v"] for r in generate.last_by_key(df, "k", "p").collect()} == {"a": "z", "b": None}
+
+
+def test_hooks(spark):
+    df = spark.createDataFrame([("a b", [1.0]), (None, [2.0, 3.0])], "t string, s array<float>")
+    got = hooks.tokenize(df, "t", lambda: lambda texts: [[len(w) for w in t.split()] for t in texts]).collect()
+    assert sorted(r["input_ids"] for r in got) == [[], [1, 1]]
+    out = hooks.extract_features(df, "s", lambda: lambda waves: ([[[float(x)] for x in w] for w in waves], [len(w) for w in waves])).collect()
+    assert sorted(r["feature_len"] for r in out) == [1, 2]
+    assert hooks.apply_all(df, [lambda d: d.where("t IS NOT NULL"), lambda d: d.select("t")]).columns == ["t"]
+    assert hooks.freeze(["enc", "no"], ["enc.w", "encoder.w"]) == (["enc"], ["no"])
