@@ -28,14 +28,14 @@ BLOCK = 100_000
 #: Units that may follow a number.
 UNITS = "mm cm m km in ft yd mi mile miles meter meters metre metres kilometer kilometers kilometre kilometres mg g kg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons tonne tonnes ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years kmh mph percent dollar dollars cent cents euro euros usd eur gbp k w kw v hz khz mhz ghz kb mb gb tb".split()
 
-_SEPARATORS = r"[^\p{L}\p{N}%.,]+|[.,](?![0-9])|(?<![0-9])[.,]"
+_SEPARATORS = r"(?:[^\p{L}\p{N}%.,]++|[.,](?![0-9])|(?<![0-9])[.,])+"
 _NUMBER = r"(?<![^ ])[0-9][0-9.,]*(?![^ ])"
 _NAME = r"(?<![^ ])\p{Lu}[^ ]*"
 
 
 def _words(text: Column) -> Column:
     """Text with single spaces between tokens: punctuation goes, a unit stands apart from its number."""
-    apart = F.regexp_replace(text, r"(?<=[0-9])(?=[\p{L}%])", " ")
+    apart = F.when(text.rlike("[0-9]"), F.regexp_replace(text, r"(?<=[0-9])(?=[\p{L}%])", " ")).otherwise(text)
     return F.trim(F.regexp_replace(apart, _SEPARATORS, " "))
 
 
@@ -48,10 +48,9 @@ def _template(words: Column) -> Column:
 
 
 def _tokens(df: DataFrame, text: str, *keep: Column) -> DataFrame:
-    """Columns ``keep``, raw tokens w and template tokens k; rows without a token go."""
-    words = df.select(*keep, _words(F.coalesce(df[text].cast("string"), F.lit(""))).alias("_s")).where("_s <> ''")
-    names = [c for c in words.columns if c != "_s"]
-    return words.select(*names, F.split("_s", " +").alias("w"), F.split(_template(F.col("_s")), " +").alias("k"))
+    """Columns ``keep``, words s (one space apart) and template tokens k; rows without a token go."""
+    words = df.select(*keep, _words(F.coalesce(df[text].cast("string"), F.lit(""))).alias("s")).where("s <> ''")
+    return words.withColumn("k", F.split(_template(F.col("s")), " "))
 
 
 def _window_hashes(k: int) -> Column:
@@ -65,7 +64,7 @@ def _hashed(tokens: DataFrame) -> DataFrame:
 
 def _item_windows(items: DataFrame, k: int) -> DataFrame:
     """Windows of the benchmark with enough literal words: hash, item_id, wpos, bw, bk."""
-    rows = _hashed(items).select("item_id", "w", "k", F.posexplode(_window_hashes(k)).alias("wpos", "hash"))
+    rows = _hashed(items).select("item_id", F.split("s", " ").alias("w"), "k", F.posexplode(_window_hashes(k)).alias("wpos", "hash"))
     rows = rows.select("hash", "item_id", "wpos", F.slice("w", F.col("wpos") + 1, k).alias("bw"), F.slice("k", F.col("wpos") + 1, k).alias("bk"))
     literal = F.size(F.array_distinct(F.filter("bk", lambda x: ~x.startswith("#"))))
     return rows.where(literal >= LITERALS)
@@ -95,11 +94,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         blocks = -(-windows.count() // BLOCK)
         for b in range(blocks):
             block = windows if blocks == 1 else windows.where(F.pmod("hash", F.lit(blocks)) == b)
-            spread = tokens.select("doc_id", "w", F.posexplode(_window_hashes(k)).alias("pos", "hash"))
+            spread = tokens.select("doc_id", "s", F.posexplode(_window_hashes(k)).alias("pos", "hash"))
             met = spread.join(F.broadcast(block), "hash")  # a block is about BLOCK windows of k tokens
             # the template tokens tell a true match from a hash collision only with the raw ones:
             # equal literals are checked here, placeholders by the slots
-            met = met.select("doc_id", "item_id", (F.col("pos") - F.col("wpos")).alias("shift"), "wpos", "bw", "bk", F.slice("w", F.col("pos") + 1, k).alias("dw"))
+            met = met.select("doc_id", "item_id", (F.col("pos") - F.col("wpos")).alias("shift"), "wpos", "bw", "bk", F.slice(F.split("s", " "), F.col("pos") + 1, k).alias("dw"))
             hits.append(met.withColumn("k", F.lit(k)))
     if not hits:
         none = "doc_id {}, item_id {}, n_windows long, item_windows long, coverage double, n_slots long, n_changed long, position long"
