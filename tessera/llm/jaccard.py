@@ -355,7 +355,7 @@ def _long_lists(rows: DataFrame, full: DataFrame, labels: DataFrame) -> DataFram
     many = (F.col("_c") > BLOCK_SETS) | (F.col("_n") > BLOCK_ITEMS)
     # sizes of one class differ by less than 4/3, so links stay inside a class or join neighbours
     size_class = F.when(many, F.floor(F.log("n") / F.log(F.lit(4 / 3)))).otherwise(F.lit(0)).cast("int")
-    rows = placed.join(lists.select("h", "_c", "_n"), "h").select("h", "rep", "n", size_class.alias("s"))
+    rows = materialize(placed.join(lists.select("h", "_c", "_n"), "h").select("h", "rep", "n", size_class.alias("s")), "jaccard-open")
     blocks = rows.groupBy("h", "s").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_ITEMS)).cast("int").alias("k"))
     rows = materialize(rows.join(blocks, ["h", "s"]).select("h", "rep", "s", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int").alias("b")), "jaccard-long")
     each = blocks.select("h", "s", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("b"))
