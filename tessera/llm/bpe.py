@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import strings, text_batches
+from tessera.llm.common import remember, strings, text_batches
 from tessera.llm.pieces import PieceEncoder
 
 OUT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -157,6 +157,7 @@ class ByteBPE:
 
 @lru_cache(maxsize=4)
 def load(path: str, pattern: str) -> ByteBPE:
+    remember("bpe", load.cache_clear)
     return ByteBPE(path, pattern)
 
 
@@ -175,8 +176,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "t
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]), OUT, *(["ids array<int>"] if ids else [])])
 
     def run(batches):
-        bpe = load(ranks_path, pattern)
-        for part in text_batches(batches):
+        for part in text_batches(batches, owner="bpe"):
+            bpe = load(ranks_path, pattern)
             counts, hashed, back, lists = [], [], [], []
             for t in strings(part.column(part.num_columns - 1)):
                 coded = bpe.encode(t)

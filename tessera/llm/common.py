@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,7 +95,8 @@ def order_by_id(docs: DataFrame, key: str, n: int, first_also_before: bool = Fal
     bucket = id_bucket(docs, key, n)
     rows = docs.withColumn("_bucket", bucket)
     if first_also_before:
-        firsts = sorted((r[0], r[1]) for r in docs.select(bucket.alias("b"), key).groupBy("b").agg(F.min(key)).collect() if r[1] is not None or r[0] == 0)
+        least = docs.select(bucket.alias("b"), F.struct(key).alias("k")).groupBy("b").agg(F.min("k"))  # nulls first, as in the sort
+        firsts = sorted(((r[0], r[1][0]) for r in least.collect()), key=lambda r: r[0])
         if firsts:
             # bucket -> (its first key, the nearest earlier bucket with rows, cyclic)
             before = {b: (k, firsts[i - 1][0]) for i, (b, k) in enumerate(firsts)}
@@ -109,16 +113,37 @@ def order_by_id(docs: DataFrame, key: str, n: int, first_also_before: bool = Fal
     return rows.repartitionById(n, F.col("_bucket")).sortWithinPartitions(key)
 
 
-def text_batches(batches, rows: int = 2000, chars: int = 8_000_000):
-    """Slice Arrow batches so that one slice holds few rows and few bytes of text."""
+_MEMOS: dict[str, Callable[[], None]] = {}
+
+
+def remember(owner: str, forget: Callable[[], None]) -> None:
+    """Say how to drop what an operator keeps in a Python worker between tasks."""
+    _MEMOS[owner] = forget
+
+
+def tidy() -> None:
+    """Give memory that a finished task has freed back to the system; workers live on idle."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def text_batches(batches, rows: int = 2000, size: int = 4_000_000, owner: str = ""):
+    """Slice Arrow batches so that one slice holds few rows and few bytes.
+
+    A worker serves tasks of several operators in turn; what others than ``owner`` keep is dropped.
+    """
+    for name in [x for x in _MEMOS if x != owner]:
+        _MEMOS.pop(name)()
     for batch in batches:
         n, at = batch.num_rows, 0
         while at < n:
             step = min(rows, n - at)
-            while step > 1 and batch.slice(at, step).get_total_buffer_size() > chars * 4 and batch.slice(at, step).nbytes > chars:
+            while step > 1 and batch.slice(at, step).nbytes > size:
                 step //= 2
             yield batch.slice(at, step)
             at += step
+    tidy()
 
 
 #: Most ids that are broadcast; with more, rows are matched by a shuffle.

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles
-from tessera.llm.common import BROADCAST_IDS, materialize, strings, text_batches, without
+from tessera.llm.common import BROADCAST_IDS, materialize, strings, text_batches, tidy, without
 from tessera.llm.components import components
 
 SKETCH = 64
@@ -116,6 +116,7 @@ def _postings(docs: DataFrame, sets: DataFrame, frequent: np.ndarray) -> DataFra
                 rows.append((rep, np.zeros(1, np.uint64) if h is None else h, h is None or n <= SKETCH))
                 ns.append(-1 if h is None else n)
             yield _post_batch(rows, ns)
+        tidy()
 
     def from_text(batches):
         for part in text_batches(batches, rows=500):
@@ -173,6 +174,7 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 same = int((z[1:] == z[:-1]).sum())
                 keep.append(5 * same >= 2 * (len(z) - same))
             yield pa.RecordBatch.from_arrays(part.columns[:5], names=["a", "b", "met", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
+        tidy()
 
     return both.mapInArrow(run, "a long, b long, met long, na long, nb long")
 

@@ -12,8 +12,9 @@ from collections.abc import Callable
 
 import regex
 
-CHUNK_ENTRIES = 900_000
-PIECE_ENTRIES = 500_000
+#: Remembered chunks and pieces; an entry takes about 200 bytes of a Python worker.
+CHUNK_ENTRIES = 200_000
+PIECE_ENTRIES = 100_000
 KEY_CHARS = 40
 
 
@@ -40,11 +41,11 @@ class _Memo(dict):
 class PieceEncoder:
     """Ids of texts as bytes of fixed-width integers; ``encode_piece`` gives those of one piece."""
 
-    def __init__(self, pattern: str, encode_piece: Callable[[str], bytes]):
+    def __init__(self, pattern: str, encode_piece: Callable[[str], bytes], chunks: int = CHUNK_ENTRIES, pieces: int = PIECE_ENTRIES):
         self.split = regex.compile(pattern).findall
-        self.pieces = _Memo(encode_piece, PIECE_ENTRIES)
-        self.after_space = _Memo(lambda c: self._chunk(c, " " + c), CHUNK_ENTRIES)
-        self.at_start = _Memo(lambda c: self._chunk(c, c), CHUNK_ENTRIES // 5)
+        self.pieces = _Memo(encode_piece, pieces)
+        self.after_space = _Memo(lambda c: self._chunk(c, " " + c), chunks)
+        self.at_start = _Memo(lambda c: self._chunk(c, c), chunks // 5)
         self.line_feed = self.by_pattern("\n")
 
     def _chunk(self, chunk: str, whole: str) -> bytes:

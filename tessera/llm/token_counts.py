@@ -14,7 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import strings, text_batches
+from tessera.llm.common import remember, strings, text_batches
 
 MEMO_ENTRIES = 1_000_000
 MEMO_KEY_CHARS = 48
@@ -116,6 +116,7 @@ class _Counter(dict):
 
 @lru_cache(maxsize=4)
 def load(path: str) -> _Counter:
+    remember("token_counts", load.cache_clear)
     return _Counter(LongestMatch(*pieces_of(path)))
 
 
@@ -135,8 +136,9 @@ def token_counts(docs: DataFrame, model_path: str, text: str = "text") -> DataFr
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]), "n_words long, n_tokens long, n_unknown long"])
 
     def run(batches):
-        memo, words = load(model_path), regex.compile(WORD).findall
-        for part in text_batches(batches):
+        words = regex.compile(WORD).findall
+        for part in text_batches(batches, owner="token_counts"):
+            memo = load(model_path)
             n_words, n_tokens, n_unknown = [], [], []
             for t in strings(part.column(part.num_columns - 1)):
                 codes = [memo[w] for w in words(t)]

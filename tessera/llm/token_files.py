@@ -24,11 +24,14 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import order_by_id, partitions, scratch_path, strings, text_batches
+from tessera.llm.common import order_by_id, partitions, remember, scratch_path, strings, text_batches
 from tessera.llm.pieces import PieceEncoder
 
 MAGIC = b"TEF1"
 SAMPLE = 256
+#: The library's model is slow on single pieces, so more of them are remembered (about 300 MB a worker).
+CHUNK_ENTRIES = 900_000
+PIECE_ENTRIES = 500_000
 
 
 class EliasFano:
@@ -177,7 +180,7 @@ class LibraryEncoder:
                 self._learn(level, chr(code))
         for code in range(128, 192):
             self._learn(level, chr(code))
-        self.encode_text = PieceEncoder(pattern, self._piece).encode
+        self.encode_text = PieceEncoder(pattern, self._piece, CHUNK_ENTRIES, PIECE_ENTRIES).encode
 
     def _learn(self, level, char: str) -> None:
         for byte, mark in zip(char.encode("utf-8"), level.pre_tokenize_str(char)[0][0], strict=True):
@@ -195,6 +198,7 @@ class LibraryEncoder:
 
 @lru_cache(maxsize=2)
 def library(path: str, pattern: str) -> LibraryEncoder:
+    remember("token_files", library.cache_clear)
     return LibraryEncoder(path, pattern)
 
 
@@ -217,7 +221,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, pattern: str, folder
         from pyspark import TaskContext
 
         out = None
-        for part in text_batches(batches):
+        for part in text_batches(batches, owner="token_files"):
             coder = library(tokenizer_path, pattern)
             if out is None:
                 bucket = part.column(0)[0].as_py()
