@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from tessera.llm.common import remember, strings, text_batches
-from tessera.llm.pieces import PieceEncoder
+from tessera.llm.pieces import CHUNK_ENTRIES, PieceEncoder
 
 OUT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -128,7 +128,7 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class ByteBPE:
     """Encoder and decoder for one rank file (base64 token, space, rank per line) and pattern."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, remembered: int):
         with open(path, "rb") as f:
             pairs = [line.split() for line in f if line.strip()]
         self.ranks = {base64.b64decode(a): int(b) for a, b in pairs}
@@ -141,7 +141,7 @@ class ByteBPE:
         self.token = [b""] * (max(self.ranks.values()) + 1)
         for k, r in self.ranks.items():
             self.token[r] = k
-        self.encode = PieceEncoder(pattern, self._piece).encode  # ids as little-endian unsigned 32-bit integers
+        self.encode = PieceEncoder(pattern, self._piece, remembered, remembered // 2).encode  # ids as little-endian unsigned 32-bit integers
 
     def _piece(self, piece: str) -> bytes:
         raw = piece.encode("utf-8")
@@ -156,19 +156,20 @@ class ByteBPE:
 
 
 @lru_cache(maxsize=4)
-def load(path: str, pattern: str) -> ByteBPE:
+def load(path: str, pattern: str, remembered: int = CHUNK_ENTRIES) -> ByteBPE:
     remember("bpe", load.cache_clear)
-    return ByteBPE(path, pattern)
+    return ByteBPE(path, pattern, remembered)
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: bool = False, remembered: int = CHUNK_ENTRIES) -> DataFrame:
     """Encode each whole text and decode it again; one narrow stage, no shuffle.
 
     Returns the input columns other than ``text`` that do not clash with the results, then
     n_tokens long, ids_sha256, decoded_sha256 (both lowercase hex), and with ``ids`` the column
     ids array<int>. Null and empty texts give no ids. Repeated rows stay repeated; an empty table
     gives an empty one. A clashing input column gives way to the result of the same name. Long
-    texts are one row like others. Rows keep no order.
+    texts are one row like others. Rows keep no order. ``remembered`` bounds the chunks a worker
+    keeps (about 300 bytes each): more cost memory, fewer cost time.
     """
     made = {"n_tokens", "ids_sha256", "decoded_sha256"} | ({"ids"} if ids else set())
     keep = [c for c in docs.columns if c != text and c not in made]
@@ -177,7 +178,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "t
 
     def run(batches):
         for part in text_batches(batches, owner="bpe"):
-            bpe = load(ranks_path, pattern)
+            bpe = load(ranks_path, pattern, remembered)
             counts, hashed, back, lists = [], [], [], []
             for t in strings(part.column(part.num_columns - 1)):
                 coded = bpe.encode(t)
