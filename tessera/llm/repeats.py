@@ -36,22 +36,21 @@ SORTED = 2_000
 def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
     """Positions of the smallest hash in each run of ``window`` grams, leftmost of equals.
 
-    In a stretch of equal smallest hashes every run would name another one; there positions are
-    thinned as far as each run still holds one.
+    Whether a position is one depends on the grams of the run alone, so all occurrences of a
+    passage have the same ones. Only where whole runs are one repeated gram (one word again and
+    again) positions are thinned, as far as each run still holds one: there all seeds are equal.
     """
     if len(grams) < window:
         return np.zeros(0, np.int64)
     at = np.unique(sliding_window_view(grams, window).argmin(axis=1) + np.arange(len(grams) - window + 1))
-    if len(at) > 2:
-        close = (grams[at[1:]] == grams[at[:-1]]) & (np.diff(at) < window)
-        if close[:-1].any() or close[1:].any():
-            keep, last = [int(at[0])], int(at[0])
-            for i in range(1, len(at)):
-                tied = close[i - 1] and i < len(at) - 1 and close[i]
-                if not tied or at[i + 1] - last > window:
-                    keep.append(int(at[i]))
-                    last = int(at[i])
-            at = np.array(keep, np.int64)
+    change = np.concatenate([[0], np.cumsum(grams[1:] != grams[:-1])])
+    constant = np.zeros(len(grams) + 1, bool)
+    constant[: len(grams) - window + 1] = change[window - 1 :] == change[: len(change) - window + 1]
+    inner = constant[at] & constant[at - 1] & constant[at + 1]
+    if inner.any():
+        starts = np.flatnonzero(constant[:-1] & ~np.concatenate([[False], constant[:-2]]))
+        first = starts[np.searchsorted(starts, at, side="right").clip(1) - 1]
+        at = at[~inner | ((at - first) % window == 0)]
     return at
 
 

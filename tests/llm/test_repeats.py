@@ -83,6 +83,35 @@ def test_minimisers_cover_every_window():
         assert len(repeats.minimisers(np.zeros(1000, np.uint64), 43)) < 60
 
 
+def records(rng, shared, lead):
+    """A list of 17-word records that open with one phrase of eight words, ``shared`` at its end."""
+    phrase = [f"p{i}" for i in range(8)]
+    rest = [f"q{i}" for i in range(8)]
+    return [w for r in [*(rng.randrange(10**9) for _ in range(lead)), *shared] for w in [*phrase, f"r{r}", *rest]]
+
+
+def test_records_after_odd_and_even_leads(spark):
+    rng = random.Random(5)
+    data = []
+    for pair in range(40):
+        shared = [rng.randrange(10**9) for _ in range(8)]
+        for side in range(2):
+            data.append((2 * pair + side, " ".join(records(rng, shared, 3 * pair + side))))
+    assert answer(repeats.repeats(spark.createDataFrame(data, "doc_id long, text string"))) == plain(data)
+
+
+def test_periodic_texts(spark):
+    rng = random.Random(6)
+    data = []
+    for i in range(150):
+        unit = rng.choice([["le"], ["le"], ["le", "la"], [f"u{j}" for j in range(9)], [f"u{j}" for j in range(17)]])
+        shift = rng.randrange(len(unit))
+        run = (unit * 200)[shift : shift + rng.choice([49, 50, 51, 60, 70, 100, 200])]
+        edge = lambda: [rng.choice("xyz") for _ in range(rng.choice([0, 0, 1, 10, 30]))]
+        data.append((i, " ".join(edge() + run + edge())))
+    assert answer(repeats.repeats(spark.createDataFrame(data, "doc_id long, text string"))) == plain(data)
+
+
 def test_odd_rows(spark, odd, empty):
     assert repeats.repeats(odd).collect() == []
     long = " ".join(f"w{i}" for i in range(2500))
