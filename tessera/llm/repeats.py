@@ -7,7 +7,8 @@ with the gram. A shared passage of fifty words around the position contains one
 
 Suffixes with equal seeds are sorted by the words that follow (and, reversed, by those before);
 neighbours have the longest common extensions, so each suffix is compared with its neighbours and
-extended left and right. Seeds with very many suffixes skip the sort: all fifty-word windows around
+extended left and right; fifty-word windows around the seed that no neighbour covers are compared
+with those of all its suffixes by hash. Seeds with very many suffixes skip the sort: all fifty-word windows around
 the seed are counted by hash, which needs no rows of a seed together.
 """
 
@@ -84,7 +85,9 @@ def extend(doc: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.nda
     """For suffixes of one seed: (index, words to the left, words to the right) of found matches.
 
     Both orders are sorted; each suffix is compared with the nearest one of another document before
-    and after it. Matches under the smallest length are left out.
+    and after it. Matches under the smallest length are left out. The nearest ones agree longest on
+    one side only; where they leave a passage of the smallest length around a seed open, it is
+    decided against all suffixes of the seed by its hash.
     """
     n = len(doc)
     found_i, found_l, found_r = [], [], []
@@ -105,7 +108,44 @@ def extend(doc: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.nda
             found_r.append(_common(right[i], right[j]))
     i, lo, hi = np.concatenate(found_i), np.concatenate(found_l), np.concatenate(found_r)
     keep = lo + hi >= REST
-    return i[keep], lo[keep], hi[keep]
+    i, lo, hi = i[keep], lo[keep], hi[keep]
+    if n == 2:
+        return i, lo, hi
+    part = np.arange(REST + 1)  # words that a passage of the smallest length has before the seed
+    covered = np.zeros((n, REST + 1), bool)
+    np.logical_or.at(covered, i, (part >= REST - hi[:, None]) & (part <= lo[:, None]))
+    if covered.all():
+        return i, lo, hi
+    more, before = np.nonzero(_shared(doc, left, right) & ~covered)
+    return np.concatenate([i, more]), np.concatenate([lo, before]), np.concatenate([hi, REST - before])
+
+
+def _shared(doc: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For suffixes of one seed and 0..REST words before it: does another document have the passage
+    of the smallest length around the seed as well? Equal passages have equal hashes of both sides.
+    """
+    n = len(doc)
+    sides, inside = [], []
+    for side, mark in ((left, np.uint64(0x9E3779B97F4A7C15)), (right, np.uint64(0xC2B2AE3D27D4EB4F))):
+        hashes = np.zeros((n, REST + 1), np.uint64)
+        for k in range(REST):
+            h = (hashes[:, k] ^ side[:, k]) * mark
+            hashes[:, k + 1] = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(k + 1)
+        sides.append(hashes)
+        inside.append(np.concatenate([np.ones((n, 1), bool), np.logical_and.accumulate(side[:, :REST] != 0, axis=1)], axis=1))
+    keys = sides[0] ^ (sides[1][:, ::-1] * np.uint64(0x94D049BB133111EB))
+    keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) + np.arange(REST + 1, dtype=np.uint64)
+    whole = np.flatnonzero((inside[0] & inside[1][:, ::-1]).ravel())
+    keys, owner = keys.ravel()[whole], doc[whole // (REST + 1)]
+    order = np.argsort(keys, kind="stable")
+    keys, owner = keys[order], owner[order]
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
+    group = np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
+    answer = np.zeros(n * (REST + 1), bool)
+    if len(starts):
+        answer[whole[order]] = (np.minimum.reduceat(owner, starts) != np.maximum.reduceat(owner, starts))[group]
+    return answer.reshape(n, REST + 1)
 
 
 def _contexts(texts: DataFrame) -> DataFrame:

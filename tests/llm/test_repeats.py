@@ -112,6 +112,35 @@ def test_periodic_texts(spark):
     assert answer(repeats.repeats(spark.createDataFrame(data, "doc_id long, text string"))) == plain(data)
 
 
+def near_copies(seed, n, share):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    base = [word() for _ in range(300)]
+    return [(i, " ".join(word() if rng.random() < share else w for w in base)) for i in range(n)]
+
+
+def test_hundreds_of_near_copies(spark):
+    for seed, n, share in ((7, 200, 0.03), (8, 400, 0.04)):
+        data = near_copies(seed, n, share)
+        assert answer(repeats.repeats(spark.createDataFrame(data, "doc_id long, text string"))) == plain(data)
+
+
+def test_partner_behind_neighbours():
+    rng = np.random.default_rng(9)
+    for size in (3, 12, 40):
+        left, right = (rng.integers(1, 3, (size, repeats.REACH)).astype(np.uint32) for _ in range(2))
+        for side in (left, right):
+            for row in range(size):
+                side[row, rng.integers(8, 50) :] = rng.choice([0, row + 5])
+        doc = rng.integers(0, size, size)
+        i, lo, hi = repeats.extend(doc, left, right)
+        got = {(a, j) for a, x, y in zip(i.tolist(), lo.tolist(), hi.tolist(), strict=True) for j in range(max(0, repeats.REST - y), min(x, repeats.REST) + 1)}
+        side = lambda a, j: (left[a, :j].tolist(), right[a, : repeats.REST - j].tolist())
+        ok = lambda a, j: all(side(a, j)[0]) and all(side(a, j)[1])
+        want = {(a, j) for a in range(size) for j in range(repeats.REST + 1) if ok(a, j) and any(doc[a] != doc[b] and side(a, j) == side(b, j) for b in range(size))}
+        assert got == want
+
+
 def test_odd_rows(spark, odd, empty):
     assert repeats.repeats(odd).collect() == []
     long = " ".join(f"w{i}" for i in range(2500))
