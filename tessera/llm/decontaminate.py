@@ -4,8 +4,8 @@ Numbers, names (capitalised words) and units after a number become typed placeho
 question with other numbers or names has the same template. Windows of eight template tokens are
 hashed and joined with those of the benchmark. Windows on one diagonal (same offset between
 document and item) are then put together, and their slots are checked: a benchmark value must meet
-one value everywhere, and different ones different values. What remains is a verbatim or a
-re-parameterised copy.
+one value everywhere, and different names different ones (different numbers may meet equal ones).
+What remains is a verbatim or a re-parameterised copy.
 """
 
 from __future__ import annotations
@@ -111,7 +111,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     diagonal = met.groupBy("doc_id", "item_id", "shift").agg(F.count_distinct("wpos").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("pairs"))
     distinct = lambda f: F.size(F.array_distinct(F.transform("pairs", f)))
     one_way = distinct(lambda s: F.struct(s["t"], s["b"])) == F.size("pairs")
-    other_way = distinct(lambda s: F.struct(s["t"], s["d"])) == F.size("pairs")
+    # two numbers or units may well become one; two names that do are another text
+    names = F.filter("pairs", lambda s: s["t"] == "#p")
+    other_way = F.size(F.array_distinct(F.transform(names, lambda s: s["d"]))) == F.size(names)
     diagonal = diagonal.where(one_way & other_way)
     diagonal = diagonal.select("doc_id", "item_id", "shift", "n_windows", F.size("pairs").cast("long").alias("n_slots"), F.size(F.filter("pairs", lambda s: s["b"] != s["d"])).cast("long").alias("n_changed"))
     totals = reduce(DataFrame.unionByName, [_item_windows(items.where((F.size("k") >= WINDOW) if k == WINDOW else (F.size("k") == k)), k) for k in sizes]).groupBy("item_id").agg(F.count_distinct("wpos").alias("item_windows"))

@@ -78,6 +78,15 @@ def test_changed_values(spark):
     assert got[2, 1]["n_changed"] > 0
 
 
+def test_different_numbers_may_become_one(spark):
+    item = "A robe takes 12 bolts of blue fiber and 6 bolts of white fiber so how many bolts make 3 robes in total"
+    doc = "A robe takes 4 bolts of blue fiber and 2 bolts of white fiber so how many bolts make 2 robes in total"
+    got = pairs(spark, [(1, doc, 0)], [(1, item, 0)])
+    assert {(k, r["coverage"], r["n_slots"], r["n_changed"]) for k, r in got.items()} == {((1, 1), 1.0, 4, 3)}
+    names = "Then Anna gives Ben a red apple and Ben gives Carl some of the green pears that he has"
+    assert pairs(spark, [(1, names.replace("Carl", "Anna"), 0)], [(1, names, 0)]) == {}
+
+
 def test_short_items_and_nothing(spark):
     got = pairs(spark, [(1, "well then some five word item here", 0)], [(1, "some five word item", 0)])
     assert set(got) == {(1, 1)}
