@@ -21,6 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -158,7 +159,8 @@ class LibraryEncoder:
 
     The byte-level pre-tokenizer cuts a text into pieces that never merge across their edges, so a
     text's ids are its pieces' ids end to end; the library's model gets each piece in its byte
-    alphabet. Special tokens' strings in a text are ordinary text.
+    alphabet. Texts that hold an added token's string, or a character which the library's split
+    takes for another class than ``pattern`` does, are encoded by the library as a whole.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -168,7 +170,10 @@ class LibraryEncoder:
         tokenizer = Tokenizer.from_file(path)
         if not isinstance(tokenizer.pre_tokenizer, ByteLevel) or tokenizer.normalizer is not None:
             raise ValueError("a byte-level tokenizer without normalizer is needed")
-        self.model = tokenizer.model
+        self.model, self.whole = tokenizer.model, tokenizer
+        self.library_split, self.split = tokenizer.pre_tokenizer.pre_tokenize_str, regex.compile(pattern).findall
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.agreed, self.other = set(map(chr, range(128))), set()
         self.size = tokenizer.get_vocab_size()
         self.dtype, self.code = ("<u2", "H") if self.size <= 1 << 16 else ("<u4", "I")
         level = ByteLevel(add_prefix_space=False, use_regex=False)
@@ -191,9 +196,36 @@ class LibraryEncoder:
         ids = [t.id for t in self.model.tokenize(marked)]
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
+    def _differs(self, char: str) -> bool:
+        """Whether the two splits put ``char`` into different classes (letter, number, space, other)."""
+        probe = f"a{char}1!{char}!"
+        at, cuts = 0, []
+        for piece in self.split(probe):
+            cuts.append((at, at + len(piece)))
+            at += len(piece)
+        return cuts != [span for _, span in self.library_split(probe)]
+
+    def _ordinary(self, text: str) -> bool:
+        """Whether the pieces of ``text`` are the library's own."""
+        if any(token in text for token in self.added):
+            return False
+        if text.isascii() or self.agreed.issuperset(text):
+            return True
+        chars = set(text) - self.agreed
+        new = chars - self.other
+        differ = {c for c in new if self._differs(c)}
+        self.other |= differ
+        self.agreed |= new - differ
+        return chars.isdisjoint(self.other)
+
+    def _text(self, text: str) -> bytes:
+        if self._ordinary(text):
+            return self.encode_text(text)
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
     def encode(self, texts: list[str], end_id: int | None) -> list[np.ndarray]:
         tail = b"" if end_id is None else np.array([end_id], self.dtype).tobytes()
-        return [np.frombuffer(self.encode_text(t) + tail, self.dtype) for t in texts]
+        return [np.frombuffer(self._text(t) + tail, self.dtype) for t in texts]
 
 
 @lru_cache(maxsize=2)

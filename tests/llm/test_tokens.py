@@ -54,6 +54,14 @@ def test_ids_equal_library(library, text):
     assert got.tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
 
 
+def test_added_tokens_and_newer_characters():
+    library, mine = Tokenizer.from_file(JSON), token_files.library(JSON, P.PATTERN)
+    texts = ["some text <|endoftext|> more", "<|endoftext|>", "no <|endoftex|> here", "ab<|endoftext|><|endoftext|>\n\n x"]
+    chars = "".join(chr(c) for c in range(128, 0x110000, 61) if not 0xD800 <= c < 0xE000) + "\ua7ce\u0c5c\x85\x1c\u200b\u180e"
+    texts += [f"it's a{c}b 1{c}2 !{c}? {c} {c}" for c in chars]
+    assert [x.tolist() for x in mine.encode(texts, None)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_long_piece(encoding):
     text = "ab" * 4000 + "é" * 500
     assert np.frombuffer(bpe.load(RANKS, P.PATTERN).encode(text), "<u4").tolist() == encoding.encode_ordinary(text)
