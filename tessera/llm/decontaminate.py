@@ -70,19 +70,94 @@ def _item_windows(items: DataFrame, k: int) -> DataFrame:
     return rows.where(literal >= LITERALS)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Pairs of document and benchmark item whose templates agree with consistent slots.
+def _loose_tokens(df: DataFrame, text: str, *keep: Column) -> DataFrame:
+    """As :func:`_tokens`, with words c and tokens ck where a run of names is one, words w, and
+    lowered tokens l without names."""
+    rows = df.select(*keep, _words(F.coalesce(df[text].cast("string"), F.lit(""))).alias("s")).where("s <> ''")
+    rows = rows.withColumn("r", F.regexp_replace("s", r"(?<![^ ])(\p{Lu}[^ ]*) (?=\p{Lu})", "$1_"))  # no word holds a _
+    split = lambda c: F.split(c, " ")
+    return rows.select(*[F.col(x) for x in rows.columns if x not in ("s", "r")], split("s").alias("w"), split("r").alias("c"), split(_template(F.col("r"))).alias("ck"), split(_template(F.lower("s"))).alias("l"))
+
+
+def _loose_windows(tokens: DataFrame, key: str, sizes: list[int], raw: bool) -> DataFrame:
+    """Windows with runs of names as one token (path c), lowered ones that hold a capital (path l)
+    and, if ``raw``, lowered ones as they are (path v): key, path, n, pos, hash."""
+    hashed = lambda c: F.transform(c, lambda x: F.xxhash64(x))
+    capital = F.transform("w", lambda x: x.rlike(r"^\p{Lu}"))
+    columns = {"c": hashed("ck"), "l": hashed("l"), "u": capital}
+    if raw:
+        columns["v"] = F.transform("w", lambda x: F.xxhash64(F.lower(x)))
+    rows = tokens.select("*", *[v.alias("h" + k) for k, v in columns.items()])
+
+    def windows(path: str, n: int) -> Column:
+        at = lambda i: F.struct(F.lit(path).alias("path"), F.lit(n).alias("n"), i.alias("pos"), F.xxhash64(*[F.get("h" + path, i + j) for j in range(n)]).alias("hash"))
+        places = F.sequence(F.lit(0), F.size("h" + path) - n)
+        if path == "l":
+            places = F.filter(places, lambda i: reduce(Column.__or__, [F.get("hu", i + j) for j in range(n)]))
+        return F.when(F.size("h" + path) >= n, F.transform(places, at)).otherwise(F.array().cast("array<struct<path:string,n:int,pos:int,hash:bigint>>"))
+
+    every = F.concat(*[windows(p, n) for n in sizes for p in ("c", "l", *("v" if raw else ""))])
+    return rows.withColumn("x", F.explode(every)).select(key, *[c for c in ("w", "c", "ck", "l", "plain") if c in rows.columns], "x.*")
+
+
+def _own(path: Column) -> Column:
+    return F.when(path == "c", F.col("c")).otherwise(F.col("w"))
+
+
+def _first_word(path: Column, pos: Column) -> Column:
+    """Place among single words of token ``pos`` of a path."""
+    return F.when((path == "c") & (pos > 0), F.size(F.split(F.array_join(F.slice("c", 1, F.greatest(pos, F.lit(1))), "_"), "_"))).otherwise(pos)
+
+
+def _loose(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id: str, item_text: str) -> DataFrame | None:
+    """Pairs whose names have other word counts, or whose case differs; columns as :func:`contamination`."""
+    items = _loose_tokens(benchmark.where(benchmark[item_id].isNotNull()), item_text, benchmark[item_id].alias("item_id")).dropDuplicates()
+    strict = lambda k: F.size(F.array_distinct(F.filter(k, lambda x: ~x.startswith("#")))) >= LITERALS
+    template = F.split(_template(F.array_join("w", " ")), " ")
+    size = F.least(F.size("w"), F.lit(WINDOW))
+    usable = F.exists(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: strict(F.slice(F.col("k"), i, size)))
+    items = items.withColumn("k", template).withColumn("plain", ~usable).drop("k")
+    sizes = sorted({m for r in items.select(F.least(F.size("w"), F.lit(WINDOW)).alias("a"), F.least(F.size("c"), F.lit(WINDOW)).alias("b")).distinct().collect() for m in r if m >= LITERALS})
+    if not sizes:
+        return None
+    raw = False
+    path, pos = F.col("path"), F.col("pos")
+    windows = _loose_windows(items, "item_id", sizes, raw).where(F.col("n") == F.least(F.size(_own(path)), F.lit(WINDOW)))
+    tokens = F.when(path == "c", F.col("ck")).when(path == "l", F.col("l")).otherwise(F.transform("w", lambda x: F.lower(x)))
+    windows = windows.select("hash", "item_id", "plain", path.alias("bpath"), _first_word(path, pos).alias("wpos"), F.slice(_own(path), pos + 1, F.col("n")).alias("bw"), F.slice(tokens, pos + 1, F.col("n")).alias("bk"))
+    windows = windows.where(F.when(F.col("bpath") == "v", F.col("plain")).otherwise(strict("bk")))
+    blocks = -(-windows.count() // BLOCK)
+    spread = _loose_windows(_loose_tokens(docs.where(docs[doc_id].isNotNull()), text, docs[doc_id].alias("doc_id")), "doc_id", sizes, raw).drop("ck", "l")
+    hits = []
+    for b in range(blocks):
+        block = windows if blocks == 1 else windows.where(F.pmod("hash", F.lit(blocks)) == b)
+        hits.append(spread.join(F.broadcast(block), "hash"))  # a block is about BLOCK windows
+    if not hits:
+        return None
+    met = reduce(DataFrame.unionByName, hits).select("doc_id", "item_id", "bpath", (_first_word(path, pos) - F.col("wpos")).alias("shift"), "wpos", "bw", "bk", F.slice(_own(path), pos + 1, F.col("n")).alias("dw"))
+    tuples = F.zip_with(F.arrays_zip("bk", "bw"), F.col("dw"), lambda b, d: F.struct(b["bk"].alias("t"), b["bw"].alias("b"), d.alias("d")))
+    met = met.withColumn("p", tuples).where(F.forall("p", lambda x: x["t"].startswith("#") | (F.lower(x["d"]) == x["t"])))
+    count = lambda c: F.size(F.split(F.array_join(c, "_"), "_"))
+    capital = lambda c: c.rlike(r"^\p{Lu}")
+    # what the strict template can't see
+    new = (F.col("bpath") == "v") | (count("bw") != count("dw")) | F.exists("p", lambda x: capital(x["b"]) != capital(x["d"]))
+    met = met.select("doc_id", "item_id", "shift", "wpos", new.alias("new"), F.filter("p", lambda x: x["t"].startswith("#")).alias("slots"))
+    diagonal = met.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("wpos").alias("at"), F.max("new").alias("new"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("pairs"))
+    # a diagonal alone, and with its neighbours
+    centres = F.concat(F.array(F.struct(F.lit(0).alias("reach"), F.col("shift").alias("centre"))), F.transform(F.sequence(F.col("shift") - WINDOW, F.col("shift") + WINDOW), lambda x: F.struct(F.lit(WINDOW).alias("reach"), x.alias("centre"))))
+    near = diagonal.withColumn("x", F.explode(centres)).groupBy("doc_id", "item_id", "x").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_windows"), F.max("new").alias("new"), F.min("shift").alias("shift"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    names = F.filter("pairs", lambda s: s["t"] == "#p")
+    one_way = F.size(F.array_distinct(F.transform("pairs", lambda s: F.struct(s["t"], s["b"])))) == F.size("pairs")
+    other_way = F.size(F.array_distinct(F.transform(names, lambda s: s["d"]))) == F.size(names)
+    near = near.where(F.col("new") & one_way & other_way)
+    changed = F.size(F.filter("pairs", lambda s: s["b"] != s["d"])).cast("long")
+    best = near.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", (-changed).alias("unchanged"), (-F.col("shift")).alias("early"), F.size("pairs").cast("long").alias("n_slots"))).alias("m"))
+    totals = windows.groupBy("item_id").agg(F.count_distinct("wpos").alias("item_windows"))
+    return best.join(totals, "item_id").select("doc_id", "item_id", F.col("m.n_windows").alias("n_windows"), "item_windows", (F.col("m.n_windows") / F.col("item_windows")).alias("coverage"), F.col("m.n_slots").alias("n_slots"), (-F.col("m.unchanged")).alias("n_changed"), (-F.col("m.early")).cast("long").alias("position"))
 
-    Returns doc_id, item_id, n_windows (item windows met on the best diagonal), item_windows,
-    coverage, n_slots, n_changed (slots whose value differs: 0 for a verbatim copy) and position
-    (token of the document where the item starts, may be negative), one row a pair. Null ids on
-    either side and null or empty texts give no rows; items without a window of four different
-    literal words can't be found; items under eight tokens are matched as one window of their
-    length. Repeated rows count once; other columns are not carried.
 
-    The documents are read once per block of benchmark windows, and only matched windows are
-    shuffled, by (document, item, diagonal).
-    """
+def _strict(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id: str, item_text: str) -> DataFrame | None:
+    """Best diagonal of each pair by the template of single tokens; columns as :func:`contamination`."""
     items = _tokens(benchmark.where(benchmark[item_id].isNotNull()), item_text, benchmark[item_id].alias("item_id")).dropDuplicates()
     lengths = items.select(F.least(F.size("k"), F.lit(WINDOW)).alias("n")).distinct()
     sizes = sorted(r["n"] for r in lengths.collect() if r["n"] >= LITERALS)  # at most eight lengths
@@ -101,8 +176,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
             met = met.select("doc_id", "item_id", (F.col("pos") - F.col("wpos")).alias("shift"), "wpos", "bw", "bk", F.slice(F.split("s", " "), F.col("pos") + 1, k).alias("dw"))
             hits.append(met.withColumn("k", F.lit(k)))
     if not hits:
-        none = "doc_id {}, item_id {}, n_windows long, item_windows long, coverage double, n_slots long, n_changed long, position long"
-        return docs.sparkSession.createDataFrame([], none.format(docs.schema[doc_id].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()))
+        return None
     met = reduce(DataFrame.unionByName, hits)
     slots = F.filter(F.zip_with(F.arrays_zip("bk", "bw"), F.col("dw"), lambda b, d: F.struct(b["bk"].alias("t"), b["bw"].alias("b"), d.alias("d"))), lambda s: s["t"].startswith("#"))
     agree = F.forall(F.zip_with(F.arrays_zip("bk", "bw"), F.col("dw"), lambda b, d: b["bk"].startswith("#") | (F.lower(d) == b["bk"])), lambda x: x)
@@ -119,7 +193,35 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     totals = reduce(DataFrame.unionByName, [_item_windows(items.where((F.size("k") >= WINDOW) if k == WINDOW else (F.size("k") == k)), k) for k in sizes]).groupBy("item_id").agg(F.count_distinct("wpos").alias("item_windows"))
     best = diagonal.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", (-F.col("n_changed")).alias("unchanged"), (-F.col("shift")).alias("early"), "n_slots")).alias("m"))
     out = best.join(totals, "item_id").select("doc_id", "item_id", F.col("m.n_windows").alias("n_windows"), "item_windows", (F.col("m.n_windows") / F.col("item_windows")).alias("coverage"), F.col("m.n_slots").alias("n_slots"), (-F.col("m.unchanged")).alias("n_changed"), (-F.col("m.early")).cast("long").alias("position"))
-    return out.where(F.col("coverage") >= COVERAGE)
+    return out
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Pairs of document and benchmark item whose templates agree with consistent slots.
+
+    Returns doc_id, item_id, n_windows (item windows met on the best diagonal), item_windows,
+    coverage, n_slots, n_changed (slots whose value differs: 0 for a verbatim copy) and position
+    (token of the document where the item starts, may be negative), one row a pair. Null ids on
+    either side and null or empty texts give no rows; items under eight tokens are matched as one
+    window of their length, those under four can't be found. Repeated rows count once; other
+    columns are not carried.
+
+    Pairs that this doesn't find are looked for in a second way: runs of names count as one name,
+    lowered texts are matched as well, and windows add up over neighbouring diagonals; items
+    without a window of four different literal words match by their lowered words as they are.
+    Their figures are those of the second way, with ``position`` that of the first diagonal.
+
+    The documents are read once per window length and block of benchmark windows, and once per
+    block in the second way; only matched windows are shuffled, by (document, item, diagonal).
+    """
+    found = [f(docs, benchmark, doc_id, text, item_id, item_text) for f in (_strict, _loose)]
+    found = [x.where(F.col("coverage") >= COVERAGE).withColumn("way", F.lit(-i)) for i, x in enumerate(found) if x is not None]
+    if not found:
+        none = "doc_id {}, item_id {}, n_windows long, item_windows long, coverage double, n_slots long, n_changed long, position long"
+        return docs.sparkSession.createDataFrame([], none.format(docs.schema[doc_id].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()))
+    every = reduce(DataFrame.unionByName, found)
+    values = [c for c in every.columns if c not in ("doc_id", "item_id", "way")]
+    return every.groupBy("doc_id", "item_id").agg(F.max_by(F.struct(*values), "way").alias("m")).select("doc_id", "item_id", "m.*")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id") -> DataFrame:

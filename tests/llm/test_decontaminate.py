@@ -87,6 +87,17 @@ def test_different_numbers_may_become_one(spark):
     assert pairs(spark, [(1, names.replace("Carl", "Anna"), 0)], [(1, names, 0)]) == {}
 
 
+CLIPS = "Natalia sold clips to 48 of her friends in April and then Natalia sold half as many clips in May so how many clips did Natalia sell altogether in both months"
+
+
+def test_names_of_other_word_counts_and_other_case(spark):
+    docs = [(1, CLIPS.replace("Natalia", "Mary Ann"), 0), (2, CLIPS.lower(), 0), (3, CLIPS.upper(), 0), (4, CLIPS.replace("Natalia", "Mary Ann", 1), 0), (5, CLIPS.lower().replace("48", "60").replace("natalia", "mary ann"), 0), (6, "Other words Of Another Kind Stand here And There", 0)]
+    got = pairs(spark, docs, [(1, CLIPS, 0)])
+    assert {(1, 1), (2, 1), (3, 1)} <= set(got) and (6, 1) not in got
+    assert got[2, 1]["n_changed"] == got[3, 1]["n_changed"] == 0 and got[2, 1]["coverage"] == 1.0
+    assert all(r["coverage"] <= 1.0 for r in got.values())
+
+
 def test_short_items_and_nothing(spark):
     got = pairs(spark, [(1, "well then some five word item here", 0)], [(1, "some five word item", 0)])
     assert set(got) == {(1, 1)}
