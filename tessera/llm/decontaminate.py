@@ -110,7 +110,8 @@ def _first_word(path: Column, pos: Column) -> Column:
 
 
 def _loose(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id: str, item_text: str) -> DataFrame | None:
-    """Pairs whose names have other word counts, or whose case differs; columns as :func:`contamination`."""
+    """Pairs whose names have other word counts, whose case differs, or whose items have too few
+    literal words for a template and occur verbatim; columns as :func:`contamination`."""
     items = _loose_tokens(benchmark.where(benchmark[item_id].isNotNull()), item_text, benchmark[item_id].alias("item_id")).dropDuplicates()
     strict = lambda k: F.size(F.array_distinct(F.filter(k, lambda x: ~x.startswith("#")))) >= LITERALS
     template = F.split(_template(F.array_join("w", " ")), " ")
@@ -120,7 +121,7 @@ def _loose(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_i
     sizes = sorted({m for r in items.select(F.least(F.size("w"), F.lit(WINDOW)).alias("a"), F.least(F.size("c"), F.lit(WINDOW)).alias("b")).distinct().collect() for m in r if m >= LITERALS})
     if not sizes:
         return None
-    raw = False
+    raw = bool(items.where(F.col("plain")).limit(1).count())
     path, pos = F.col("path"), F.col("pos")
     windows = _loose_windows(items, "item_id", sizes, raw).where(F.col("n") == F.least(F.size(_own(path)), F.lit(WINDOW)))
     tokens = F.when(path == "c", F.col("ck")).when(path == "l", F.col("l")).otherwise(F.transform("w", lambda x: F.lower(x)))

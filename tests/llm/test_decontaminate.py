@@ -98,6 +98,13 @@ def test_names_of_other_word_counts_and_other_case(spark):
     assert all(r["coverage"] <= 1.0 for r in got.values())
 
 
+def test_items_of_few_literals(spark):
+    items = ["Who wrote Romeo and Juliet?", "What is 17 * 23 + 5?", "Who is the CEO of Apple Inc?", "Was ist die Hauptstadt von Frankreich?", "How Many Days Are There In A Year Of Twelve Months"]
+    docs = [(i, f"some words before {x} and after", 0) for i, x in enumerate(items)] + [(9, "What is 18 * 23 + 5?", 0), (10, "how many days are there in a year of twelve months", 0)]
+    got = pairs(spark, docs, list((i, x, 0) for i, x in enumerate(items)))
+    assert set(got) == {(i, i) for i in range(5)} | {(10, 4)}
+
+
 def test_short_items_and_nothing(spark):
     got = pairs(spark, [(1, "well then some five word item here", 0)], [(1, "some five word item", 0)])
     assert set(got) == {(1, 1)}
