@@ -117,11 +117,24 @@ def fit_texts(texts: list[bytes], labels: list[int], counts: dict[int, int] | No
     return QualityModel(good, bad, fit_logistic(features(own, good, bad), y[fit], weight, ridge=0.05 if not few else 1.0))
 
 
+def _within(rows: list, size: int) -> list[tuple[int, int]]:
+    """Of (id, class, bytes) in order, those that fit into ``size`` bytes a class; a text that doesn't
+    fit is passed over. If none of a class does, its smallest stands alone."""
+    taken, left = [], {}
+    for i, y, n in rows:
+        if n <= left.setdefault(y, size):
+            left[y] -= n
+            taken.append((i, y))
+    for y in left.keys() - {y for _, y in taken}:
+        taken.append(min((n, i, y) for i, c, n in rows if c == y)[1:])
+    return taken
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> QualityModel:
     """Fit on at most ``rows`` labelled rows and ``size`` bytes of text a class, taken in hash order.
 
     Only rows outside the held-out third are used. Two bounded lists reach the driver: ids, and the
-    texts of those that fit into ``size`` bytes. Rows with null label, id or text are passed over;
+    texts of those that fit into ``size`` bytes; a text that doesn't fit is passed over. Rows with null label, id or text are passed over;
     of repeated labels the smallest counts.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
@@ -133,9 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         wanted = some if wanted is None else wanted.unionByName(some)
     texts = docs.select(docs[doc_id].cast("long").alias("_id"), docs[text].cast("string").alias("_t")).where("_t IS NOT NULL")
     found = texts.join(F.broadcast(wanted), "_id")  # at most 2 * rows ids
-    order = Window.partitionBy("_y").orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sizes = found.select("_id", "_y", F.octet_length("_t").alias("_n")).groupBy("_id", "_y").agg(F.max("_n").alias("_n"))
-    ids = sizes.withColumn("_sum", F.sum("_n").over(order)).where((F.col("_sum") <= size) | (F.col("_sum") == F.col("_n"))).select("_id", "_y")
+    ids = docs.sparkSession.createDataFrame(_within(sizes.orderBy(F.xxhash64("_id"), "_id").collect(), size), "_id long, _y int")
     picked = texts.join(F.broadcast(ids), "_id").groupBy("_id", "_y").agg(F.max("_t").alias("_t"))
     got = picked.orderBy("_y", F.xxhash64("_id"), "_id").collect()
     return fit_texts([r["_t"].encode("utf-8") for r in got], [r["_y"] for r in got], counts)

@@ -48,3 +48,19 @@ def test_odd_rows(spark, odd, empty):
     assert quality.score(empty, model).collect() == []
     none = quality.fit(empty, labels.limit(0))
     assert {r["score"] for r in quality.score(odd, none).collect()} == {0.5}
+
+
+def test_long_text_does_not_end_the_sample():
+    rows = [(1, 0, 5), (2, 1, 900), (3, 0, 200), (4, 0, 90), (5, 0, 5), (6, 0, 1)]
+    assert quality._within(rows, 100) == [(1, 0), (4, 0), (5, 0), (2, 1)]
+
+
+def test_fit_passes_over_a_long_text(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit_texts", lambda texts, labels, counts=None: seen.append(list(zip(texts, labels, strict=True))))
+    docs = spark.createDataFrame([(i, "x" * (500 if i % 3 == 0 else 10)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    quality.fit(docs, labels, size=400)
+    known = labels.where(~quality.held_out(labels["doc_id"])).collect()
+    short = sorted(r["quality"] for r in known if r["doc_id"] % 3)
+    assert sorted(y for t, y in seen[0] if len(t) == 10) == short
