@@ -36,15 +36,34 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialize(df: DataFrame, name: str, rows: int = 0) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Cuts the lineage in a way that outlives lost executors. The files go when the driver ends,
-    or with :func:`clear_scratch`.
+    or with :func:`clear_scratch`. With ``rows`` at most so many go to a Python worker at once,
+    which bounds what the JVM and the worker hold of wide rows.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    usual = spark.conf.get(_ARROW_ROWS)
+    if rows:
+        spark.conf.set(_ARROW_ROWS, str(min(rows, int(usual)) if int(usual) > 0 else rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ARROW_ROWS, usual)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spare_name(name: str, columns: list[str]) -> str:
+    """``name`` with underscores before it until no column is called so (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def clear_scratch(spark: SparkSession) -> None:

@@ -1,21 +1,23 @@
 """Jaccard self-join over word shingles, by set relations.
 
-Documents with equal sets form one class. Each class posts a few of its shingles in hash order to
-an index. Short lists give their pairs: sizes that can't match are skipped, and so is a pair that
-meets in too few lists or whose smallest hashes differ too much. What is left hangs together in
-families of similar sets, and a family's answers come from one matrix product of its sets; only a
-spanning star of its links goes on, as sets of one component share their answers. Long lists that
-aren't inside one component by then are cut into blocks by set size; blocks of sizes too far apart
-are skipped, and two blocks at a time are answered like a family. Each set is sent once a family or
-pair of blocks, never once a pair of sets.
-
-Which shingles are posted. All sets order shingles alike: those that aren't frequent by hash, then
-frequent ones by hash. A set of at most 64 shingles, or with more than half of its 64 smallest
-hashes frequent, posts the first quarter of its order plus one; two such sets that are linked can't
-miss each other. Other sets post the first 32 of their 64 smallest hashes that aren't frequent. Of
-those a linked partner shares at least half, so none of the 32 is shared with a chance of 2 ** -32
-at worst and 4 ** -32 where frequent shingles are rare, like that of a hash collision. At most
-``FREQUENT`` shingles are treated as frequent; which ones only moves work about.
+Documents with equal sets form one class. All sets order shingles alike: those not known to be
+frequent by hash, then frequent ones, rarest first. A class posts the first quarter of its order
+plus one (linked sets share a posted shingle) with its size and the position. No link is lost: every
+step below skips only what a bound on the overlap rules out.
+
+Index lists are in order of size and position. In short lists a probe skips the rest of a list once
+sizes are too far apart, and entries whose position leaves too little before and after it; a pair
+goes on if the lists in which it meets, with what lies behind both prefixes, can make a link. Such
+pairs hang together in families of similar sets.
+
+Long lists are first probed by one set alone, that with the fewest rare shingles; lists inside one
+component by then are done. The rest are cut into blocks by size and position, and two blocks meet
+only if their bounds allow a link and they aren't one component.
+
+Families and pairs of blocks are units of bounded size. In a unit an index of its sets gives the
+answers of one set by counting; the answers of a set linked to it follow from these: only shingles
+that one of the two has and the other lacks are counted again, and nothing at all where even those
+can't make a new link. Only a spanning star of a unit's links goes on.
 """
 
 from __future__ import annotations
@@ -27,176 +29,213 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles
-from tessera.llm.common import BROADCAST_IDS, materialize, strings, text_batches, tidy, without
+from tessera.llm.common import BROADCAST_IDS, materialize, spare_name, strings, text_batches, tidy, without
 from tessera.llm.components import components
 
-SKETCH = 64
-POSTED = 32
-#: A shingle posted by more sets than OFTEN is frequent; at most FREQUENT of them, the most common.
+#: Shingles counted together when frequent ones are looked for, and the least count that is noted.
+COUNTED = 4_000_000
+NOTED = 3
+#: A shingle noted more often than OFTEN is treated as frequent; at most FREQUENT of them, the most
+#: common. Which ones are only moves work about.
 OFTEN = 32
 FREQUENT = 100_000
 #: Lists up to this length give their pairs directly.
 SHORT_LIST = 64
-#: Pairs of two large sets without frequent shingles that meet in fewer lists are no candidates:
-#: of 32 posted shingles linked sets share 3/4 on average, under 6 with a chance of 1e-11.
-MEETINGS = 6
-#: Sets and shingles of a block of a long list, and shingles in one matrix product.
+#: Sets and shingles of a block of a long list; a unit holds two blocks.
 BLOCK_SETS = 1024
 BLOCK_ITEMS = 400_000
-COLUMNS = 2048
+#: Pairs that are added up before they leave a task.
+PAIRS = 300_000
+#: Rows of whole texts or sets that pass to a Python worker at once.
+ROWS = 500
 
 
-def _sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), key (128 bits of the sorted set), low (its 64 smallest hashes)."""
-
-    def run(batches):
-        for part in text_batches(batches, rows=500):
-            sets = shingles.sets([t.encode("utf-8", "surrogatepass") for t in strings(part.column(1))])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                    pa.array([s[:SKETCH].view(np.int64) for s in sets], pa.list_(pa.int64())),
-                ],
-                names=["doc_id", "n", "key", "low"],
-            )
-
-    return docs.mapInArrow(run, "doc_id long, n long, key binary, low array<long>")
-
-
-def _is_frequent(x: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    if not len(frequent):
-        return np.zeros(len(x), bool)
-    return frequent[np.minimum(np.searchsorted(frequent, x), len(frequent) - 1)] == x
-
-
-def _prefix(x: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """First quarter of a whole set plus one, frequent shingles last."""
-    hot = _is_frequent(x, frequent)
-    return np.concatenate([x[~hot], x[hot]])[: len(x) // 4 + 1]
+def _prefix_size(n):
+    return n // 4 + 1
 
 
-def _posted(low: np.ndarray, n: int, frequent: np.ndarray) -> np.ndarray | None:
-    """Shingles that a larger set posts; None where it takes the whole set to tell."""
-    x = low.view(np.uint64)
-    own = x[~_is_frequent(x, frequent)][:POSTED]
-    return own if len(own) == POSTED else None
+def _need(total):
+    """Least overlap of linked sets whose sizes make ``total``."""
+    return (3 * total + 6) // 7
 
 
-def _post_batch(rows: list[tuple[int, np.ndarray, bool]], ns: list[int]) -> pa.RecordBatch:
-    hs = [h.view(np.int64) for _, h, _ in rows]
-    size = [len(h) for h in hs]
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.concatenate([*hs, np.zeros(0, np.int64)])),
-            pa.array(np.repeat(np.array([r for r, _, _ in rows], np.int64), size)),
-            pa.array(np.repeat(np.array(ns, np.int64), size)),
-            pa.array(np.repeat(np.array([f for _, _, f in rows], bool), size)),
-        ],
-        names=["h", "rep", "n", "free"],
-    )
+def _raw(part: pa.RecordBatch, column: int) -> list[bytes]:
+    return [t.encode("utf-8", "surrogatepass") for t in strings(part.column(column))]
 
 
-POSTING = "h long, rep long, n long, free boolean"
+def _sizes(docs: DataFrame) -> DataFrame:
+    """doc_id, n (set size), key (128 bits of the sorted set); with n = -1: shingles ``often`` that
+    several distinct sets of a task have, and how many (``times``)."""
 
+    def noted(held: list[np.ndarray]) -> pa.RecordBatch:
+        h, c = np.unique(np.concatenate(held), return_counts=True)
+        h, c = h[c >= NOTED].view(np.int64), c[c >= NOTED]
+        return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([None], pa.binary()), pa.array([h], pa.list_(pa.int64())), pa.array([c], pa.list_(pa.int64()))], names=["doc_id", "n", "key", "often", "times"])
 
-def _postings(docs: DataFrame, sets: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """One row per posted shingle: h, rep, n, free (pairs of it must not be judged by meetings)."""
-
-    def from_sketch(batches):
-        for part in batches:
-            rows, ns = [], []
-            lists = part.column(2)
-            flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            for i, (rep, n) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
-                low = flat[offsets[i] : offsets[i + 1]]
-                h = _prefix(low.view(np.uint64), frequent) if n <= SKETCH else _posted(low, n, frequent)
-                # a row of no shingle asks for the whole set
-                rows.append((rep, np.zeros(1, np.uint64) if h is None else h, h is None or n <= SKETCH))
-                ns.append(-1 if h is None else n)
-            yield _post_batch(rows, ns)
+    def run(batches):
+        held, size, known = [], 0, set()
+        for part in text_batches(batches, rows=ROWS):
+            sets = shingles.sets(_raw(part, 1))
+            keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            none = pa.nulls(len(sets), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), none, none], names=["doc_id", "n", "key", "often", "times"])
+            for k, s in zip(keys, sets, strict=True):
+                if k not in known:
+                    known.add(k)
+                    held.append(s)
+                    size += len(s)
+            if size >= COUNTED:
+                yield noted(held)
+                held, size, known = [], 0, set()
+        if held:
+            yield noted(held)
         tidy()
 
-    def from_text(batches):
-        for part in text_batches(batches, rows=500):
-            whole = shingles.sets([t.encode("utf-8", "surrogatepass") for t in strings(part.column(1))])
-            rows = [(rep, _prefix(s, frequent), True) for rep, s in zip(part.column(0).to_pylist(), whole, strict=True)]
-            yield _post_batch(rows, [len(s) for s in whole])
-
-    first = materialize(sets.select("rep", "n", "low").mapInArrow(from_sketch, POSTING), "jaccard-postings")
-    asked = first.where("n < 0").select("rep")
-    wanted = F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked
-    rest = docs.join(wanted, docs["doc_id"] == asked["rep"], "left_semi").mapInArrow(from_text, POSTING)
-    return first.where("n >= 0").unionByName(materialize(rest, "jaccard-prefixes"))
+    return docs.mapInArrow(run, "doc_id long, n long, key binary, often array<long>, times array<long>")
 
 
-def _compatible(a: str, b: str):
-    """Sizes that allow a link, where ``a`` is the smaller one."""
-    return F.col(a) * 100 >= F.col(b) * 75
+def _prefixes(texts: DataFrame, common: np.ndarray) -> DataFrame:
+    """One row per posted shingle of ``texts`` (rep, text): h, rep, n, pos, hot (is it frequent).
 
-
-def _full_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The whole sets of the classes ``reps`` (rep), as sorted 64-bit hashes in a binary."""
-    wanted = F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps
-    texts = docs.join(wanted, docs["doc_id"] == reps["rep"], "left_semi")
+    ``common`` has the frequent shingles, rarest first.
+    """
+    rank = np.argsort(common, kind="stable")
+    known = common[rank]
 
     def run(batches):
-        for part in text_batches(batches, rows=500):
-            sets = shingles.sets([t.encode("utf-8", "surrogatepass") for t in strings(part.column(1))])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "items"])
+        for part in text_batches(batches, rows=ROWS):
+            reps = part.column(0).to_numpy()
+            hs, hots, ns = [], [], []
+            for s in shingles.sets(_raw(part, 1)):
+                k = _prefix_size(len(s))
+                hot = np.zeros(len(s), bool)
+                if len(known):
+                    place = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    hot = known[place] == s
+                cold = s[~hot][:k]
+                if len(cold) < k:
+                    late = s[hot][np.argsort(rank[place[hot]])][: k - len(cold)]
+                    hots.append(np.repeat([False, True], [len(cold), len(late)]))
+                    cold = np.concatenate([cold, late])
+                else:
+                    hots.append(np.zeros(k, bool))
+                hs.append(cold)
+                ns.append(len(s))
+            size = np.array([len(h) for h in hs], np.int64)
+            pos = np.concatenate([*(np.arange(k, dtype=np.int32) for k in size), np.zeros(0, np.int32)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([*hs, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(np.repeat(reps, size)), pa.array(np.repeat(np.array(ns, np.int32), size)), pa.array(pos), pa.array(np.concatenate([*hots, np.zeros(0, bool)]))],
+                names=["h", "rep", "n", "pos", "hot"],
+            )
 
-    return materialize(texts.mapInArrow(run, "rep long, items binary"), "jaccard-sets")
+    return texts.mapInArrow(run, "h long, rep long, n int, pos int, hot boolean")
 
 
-def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` without those whose smallest hashes speak against a link.
+def meetings(h: np.ndarray, rep: np.ndarray, n: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pairs (a, na, b, nb) of entries of the same list that sizes and positions allow; a is smaller.
 
-    Up to the smaller of the two largest known hashes both sets are known whole: a sample of their
-    union by hash, of 64 or more (or all of it). A pair that shares under two fifths of it goes;
-    for a linked one, which shares three quarters on average, the chance of that is about 1e-10.
+    Lists lie end to end, each in order of size: where a size is too large, the rest of the list is
+    skipped. What two sets share lies before the meeting in both, after it in both, or is it.
     """
-    left = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("low").alias("x"))
-    right = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("low").alias("y"))
-    both = pairs.select("a", "b", "met").join(left, "a").join(right, "b").select("a", "b", "met", "na", "nb", "x", "y")
+    found = [[], [], [], []]
+    i, d = np.arange(len(h)), 1
+    while len(i):
+        i = i[: np.searchsorted(i, len(h) - d)]
+        i = i[h[i] == h[i + d]]
+        i = i[100 * n[i] >= 75 * n[i + d]]
+        j = i + d
+        most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
+        ok = most >= _need(n[i] + n[j])
+        x, y = i[ok], j[ok]
+        turn = (n[x] == n[y]) & (rep[x] > rep[y])
+        x, y = np.where(turn, y, x), np.where(turn, x, y)
+        for out, v in zip(found, (rep[x], n[x], rep[y], n[y]), strict=True):
+            out.append(v)
+        d += 1
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
+
+
+def _lists(postings: DataFrame) -> DataFrame:
+    """Read the lists once: with h null, pairs a, b with sizes na, nb and in how many lists they
+    meet (c); else entries of long lists and of frequent shingles: h, a with size na at position c."""
+    names = ["h", "a", "na", "b", "nb", "c"]
+
+    def entries(h, rep, n, pos):
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(rep), pa.array(n), pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.int32()), pa.array(pos.astype(np.int32))], names=names)
+
+    def added(held):
+        a, na, b, nb = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((b, a))
+        a, na, b, nb = a[order], na[order], b[order], nb[order]
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)])
+        count = np.diff(np.concatenate([first, [len(a)]]))
+        return pa.RecordBatch.from_arrays([pa.nulls(len(first), pa.int64()), pa.array(a[first], pa.int64()), pa.array(na[first].astype(np.int32)), pa.array(b[first], pa.int64()), pa.array(nb[first].astype(np.int32)), pa.array(count.astype(np.int32))], names=names)
 
     def run(batches):
+        tail = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)]
+        flushed, held, size = None, [], 0  # flushed: list of which entries have left already
+
+        def whole(rows, last):
+            """Deal with the lists of ``rows``; the last one may go on unless ``last``."""
+            nonlocal tail, flushed, size
+            h = rows[0]
+            if not len(h):
+                return
+            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            length = np.diff(np.concatenate([starts, [len(h)]]))
+            keep = np.repeat(length, length)
+            far = (keep > SHORT_LIST) | ((h == flushed) if flushed is not None else False)
+            short = ~far & (keep > 1)
+            if not last and not far[-1]:
+                tail = [x[starts[-1] :] for x in rows]
+                short[starts[-1] :] = False
+            else:
+                tail = [x[:0] for x in rows]
+            if far.any():
+                yield entries(*(x[far] for x in rows))
+            flushed = int(h[-1]) if far[-1] else None
+            if short.any():
+                got = meetings(*(x[short] for x in rows))
+                held.append(got)
+                size += len(got[0])
+            if held and (size > PAIRS or last):
+                yield added(held)
+                held.clear()
+                size = 0
+
         for part in batches:
-            keep = []
-            lists = []
-            for at in (5, 6):
-                c = part.column(at)
-                flat, offsets = c.values.to_numpy(zero_copy_only=False).view(np.uint64), c.offsets.to_numpy()
-                lists.append([flat[offsets[i] : offsets[i + 1]] for i in range(part.num_rows)])
-            for na, nb, p, q in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), *lists, strict=True):
-                z = np.concatenate([p[p <= q[-1]] if nb > SKETCH else p, q[q <= p[-1]] if na > SKETCH else q])
-                z.sort()
-                same = int((z[1:] == z[:-1]).sum())
-                keep.append(5 * same >= 2 * (len(z) - same))
-            yield pa.RecordBatch.from_arrays(part.columns[:5], names=["a", "b", "met", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
+            rows = [part.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            hot = part.column(4).to_numpy(zero_copy_only=False)
+            if hot.any():
+                yield entries(*(x[hot] for x in rows))
+                rows = [x[~hot] for x in rows]
+            yield from whole([np.concatenate([t, x]) for t, x in zip(tail, rows, strict=True)], False)
+        rest, tail = tail, [x[:0] for x in tail]
+        yield from whole(rest, True)
+        if held:
+            yield added(held)
         tidy()
 
-    return both.mapInArrow(run, "a long, b long, met long, na long, nb long")
+    # frequent shingles pass through, so their rows may go anywhere
+    place = F.when(F.col("hot"), F.xxhash64("rep")).otherwise(F.col("h"))
+    dealt = postings.withColumn("place", place).repartition("place").drop("place").sortWithinPartitions("hot", "h", "n", "pos")
+    return dealt.select("h", "rep", "n", "pos", "hot").mapInArrow(run, "h long, a long, na int, b long, nb int, c int")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets have 100 * intersection >= 75 * union."""
-    left = sets.select(F.col("rep").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("rep").alias("b"), F.col("items").alias("y"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
+def _chosen(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Texts of the classes ``reps`` (rep): rep, text."""
+    wanted = F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps
+    return docs.join(wanted, docs["doc_id"] == reps["rep"], "left_semi").select(F.col("doc_id").alias("rep"), "text")
+
+
+def _full_sets(texts: DataFrame) -> DataFrame:
+    """The whole sets of ``texts`` (rep, text), as sorted 64-bit hashes in a binary."""
 
     def run(batches):
-        for part in batches:
-            keep = []
-            for x, y in zip(part.column(2), part.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                z = np.concatenate([p, q])
-                z.sort()
-                same = int((z[1:] == z[:-1]).sum())
-                keep.append(100 * same >= 75 * (len(z) - same))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for part in text_batches(batches, rows=ROWS):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingles.sets(_raw(part, 1))], pa.binary())], names=["rep", "items"])
 
-    return materialize(both.mapInArrow(run, "a long, b long"), "jaccard-links")
+    return materialize(texts.mapInArrow(run, "rep long, items binary"), "jaccard-sets", ROWS)
 
 
 def _labels(links: list[DataFrame]) -> DataFrame:
@@ -206,13 +245,6 @@ def _labels(links: list[DataFrame]) -> DataFrame:
     return materialize(components(edges), "jaccard-components")
 
 
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends aren't in one component yet."""
-    la = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    lb = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    return pairs.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
-
-
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Link documents whose shingle sets have a Jaccard likeness of 0.75 or more.
 
@@ -223,37 +255,31 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     not carried. An empty table gives an empty one.
     """
     src = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    base = materialize(_sketches(src), "jaccard-base")
+    every = materialize(_sizes(src), "jaccard-base", ROWS)
+    base = every.where("n >= 0").select("doc_id", "n", "key")
     named = base.where("n > 0 AND doc_id IS NOT NULL")
-    sets = named.groupBy("key").agg(F.min(F.struct("doc_id", "n", "low")).alias("s")).select("key", F.col("s.doc_id").alias("rep"), F.col("s.n").alias("n"), F.col("s.low").alias("low"))
-    sets = materialize(sets, "jaccard-classes")
-    # which shingles are frequent, judged by the smallest hashes of all sets
-    often = sets.select(F.explode(F.slice("low", 1, POSTED)).alias("h")).groupBy("h").count().where(F.col("count") > OFTEN)
-    hot = [r[0] for r in often.orderBy(F.desc("count"), "h").limit(FREQUENT).select("h").collect()]
-    frequent = np.sort(np.array(hot, np.int64).view(np.uint64))
-    postings = _postings(src, sets, frequent)
-    lists = postings.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    shared = materialize(postings.join(lists, "h"), "jaccard-lists")
-
-    short = shared.where(F.col("c") <= SHORT_LIST)
-    long = shared.where(F.col("c") > SHORT_LIST)
-    in_long = long.select("rep").distinct().withColumn("_long", F.lit(True))
-    a = short.select("h", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("free").alias("fa"))
-    b = short.select("h", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("free").alias("fb"))
-    met = a.join(b, "h").where(((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & _compatible("na", "nb"))
-    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.max(F.col("fa") | F.col("fb")).alias("free"))
-    pairs = pairs.join(in_long.withColumnRenamed("rep", "a").withColumnRenamed("_long", "la"), "a", "left").join(in_long.withColumnRenamed("rep", "b").withColumnRenamed("_long", "lb"), "b", "left")
-    pairs = pairs.where((F.col("met") >= MEETINGS) | F.col("free") | F.col("la") | F.col("lb")).select("a", "b", "met")
-    pairs = materialize(_alike(pairs, sets), "jaccard-pairs")
-    involved = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(long.select("rep")).distinct()
-    full = _full_sets(src, materialize(involved, "jaccard-involved"))
-    links = _short_lists(pairs, full)
-    labels = _labels(links)
-    links.append(_long_lists(long.select("h", "rep", "n"), full, labels))
+    classes = materialize(named.groupBy("key").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
+    # a row id that repeats with other texts may stand for several classes: it posts them all
+    often = every.where("n < 0").select(F.explode(F.arrays_zip("often", "times")).alias("z")).groupBy(F.col("z.often").alias("h")).agg(F.sum("z.times").alias("c"))
+    hot = [r[0] for r in often.where(F.col("c") > OFTEN).orderBy(F.desc("c"), "h").limit(FREQUENT).select("h").collect()]
+    common = np.array(hot[::-1], np.int64).view(np.uint64)
+
+    texts = _chosen(src, classes.select("rep").distinct())
+    met = materialize(_lists(_prefixes(texts, common)), "jaccard-meetings")
+    rows = met.where("h IS NOT NULL").select("h", F.col("a").alias("rep"), F.col("na").alias("n"), F.col("c").alias("pos"))
+    # of each set: entries in long lists, and the posted shingles before the first of them
+    unlisted = materialize(rows.groupBy("rep").agg(F.count(F.lit(1)).alias("u"), F.min("pos").alias("cold")), "jaccard-unlisted")
+    pairs = materialize(_possible(met.where("h IS NULL"), unlisted), "jaccard-pairs")
+    involved = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(unlisted.select("rep")).distinct()
+    full = _full_sets(_chosen(src, materialize(involved, "jaccard-involved")))
+    links = [*_families(pairs, full), _leaders(rows, unlisted, full)]
     labels = _labels(links)
+    more = _blocks(rows, full, labels)
+    if more is not None:
+        labels = _labels([*links, more])
 
-    found = sets.select("key", "rep").join(labels, sets["rep"] == labels["node"], "left").select("key", F.coalesce("component", "rep").alias("component_id"))
-    out = base.select("doc_id", "n", "key").join(found, "key", "left")
+    found = classes.join(labels, classes["rep"] == labels["node"], "left").select("key", F.coalesce("component", "rep").alias("component_id"))
+    out = base.join(found, "key", "left")
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
@@ -267,22 +293,38 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     kept = without(docs, found.where("component_id <> doc_id").select("doc_id"), doc_id)
     named = found.where("doc_id IS NOT NULL")
     if named.count() != named.select("doc_id").distinct().count():
+        row = spare_name("row", kept.columns)
         order = Window.partitionBy(doc_id).orderBy(*[F.col(c) for c in kept.columns if c != doc_id])
-        kept = kept.withColumn("_row", F.row_number().over(order)).where((F.col("_row") == 1) | F.col(doc_id).isNull()).drop("_row")
+        once = kept.where(F.col(doc_id).isNotNull()).withColumn(row, F.row_number().over(order)).where(F.col(row) == 1).drop(row)
+        kept = once.unionByName(kept.where(F.col(doc_id).isNull()))
     return kept
 
 
-def _short_lists(pairs: DataFrame, full: DataFrame) -> list[DataFrame]:
+def _possible(met: DataFrame, unlisted: DataFrame) -> DataFrame:
+    """Pairs (a, b, met, na, nb) whose overlap may suffice.
+
+    What two sets share is in both prefixes, or behind the prefix that ends first. Of the former,
+    ``met`` were counted, and others can only be among the entries in long lists.
+    """
+    pairs = met.groupBy("a", "na", "b", "nb").agg(F.sum("c").alias("met"))
+    for side in "ab":
+        pairs = pairs.join(unlisted.select(F.col("rep").alias(side), F.col("u").alias("u" + side)), side, "left")
+    behind = lambda n: F.col(n) - F.floor(F.col(n) / 4) - 1
+    need = F.floor((3 * (F.col("na") + F.col("nb")) + 6) / 7)
+    unseen = F.coalesce(F.least("ua", "ub", F.coalesce("ua", F.lit(0)), F.coalesce("ub", F.lit(0))), F.lit(0))
+    return pairs.where(F.col("met") + unseen + F.greatest(behind("na"), behind("nb")) >= need).select("a", "b", "met", "na", "nb")
+
+
+def _families(pairs: DataFrame, full: DataFrame) -> list[DataFrame]:
     """Links among the candidate pairs.
 
-    Pairs that hang together form a family. Families that fit into one unit are answered by a
-    matrix product, each set sent once. In larger ones a set is first compared with the one it meets
-    most; what is left between components comes after.
+    Families that fit into one unit are answered there, each set sent once. In larger ones a set is
+    first compared with the one it meets most; what is left between components comes after.
     """
     family = materialize(components(pairs.select("a", "b")), "jaccard-families")
     sizes = pairs.select(F.col("a").alias("node"), F.col("na").alias("n")).unionByName(pairs.select(F.col("b").alias("node"), F.col("nb").alias("n"))).distinct()
     totals = family.join(sizes, "node").groupBy("component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t"))
-    large = totals.where((F.col("c") > 2 * BLOCK_SETS) | (F.col("t") > 2 * BLOCK_ITEMS)).select("component")
+    large = materialize(totals.where((F.col("c") > 2 * BLOCK_SETS) | (F.col("t") > 2 * BLOCK_ITEMS)).select("component"), "jaccard-large")
     unit = family.join(large, "component", "left_anti").select(F.col("component").alias("unit"), F.col("node").alias("rep"))
     links = [_unit_links(unit, full, "jaccard-small-links")]
     if large.isEmpty():
@@ -291,81 +333,162 @@ def _short_lists(pairs: DataFrame, full: DataFrame) -> list[DataFrame]:
     pairs = materialize(pairs.join(inside, "a", "left_semi"), "jaccard-large-pairs")
     best = pairs.groupBy("b").agg(F.max(F.struct("met", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
     links.append(_linked(best, full))
-    rest = pairs.join(best.withColumn("_done", F.lit(True)), ["a", "b"], "left").where("_done IS NULL")
-    links.append(_linked(_across(rest, _labels(links)), full))
+    labels = _labels(links)
+    la = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    lb = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    rest = pairs.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    links.append(_linked(rest.select("a", "b"), full))
     return links
 
 
-def _unit_links(units: DataFrame, full: DataFrame, name: str) -> DataFrame:
-    """Links inside each unit (unit, rep) of bounded size, as stars."""
+def _linked(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets are linked."""
+    left = full.select(F.col("rep").alias("a"), F.col("items").alias("x"))
+    right = full.select(F.col("rep").alias("b"), F.col("items").alias("y"))
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
 
-    def link(table: pa.Table) -> pa.Table:
-        reps = table.column("rep").to_numpy()
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("items")]
-        a, b = _block_links(reps, sets)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    def run(batches):
+        for part in batches:
+            keep = []
+            for x, y in zip(part.column(2), part.column(3), strict=True):
+                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                z = np.concatenate([p, q])
+                z.sort()
+                keep.append(int((z[1:] == z[:-1]).sum()) >= _need(len(z)))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return materialize(units.join(full, "rep").groupBy("unit").applyInArrow(link, "a long, b long"), name)
+    return materialize(both.mapInArrow(run, "a long, b long"), "jaccard-links", ROWS)
 
 
-def _block_links(reps: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Links among the sets of one unit, as a star (member, first) for each component.
+def answers(sets: list[np.ndarray]) -> np.ndarray:
+    """Of the sets of one unit, which one each is tied to by links (itself for one of each group).
 
-    All overlaps come from products of membership matrices, a bounded number of shingles at a time;
-    shingles of one set alone can't add to an overlap and are left out.
+    A set without a group counts its shingles through the unit's index: its answers. Sets linked to
+    it, directly or by others, derive theirs from these by the shingles that differ.
     """
-    size = np.array([len(x) for x in sets])
-    flat = np.concatenate(sets)
-    row = np.repeat(np.arange(len(sets)), size)
-    values, column, count = np.unique(flat, return_inverse=True, return_counts=True)
-    place = np.cumsum(count > 1) - 1
-    keep = count[column] > 1
-    row, column = row[keep], place[column[keep]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    overlap = np.zeros((len(sets), len(sets)), np.float32)
-    width = int(place[-1]) + 1 if len(place) else 0
-    for first in range(0, width, COLUMNS):
-        lo, hi = np.searchsorted(column, (first, first + COLUMNS))
-        x = np.zeros((len(sets), min(COLUMNS, width - first)), np.float32)
-        x[row[lo:hi], column[lo:hi] - first] = 1
-        overlap += x @ x.T
-    near = 100 * overlap >= 75 * (size[:, None] + size[None, :] - overlap)
+    n = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), n)
+    _, token, count = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+    shared = count[token] > 1  # others can't add to an overlap
+    owner, token = owner[shared], token[shared]
+    order = np.argsort(token, kind="stable")
+    entries = owner[order]
+    ends = np.cumsum(np.bincount(token, minlength=len(count)))
+    own = np.split(token, np.cumsum(np.bincount(owner, minlength=len(sets)))[:-1])
+
+    def counts(tokens):
+        if not len(tokens):
+            return np.zeros(len(sets), np.int64)
+        lo = np.where(tokens > 0, ends[tokens - 1], 0)
+        size = ends[tokens] - lo
+        at = np.arange(size.sum()) + np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+        return np.bincount(entries[at], minlength=len(sets))
+
     root = np.full(len(sets), -1)
-    for i in range(len(sets)):
-        if root[i] < 0:
-            front = np.array([i])
-            root[i] = i
-            while len(front):
-                reached = near[front].any(axis=0) & (root < 0)
-                front = np.flatnonzero(reached)
-                root[front] = i
-    tied = np.flatnonzero(root != np.arange(len(sets)))
-    return reps[tied], reps[root[tied]]
-
-
-def _long_lists(rows: DataFrame, full: DataFrame, labels: DataFrame) -> DataFrame:
-    """Links (a, b) found in the long lists, as stars; lists inside one component are skipped.
-
-    A list is dealt into blocks of bounded rows and shingles, by size class where it takes several,
-    and a task gets two blocks at most: sets of classes too far apart never meet. Each set is sent
-    once a unit, not once a pair, and only a spanning star of the links comes out.
+    for first in np.argsort(n, kind="stable")[::-1]:
+        if root[first] >= 0:
+            continue
+        root[first] = first
+        base = counts(own[first])
+        open_ = np.flatnonzero((root < 0) & (base > 0))
+        front = [first]
+        while front and len(open_):
+            x = front.pop()
+            if x == first:
+                overlap = base[open_]
+            else:
+                gained = np.setdiff1d(own[x], own[first], assume_unique=True)
+                if not (base[open_] + len(gained) >= _need(n[x] + n[open_])).any():
+                    continue
+                lost = np.setdiff1d(own[first], own[x], assume_unique=True)
+                overlap = (base + counts(gained) - counts(lost))[open_]
+            hit = overlap >= _need(n[x] + n[open_])
+            new = open_[hit]
+            root[new] = first
+            front.extend(new.tolist())
+            open_ = open_[~hit]
+            if x == first and len(new):  # their further shingles may reach sets that the first doesn't meet
+                open_ = np.flatnonzero(root < 0)
+    return root
+
+
+def _unit_links(units: DataFrame, full: DataFrame, name: str) -> DataFrame:
+    """Links inside each unit (unit, rep) of bounded size, as stars (a, b)."""
+
+    def tied(reps, sets):
+        reps = np.array(reps, np.int64)
+        root = answers(sets)
+        far = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([pa.array(reps[far]), pa.array(reps[root[far]])], names=["a", "b"])
+
+    def run(batches):
+        unit, reps, sets = None, [], []
+        for part in batches:
+            for u, rep, items in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                if u != unit:
+                    if len(reps) > 1:
+                        yield tied(reps, sets)
+                    unit, reps, sets = u, [], []
+                reps.append(rep)
+                sets.append(np.frombuffer(items, np.uint64))
+        if len(reps) > 1:
+            yield tied(reps, sets)
+        tidy()
+
+    dealt = units.join(full, "rep").select("unit", "rep", "items").repartition("unit").sortWithinPartitions("unit")
+    return materialize(dealt.mapInArrow(run, "a long, b long"), name, ROWS)
+
+
+def _leaders(rows: DataFrame, unlisted: DataFrame, full: DataFrame) -> DataFrame:
+    """Links (a, b) that the leader of each long list has, and those found beside them.
+
+    The leader is the set with the fewest posted shingles outside long lists. Sets of its lists are
+    dealt into units of bounded size that all hold the leader, each set once a leader.
+    """
+    placed = rows.join(unlisted.select("rep", "cold"), "rep")
+    leaders = placed.groupBy("h").agg(F.min(F.struct("cold", "n", "rep")).alias("m")).select("h", F.col("m.rep").alias("leader"), F.col("m.n").alias("ln"))
+    close = (F.least("n", "ln") * 100 >= F.greatest("n", "ln") * 75) & (F.col("rep") != F.col("leader"))
+    met = materialize(rows.join(leaders, "h").where(close).groupBy("leader", "rep", "n").agg(F.count(F.lit(1)).alias("met")), "jaccard-led")
+    size = met.groupBy("leader").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_ITEMS)).cast("int").alias("k"))
+    dealt = met.join(size, "leader").select(F.xxhash64("leader", F.pmod(F.xxhash64("rep"), F.col("k"))).alias("unit"), "leader", "rep")
+    units = dealt.select("unit", "rep").unionByName(dealt.select("unit", F.col("leader").alias("rep")).distinct())
+    return _unit_links(units, full, "jaccard-leader-links")
+
+
+def _blocks(rows: DataFrame, full: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """Links (a, b) found in long lists that aren't inside one component yet, as stars.
+
+    A list is cut into blocks of bounded rows and shingles; where it takes several, by size class,
+    position class and, for components with many rows, component. Two blocks meet only if the sizes
+    in them allow a link, if enough shingles lie behind the positions in them (where linked sets
+    meet first, all they share lies there), and if they aren't of one component.
     """
     known = labels.select(F.col("node").alias("rep"), "component")
     placed = rows.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     lists = placed.groupBy("h").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("_c"), F.sum("n").alias("_n")).where("_lo <> _hi")
     many = (F.col("_c") > BLOCK_SETS) | (F.col("_n") > BLOCK_ITEMS)
-    # sizes of one class differ by less than 4/3, so links stay inside a class or join neighbours
-    size_class = F.when(many, F.floor(F.log("n") / F.log(F.lit(4 / 3)))).otherwise(F.lit(0)).cast("int")
-    rows = materialize(placed.join(lists.select("h", "_c", "_n"), "h").select("h", "rep", "n", size_class.alias("s")), "jaccard-open")
-    blocks = rows.groupBy("h", "s").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_ITEMS)).cast("int").alias("k"))
-    rows = materialize(rows.join(blocks, ["h", "s"]).select("h", "rep", "s", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int").alias("b")), "jaccard-long")
-    each = blocks.select("h", "s", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("b"))
-    other = each.select("h", F.col("s").alias("s2"), F.col("b").alias("b2"))
-    units = each.join(other, "h").where(((F.col("s2") == F.col("s")) & (F.col("b2") >= F.col("b"))) | (F.col("s2") == F.col("s") + 1))
-    # a block that meets another also meets itself there; alone it is its own unit
-    units = units.withColumn("unit", F.xxhash64("h", "s", "b", "s2", "b2"))
-    first = units.select("unit", "h", "s", "b")
-    second = units.where("s <> s2 OR b <> b2").select("unit", "h", F.col("s2").alias("s"), F.col("b2").alias("b"))
-    dealt = rows.join(first.unionByName(second), ["h", "s", "b"]).select("unit", "rep")
-    return _unit_links(dealt, full, "jaccard-long-links")
+    placed = materialize(placed.join(lists.select("h", many.alias("many")), "h"), "jaccard-open")
+    if placed.isEmpty():
+        return None
+    # sizes of one class differ by less than 4/3; positions are classed by 28ths of the size
+    size_class = F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int") * 8 + F.floor(28 * F.col("pos") / F.col("n")).cast("int")
+    shares = placed.groupBy("h", "component").agg((F.count(F.lit(1)) > BLOCK_SETS // 4).alias("own")).where("own")
+    placed = placed.join(shares, ["h", "component"], "left")
+    placed = placed.select("h", "rep", "n", "pos", F.when(F.col("many"), size_class).otherwise(0).alias("s"), F.when(F.col("many") & F.col("own"), F.col("component")).alias("of"))
+    groups = placed.groupBy("h", "s", "of").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_ITEMS)).cast("int").alias("k"))
+    same = lambda a, b: (a["h"] == b["h"]) & (a["s"] == b["s"]) & a["of"].eqNullSafe(b["of"])
+    p, g = placed.alias("p"), groups.alias("g")
+    dealt = p.join(g, same(_of("p"), _of("g"))).select("p.*", F.xxhash64("p.h", "p.s", F.coalesce("p.of", F.lit(0)), F.col("p.of").isNull(), F.pmod(F.xxhash64("p.rep"), F.col("g.k"))).alias("block"))
+    dealt = materialize(dealt, "jaccard-long")
+    x = dealt.groupBy("h", "block", "of").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+    y = x.select("h", *[F.col(c).alias(c + "2") for c in ("block", "of", "lo", "hi", "rest")])
+    need = F.floor((3 * (F.col("lo") + F.col("lo2")) + 6) / 7)
+    fit = (F.col("hi") * 100 >= F.col("lo2") * 75) & (F.col("hi2") * 100 >= F.col("lo") * 75) & (F.least("rest", "rest2") >= need)
+    units = x.join(y, "h").where((F.col("block") <= F.col("block2")) & fit & ~F.coalesce(F.col("of") == F.col("of2"), F.lit(False)))
+    units = materialize(units.select("block", "block2", F.xxhash64("block", "block2").alias("unit")), "jaccard-units")
+    both = units.select("unit", "block").unionByName(units.where("block <> block2").select("unit", F.col("block2").alias("block")))
+    return _unit_links(dealt.select("block", "rep").join(both, "block").select("unit", "rep"), full, "jaccard-long-links")
+
+
+def _of(alias: str) -> dict:
+    return {c: F.col(f"{alias}.{c}") for c in ("h", "s", "of")}

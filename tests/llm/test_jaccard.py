@@ -76,7 +76,7 @@ def test_families_and_boilerplate(spark, monkeypatch, blocks):
     rng.shuffle(rows)
     monkeypatch.setattr(jaccard, "OFTEN", 8)
     monkeypatch.setattr(jaccard, "BLOCK_SETS", blocks)
-    monkeypatch.setattr(jaccard, "COLUMNS", 64)
+    monkeypatch.setattr(jaccard, "PAIRS", 64)
     monkeypatch.setattr(jaccard, "SHORT_LIST", 12 if blocks == 7 else 400)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert answer(jaccard.jaccard_components(df)) == plain(sorted(rows))
