@@ -74,7 +74,7 @@ def _sizes(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         held, size, known = [], 0, set()
-        for part in text_batches(batches, rows=ROWS):
+        for part in text_batches(batches, rows=ROWS, size=1_000_000):
             sets = shingles.sets(_raw(part, 1))
             keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             none = pa.nulls(len(sets), pa.list_(pa.int64()))
@@ -103,7 +103,7 @@ def _prefixes(texts: DataFrame, common: np.ndarray) -> DataFrame:
     known = common[rank]
 
     def run(batches):
-        for part in text_batches(batches, rows=ROWS):
+        for part in text_batches(batches, rows=ROWS, size=1_000_000):
             reps = part.column(0).to_numpy()
             hs, hots, ns = [], [], []
             for s in shingles.sets(_raw(part, 1)):
@@ -232,7 +232,7 @@ def _full_sets(texts: DataFrame) -> DataFrame:
     """The whole sets of ``texts`` (rep, text), as sorted 64-bit hashes in a binary."""
 
     def run(batches):
-        for part in text_batches(batches, rows=ROWS):
+        for part in text_batches(batches, rows=ROWS, size=1_000_000):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingles.sets(_raw(part, 1))], pa.binary())], names=["rep", "items"])
 
     return materialize(texts.mapInArrow(run, "rep long, items binary"), "jaccard-sets", ROWS)

@@ -152,7 +152,7 @@ def _contexts(texts: DataFrame) -> DataFrame:
     """Of texts with their repeated seeds: contexts of ordinary seeds, window hashes of crowded ones."""
 
     def run(batches):
-        for part in text_batches(batches, rows=500):
+        for part in text_batches(batches, rows=500, size=1_000_000):
             out: dict[str, list] = {x: [] for x in ("seed", "doc", "at", "left", "right")}
             for doc, w, hits in zip(part.column(0).to_pylist(), _word_lists(strings(part.column(1))), part.column(2).to_pylist(), strict=True):
                 short = (w >> np.uint64(32)).astype(np.uint32)
@@ -237,7 +237,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     src = docs.select(docs[doc_id].cast("long").alias("doc"), docs[text].cast("string").alias("t")).where("doc IS NOT NULL AND t IS NOT NULL")
 
     def run(batches):
-        for part in text_batches(batches, rows=500):
+        for part in text_batches(batches, rows=500, size=1_000_000):
             ids, keys, sizes, ats, hashes = [], [], [], [], []
             for doc, key, w in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), _word_lists(strings(part.column(1))), strict=True):
                 if len(w) < LENGTH:

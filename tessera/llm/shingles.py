@@ -29,11 +29,16 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+#: Bytes of a word that are hashed by place; what follows is hashed on its own.
+SHORT = 64
+_PLACE = np.append(_powers(SHORT), np.uint64(0))
+
+
 def words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of all texts end to end, the text each is of, and each one's byte range.
 
     Words are runs of bytes other than space and 0x09-0x0D; A-Z count as a-z. A word's hash is a
-    polynomial over random byte values, taken from its first byte on and then mixed.
+    polynomial over random byte values, then mixed.
     """
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     if lower:
@@ -47,21 +52,14 @@ def words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarra
     owner = np.searchsorted(first, starts, side="right") - 1
     if not len(starts):
         return np.zeros(0, np.uint64), owner, starts, ends
-    # Horner's rule from the left, all words of a length class at once by doubling the place value
     length = ends - starts
-    h = np.zeros(len(starts), np.uint64)
-    values = _BYTE[data]
-    order = np.argsort(length, kind="stable")
-    by = length[order]
-    at = 0
-    for k in range(int(by[-1]) if by[-1] <= 64 else 64):
-        at = np.searchsorted(by, k, side="right")
-        if at == len(by):
-            break
-        live = order[at:]
-        h[live] = (h[live] ^ values[starts[live] + k]) * _STEP
-    for i in np.flatnonzero(length > 64):
-        tail = values[starts[i] + 64 : ends[i]]
+    # each byte's value times the power of its place in the word, added up by word
+    word = np.cumsum(inside & ~np.concatenate([[False], inside[:-1]]), dtype=np.int32) - 1
+    place = np.minimum(np.arange(len(data), dtype=np.int32) - starts.astype(np.int32)[word], SHORT)
+    values = np.where(inside, _BYTE[data], np.uint64(0))
+    h = np.add.reduceat(values * _PLACE[place], starts)
+    for i in np.flatnonzero(length > SHORT):
+        tail = values[starts[i] + SHORT : ends[i]]
         p = _powers(len(tail))[::-1]
         with np.errstate(over="ignore"):
             h[i] = mix(h[i : i + 1])[0] * _STEP + (mix(tail + np.arange(len(tail), dtype=np.uint64) * _A) * p).sum(dtype=np.uint64)
