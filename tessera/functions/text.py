@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,18 +37,27 @@ def normalize_answer(c: Column) -> Column:
     return py_strip(collapse_space(F.regexp_replace(F.lower(py_strip(c)), PUNCTUATION + r"+\z", "")))
 
 
+@lru_cache(maxsize=1)
 def _accents() -> tuple[str, str]:
-    """Letters of Latin-1 and Latin Extended-A/B whose decomposition starts with an ASCII letter."""
-    pairs = [(chr(i), unicodedata.normalize("NFD", chr(i))) for i in range(0xC0, 0x250)]
-    pairs = [(a, d[0]) for a, d in pairs if len(d) > 1 and d[0].isascii()]
+    """Characters that canonical decomposition turns into one character and marks; these characters."""
+    pairs = []
+    for i in range(0xC0, sys.maxunicode + 1):
+        if unicodedata.decomposition(chr(i)):
+            bare = "".join(x for x in unicodedata.normalize("NFD", chr(i)) if unicodedata.category(x)[0] != "M")
+            if len(bare) == 1 and bare != chr(i):
+                pairs.append((chr(i), bare))
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+def strip_accents(c: Column) -> Column:
+    """Letters without their marks, composed or not; ASCII texts pass as they are."""
+    return F.when(c.rlike(r"[^\x00-\x7f]"), F.regexp_replace(F.translate(c, *_accents()), r"\p{M}+", "")).otherwise(c)
+
+
 def normalize_text(c: Column) -> Column:
     """Drop (…) and […], accents and case; symbols become spaces; white space collapses."""
     bare = F.regexp_replace(F.regexp_replace(c, r"\([^)]*\)", ""), r"\[[^\]]*\]", "")
-    plain = F.lower(F.translate(bare, *_accents()))
-    return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(F.lower(strip_accents(bare)), r"[^\p{L}\p{N}]+", " "))
 
 
 def tokens(c: Column) -> Column:

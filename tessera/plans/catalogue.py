@@ -258,6 +258,24 @@ def normalize_answer(spark, sf):
     return rows.select("id", tx.normalize_answer(F.col("s")).alias("norm"))
 
 
+_SCRIPTS = [
+    ("vi", "Ti\u1ebfng Vi\u1ec7t (bỏ) r\u1ea5t \u0110\u1eb9p!"),
+    ("el", "\u039a\u03b1\u03bb\u03b7\u03bc\u03ad\u03c1\u03b1, \u1fbc\u03b4\u03b7\u03c2"),
+    ("nfd", "e\u0301lan vital, na\u0308ive [x]"),
+    ("ru", "\u0401\u043b\u043a\u0430 \u0439 \u0456\u0457"),
+    ("ko", "\ud55c\uad6d\uc5b4 - \ub9d0"),
+    ("hi", "\u0939\u093f\u0928\u094d\u0926\u0940"),
+    ("cjk", "\u6771\u4eac\u3002\u304c\u30d1"),
+    ("ascii", "  Plain, (gone) TEXT-1 "),
+]
+
+
+@query(f"SELECT id, {sql_normalize('s')} AS norm FROM (SELECT CAST(doc_id AS VARCHAR) AS id, text AS s FROM documents UNION ALL SELECT * FROM (VALUES {', '.join(f'({chr(39)}{i}{chr(39)}, {_sql_str(s)})' for i, s in _SCRIPTS)}) e(id, s))")
+def normalize_scripts(spark, sf):
+    rows = v.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("s")).unionByName(spark.createDataFrame(_SCRIPTS, "id string, s string"))
+    return rows.select("id", tx.normalize_text(F.col("s")).alias("norm"))
+
+
 _KEYS = [(1, "module.a.weight"), (1, "b.weight_x"), (2, "a.weight"), (2, "submodule.b")]
 
 
