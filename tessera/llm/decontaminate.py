@@ -6,6 +6,11 @@ hashed and joined with those of the benchmark. Windows on one diagonal (same off
 document and item) are then put together, and their slots are checked: a benchmark value must meet
 one value everywhere, and different names different ones (different numbers may meet equal ones).
 What remains is a verbatim or a re-parameterised copy.
+
+The windows of all documents aren't built for that. Each benchmark window has an anchor, its rarest
+literal word. A document that matches enough windows of an item holds their anchors, so one pass
+over the words of the documents tells which documents can match at all, whatever the size of the
+benchmark; the others aren't looked at again.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import without
+from tessera.llm.common import BROADCAST_IDS, materialize, without
 
 WINDOW = 8
 #: Words of a window that must be literal, else it says too little.
@@ -24,6 +29,8 @@ LITERALS = 4
 COVERAGE = 0.4
 #: Windows of the benchmark in one broadcast; larger benchmarks go in blocks of this many.
 BLOCK = 100_000
+#: Rows of anchors (a word of an item) that are broadcast; with more they meet words by a shuffle.
+BROADCAST_ANCHORS = 1_000_000
 
 #: Units that may follow a number.
 UNITS = "mm cm m km in ft yd mi mile miles meter meters metre metres kilometer kilometers kilometre kilometres mg g kg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons tonne tonnes ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years kmh mph percent dollar dollars cent cents euro euros usd eur gbp k w kw v hz khz mhz ghz kb mb gb tb".split()
@@ -109,9 +116,9 @@ def _first_word(path: Column, pos: Column) -> Column:
     return F.when((path == "c") & (pos > 0), F.size(F.split(F.array_join(F.slice("c", 1, F.greatest(pos, F.lit(1))), "_"), "_"))).otherwise(pos)
 
 
-def _loose(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id: str, item_text: str) -> DataFrame | None:
-    """Pairs whose names have other word counts, whose case differs, or whose items have too few
-    literal words for a template and occur verbatim; columns as :func:`contamination`."""
+def _loose_items(benchmark: DataFrame, item_id: str, item_text: str) -> tuple[DataFrame, list[int], bool]:
+    """Windows of the second way with an item's ids and words, their lengths, and whether items
+    are matched by their words as they are."""
     items = _loose_tokens(benchmark.where(benchmark[item_id].isNotNull()), item_text, benchmark[item_id].alias("item_id")).dropDuplicates()
     strict = lambda k: F.size(F.array_distinct(F.filter(k, lambda x: ~x.startswith("#")))) >= LITERALS
     template = F.split(_template(F.array_join("w", " ")), " ")
@@ -119,14 +126,20 @@ def _loose(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_i
     usable = F.exists(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: strict(F.slice(F.col("k"), i, size)))
     items = items.withColumn("k", template).withColumn("plain", ~usable).drop("k")
     sizes = sorted({m for r in items.select(F.least(F.size("w"), F.lit(WINDOW)).alias("a"), F.least(F.size("c"), F.lit(WINDOW)).alias("b")).distinct().collect() for m in r if m >= LITERALS})
-    if not sizes:
-        return None
     raw = bool(items.where(F.col("plain")).limit(1).count())
+    if not sizes:
+        sizes = [WINDOW]
     path, pos = F.col("path"), F.col("pos")
     windows = _loose_windows(items, "item_id", sizes, raw).where(F.col("n") == F.least(F.size(_own(path)), F.lit(WINDOW)))
     tokens = F.when(path == "c", F.col("ck")).when(path == "l", F.col("l")).otherwise(F.transform("w", lambda x: F.lower(x)))
     windows = windows.select("hash", "item_id", "plain", path.alias("bpath"), _first_word(path, pos).alias("wpos"), F.slice(_own(path), pos + 1, F.col("n")).alias("bw"), F.slice(tokens, pos + 1, F.col("n")).alias("bk"))
-    windows = windows.where(F.when(F.col("bpath") == "v", F.col("plain")).otherwise(strict("bk")))
+    return windows.where(F.when(F.col("bpath") == "v", F.col("plain")).otherwise(strict("bk"))), sizes, raw
+
+
+def _loose(docs: DataFrame, windows: DataFrame, sizes: list[int], raw: bool, doc_id: str, text: str) -> DataFrame | None:
+    """Pairs whose names have other word counts, whose case differs, or whose items have too few
+    literal words for a template and occur verbatim; columns as :func:`contamination`."""
+    path, pos = F.col("path"), F.col("pos")
     blocks = -(-windows.count() // BLOCK)
     spread = _loose_windows(_loose_tokens(docs.where(docs[doc_id].isNotNull()), text, docs[doc_id].alias("doc_id")), "doc_id", sizes, raw).drop("ck", "l")
     hits = []
@@ -157,16 +170,19 @@ def _loose(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_i
     return best.join(totals, "item_id").select("doc_id", "item_id", F.col("m.n_windows").alias("n_windows"), "item_windows", (F.col("m.n_windows") / F.col("item_windows")).alias("coverage"), F.col("m.n_slots").alias("n_slots"), (-F.col("m.unchanged")).alias("n_changed"), (-F.col("m.early")).cast("long").alias("position"))
 
 
-def _strict(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id: str, item_text: str) -> DataFrame | None:
-    """Best diagonal of each pair by the template of single tokens; columns as :func:`contamination`."""
+def _strict_items(benchmark: DataFrame, item_id: str, item_text: str) -> dict[int, DataFrame]:
+    """Windows of the first way by their length; items under eight tokens are one window."""
     items = _tokens(benchmark.where(benchmark[item_id].isNotNull()), item_text, benchmark[item_id].alias("item_id")).dropDuplicates()
     lengths = items.select(F.least(F.size("k"), F.lit(WINDOW)).alias("n")).distinct()
     sizes = sorted(r["n"] for r in lengths.collect() if r["n"] >= LITERALS)  # at most eight lengths
+    return {k: _item_windows(items.where((F.size("k") >= WINDOW) if k == WINDOW else (F.size("k") == k)), k) for k in sizes}
+
+
+def _strict(docs: DataFrame, by_size: dict[int, DataFrame], doc_id: str, text: str) -> DataFrame | None:
+    """Best diagonal of each pair by the template of single tokens; columns as :func:`contamination`."""
     tokens = _hashed(_tokens(docs.where(docs[doc_id].isNotNull()), text, docs[doc_id].alias("doc_id")))
     hits: list[DataFrame] = []
-    for k in sizes:
-        own = items.where((F.size("k") >= WINDOW) if k == WINDOW else (F.size("k") == k))
-        windows = _item_windows(own, k)
+    for k, windows in by_size.items():
         blocks = -(-windows.count() // BLOCK)
         for b in range(blocks):
             block = windows if blocks == 1 else windows.where(F.pmod("hash", F.lit(blocks)) == b)
@@ -191,12 +207,39 @@ def _strict(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_
     other_way = F.size(F.array_distinct(F.transform(names, lambda s: s["d"]))) == F.size(names)
     diagonal = diagonal.where(one_way & other_way)
     diagonal = diagonal.select("doc_id", "item_id", "shift", "n_windows", F.size("pairs").cast("long").alias("n_slots"), F.size(F.filter("pairs", lambda s: s["b"] != s["d"])).cast("long").alias("n_changed"))
-    totals = reduce(DataFrame.unionByName, [_item_windows(items.where((F.size("k") >= WINDOW) if k == WINDOW else (F.size("k") == k)), k) for k in sizes]).groupBy("item_id").agg(F.count_distinct("wpos").alias("item_windows"))
+    totals = reduce(DataFrame.unionByName, by_size.values()).groupBy("item_id").agg(F.count_distinct("wpos").alias("item_windows"))
     best = diagonal.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", (-F.col("n_changed")).alias("unchanged"), (-F.col("shift")).alias("early"), "n_slots")).alias("m"))
     out = best.join(totals, "item_id").select("doc_id", "item_id", F.col("m.n_windows").alias("n_windows"), "item_windows", (F.col("m.n_windows") / F.col("item_windows")).alias("coverage"), F.col("m.n_slots").alias("n_slots"), (-F.col("m.unchanged")).alias("n_changed"), (-F.col("m.early")).cast("long").alias("position"))
     return out
 
 
+def _suspects(docs: DataFrame, windows: list[DataFrame], doc_id: str, text: str) -> DataFrame | None:
+    """Ids (_suspect) of the documents that hold the anchors of COVERAGE of an item's windows.
+
+    ``windows`` has those of each way (item_id, wpos, bk). None where an item's windows without a
+    word of letters make up COVERAGE: then any document may match.
+    """
+    letters = F.filter("bk", lambda x: x.rlike(r"^\p{L}+$"))
+    every = [w.select(F.lit(i).alias("way"), "item_id", "wpos", letters.alias("words")) for i, w in enumerate(windows)]
+    every = materialize(reduce(DataFrame.unionByName, every).distinct(), "benchmark-windows")
+    total = every.groupBy("way", "item_id").agg(F.count_distinct("wpos").alias("total"), F.count_if(F.size("words") == 0).alias("free"))
+    if total.where(F.col("free") >= COVERAGE * F.col("total")).limit(1).count():
+        return None
+    # of a window's words the one in the fewest items, then the longest: any choice gives the same pairs
+    spread = every.select("way", "item_id", "wpos", "words", F.explode("words").alias("word"))
+    known = spread.groupBy("word").agg(F.count_distinct("item_id").alias("items"))
+    best = F.min_by("word", F.struct("items", -F.length("word"), "word"))
+    anchors = spread.join(known, "word").groupBy("way", "item_id", "wpos", "words").agg(best.alias("word")).groupBy("word", "way", "item_id").agg(F.count(F.lit(1)).alias("held"))
+    anchors = materialize(anchors.join(total, ["way", "item_id"]), "benchmark-anchors")
+    small = anchors.count() <= BROADCAST_ANCHORS
+    said = docs.where(docs[doc_id].isNotNull()).select(docs[doc_id].alias("_suspect"), F.explode(F.split(docs[text].cast("string"), r"[^\p{L}]+")).alias("_said"))
+    said = said.withColumn("_said", F.lower("_said"))
+    met = said.join(F.broadcast(anchors) if small else anchors, said["_said"] == anchors["word"])
+    once = met.groupBy("_suspect", "way", "item_id", "word").agg(F.first("held").alias("held"), F.first("total").alias("total"), F.first("free").alias("free"))
+    sums = once.groupBy("_suspect", "way", "item_id").agg((F.sum("held") + F.first("free")).alias("held"), F.first("total").alias("total"))
+    return materialize(sums.where(F.col("held") >= COVERAGE * F.col("total") - 1e-9).select("_suspect").distinct(), "benchmark-suspects")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs of document and benchmark item whose templates agree with consistent slots.
 
@@ -212,10 +255,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     without a window of four different literal words match by their lowered words as they are.
     Their figures are those of the second way, with ``position`` that of the first diagonal.
 
-    The documents are read once per window length and block of benchmark windows, and once per
-    block in the second way; only matched windows are shuffled, by (document, item, diagonal).
+    The documents are read once for their words; those that hold the anchors of enough windows of
+    an item are read once per window length and block of benchmark windows, and once per block in
+    the second way. Only words that are anchors and matched windows are shuffled.
     """
-    found = [f(docs, benchmark, doc_id, text, item_id, item_text) for f in (_strict, _loose)]
+    by_size = {k: materialize(w, "benchmark-templates") for k, w in _strict_items(benchmark, item_id, item_text).items()}
+    windows, sizes, raw = _loose_items(benchmark, item_id, item_text)
+    windows = materialize(windows, "benchmark-loose")
+    some = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
+    suspects = _suspects(some, [*by_size.values(), windows], "doc_id", "text")
+    if suspects is not None:
+        few = suspects.count() <= BROADCAST_IDS
+        some = some.join(F.broadcast(suspects) if few else suspects, some["doc_id"] == suspects["_suspect"], "left_semi")
+    found = [_strict(some, by_size, "doc_id", "text"), _loose(some, windows, sizes, raw, "doc_id", "text")]
     found = [x.where(F.col("coverage") >= COVERAGE).withColumn("way", F.lit(-i)) for i, x in enumerate(found) if x is not None]
     if not found:
         none = "doc_id {}, item_id {}, n_windows long, item_windows long, coverage double, n_slots long, n_changed long, position long"
