@@ -5,11 +5,15 @@ windows of fifty words, so that every passage of fifty words holds one, at the s
 of its occurrences. From a kept position two seeds start: 29 words to the right, and 29 that end
 with the gram. A shared passage of fifty words around the position contains one of the two whole.
 
-Suffixes with equal seeds are sorted by the words that follow (and, reversed, by those before);
-neighbours have the longest common extensions, so each suffix is compared with its neighbours and
-extended left and right; fifty-word windows around the seed that no neighbour covers are compared
-with those of all its suffixes by hash. Seeds with very many suffixes skip the sort: all fifty-word windows around
-the seed are counted by hash, which needs no rows of a seed together.
+Of a passage around a seed, at least eleven words lie on one side of it. So the suffixes of a seed
+are dealt out by the eleven words that follow it, and once more by the eleven before it: what is
+compared in one place agrees in forty words, and a seed that many texts have falls into parts.
+There, suffixes are sorted by the words that follow (and, reversed, by those before); neighbours have
+the longest common extensions, so each suffix is compared with its neighbours and extended left and
+right; fifty-word windows around the seed that no neighbour covers are compared with those of all
+suffixes of the part by hash. Of copies of a text one stands for all. Seeds with more suffixes than
+a task may hold have all fifty-word windows around them counted by hash, which needs no rows of a
+seed together.
 """
 
 from __future__ import annotations
@@ -30,8 +34,10 @@ SEED = 29
 REST = LENGTH - SEED
 #: Words of context on each side; longer passages are covered by their next positions.
 REACH = 50
-#: Suffixes of one seed that are sorted in one task; with more, windows are counted instead.
-SORTED = 2_000
+#: Words next to a seed by which its suffixes are dealt out.
+SPREAD = (REST + 1) // 2
+#: Suffixes of one seed that a task may hold (400 bytes each); with more, windows are counted instead.
+SORTED = 100_000
 
 
 def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
@@ -154,21 +160,26 @@ def _contexts(texts: DataFrame) -> DataFrame:
     def run(batches):
         for part in text_batches(batches, rows=500, size=1_000_000):
             out: dict[str, list] = {x: [] for x in ("seed", "doc", "at", "left", "right")}
+            wide = SEED + SPREAD
             for doc, w, hits in zip(part.column(0).to_pylist(), _word_lists(strings(part.column(1))), part.column(2).to_pylist(), strict=True):
                 short = (w >> np.uint64(32)).astype(np.uint32)
                 short[short == 0] = 1
                 padded = np.concatenate([np.zeros(REACH, np.uint32), short, np.zeros(REACH, np.uint32)])
                 crowded: set[int] = set()
+                spread = shingles.join_hashes(w, wide).view(np.int64) if len(w) >= wide else np.zeros(0, np.int64)
                 for hit in hits:
                     at = hit["at"]
                     if hit["crowded"]:
                         crowded.update(range(max(0, at - REST), min(at, len(w) - LENGTH) + 1))
                         continue
-                    out["seed"].append(hit["seed"])
-                    out["doc"].append(doc)
-                    out["at"].append(at)
-                    out["left"].append(padded[at : at + REACH][::-1].tobytes())
-                    out["right"].append(padded[REACH + at + SEED : 2 * REACH + at + SEED].tobytes())
+                    left, right = padded[at : at + REACH][::-1].tobytes(), padded[REACH + at + SEED : 2 * REACH + at + SEED].tobytes()
+                    for start in (at, at - SPREAD):  # with the words after the seed, with those before it
+                        if 0 <= start < len(spread):
+                            out["seed"].append(spread[start] ^ (start - at))
+                            out["doc"].append(doc)
+                            out["at"].append(at)
+                            out["left"].append(left)
+                            out["right"].append(right)
                 if crowded:  # windows of neighbouring seeds overlap; each counts once
                     starts = sorted(crowded)
                     out["seed"] += shingles.join_hashes(w, LENGTH).view(np.int64)[starts].tolist()
@@ -182,7 +193,7 @@ def _contexts(texts: DataFrame) -> DataFrame:
 
 
 def _compare(rows: DataFrame) -> DataFrame:
-    """Spans (doc, start, end) of matches among suffixes with equal seeds, at most SORTED each."""
+    """Spans (doc, start, end) of matches among the suffixes of each part of a seed, at most SORTED."""
 
     def answer(doc, at, left, right):
         doc, at = np.array(doc, np.int64), np.array(at, np.int64)
@@ -251,19 +262,19 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(ats, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))], names=["doc", "key", "n_words", "at", "seed"])
 
     keyed = src.select("doc", "t", F.xxhash64("t", F.md5("t")).alias("key"))
-    base = materialize(keyed.mapInArrow(run, "doc long, key long, n_words int, at array<int>, seed array<long>"), "repeat-seeds")
-    texts = materialize(base.groupBy("key").agg(F.min("doc").alias("doc"), F.max("doc").alias("other"), F.max("n_words").alias("n_words")), "repeat-texts")
+    base = materialize(keyed.mapInArrow(run, "doc long, key long, n_words int, at array<int>, seed array<long>"), "repeat-seeds", 500)
+    # of copies one text stands for all
+    first = F.min(F.struct("doc", "n_words", "at", "seed")).alias("m")
+    texts = materialize(base.groupBy("key").agg(first, F.max("doc").alias("other")).select("key", "m.*", "other"), "repeat-texts")
 
-    rows = base.select("doc", "key", F.explode(F.arrays_zip("at", "seed")).alias("z")).select("doc", "key", F.col("z.at").alias("at"), F.col("z.seed").alias("seed"))
+    rows = texts.select("doc", "key", F.explode(F.arrays_zip("at", "seed")).alias("z")).select("doc", "key", F.col("z.at").alias("at"), F.col("z.seed").alias("seed"))
     counts = rows.groupBy("seed").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi").select("seed", (F.col("c") > SORTED).alias("crowded"))
     met = rows.join(counts, "seed")
-    # of copies one text stands for all
-    met = met.join(texts.select("key", F.col("doc").alias("rep")), "key").where("doc = rep")
     hits = materialize(met.groupBy("doc").agg(F.collect_set(F.struct("at", "seed", "crowded")).alias("hits")), "repeat-hits")
     ids = hits.select("doc")
     small = hits.count() <= BROADCAST_IDS
     picked = src.join(F.broadcast(ids) if small else ids, "doc", "left_semi").join(hits, "doc").select("doc", "t", "hits")
-    rows = materialize(_contexts(picked), "repeat-suffixes")
+    rows = materialize(_contexts(picked), "repeat-suffixes", 500)
 
     crowded = rows.where("left IS NULL")
     often = crowded.groupBy("seed").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("seed")

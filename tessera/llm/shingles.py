@@ -55,7 +55,7 @@ def words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarra
     length = ends - starts
     # each byte's value times the power of its place in the word, added up by word
     word = np.cumsum(inside & ~np.concatenate([[False], inside[:-1]]), dtype=np.int32) - 1
-    place = np.minimum(np.arange(len(data), dtype=np.int32) - starts.astype(np.int32)[word], SHORT)
+    place = (np.arange(len(data), dtype=np.int32) - starts.astype(np.int32)[word]).clip(0, SHORT)
     values = np.where(inside, _BYTE[data], np.uint64(0))
     h = np.add.reduceat(values * _PLACE[place], starts)
     for i in np.flatnonzero(length > SHORT):
