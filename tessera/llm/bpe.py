@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import remember, strings, text_batches
+from tessera.llm.common import remember, spare_name, strings, text_batches
 from tessera.llm.pieces import CHUNK_ENTRIES, PieceEncoder
 
 OUT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -173,7 +173,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "t
     """
     made = {"n_tokens", "ids_sha256", "decoded_sha256"} | ({"ids"} if ids else set())
     keep = [c for c in docs.columns if c != text and c not in made]
-    src = docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias("_t"))
+    src = docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias(spare_name("text", keep)))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]), OUT, *(["ids array<int>"] if ids else [])])
 
     def run(batches):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import strings, text_batches
+from tessera.llm.common import spare_name, strings, text_batches
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = 4  # the first four kinds have base patterns
@@ -281,7 +281,7 @@ def spans(docs: DataFrame, model: SpanModel, text: str = "text") -> DataFrame:
     """
     made = {"n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"}
     keep = [c for c in docs.columns if c != text and c not in made]
-    src = docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias("_t"))
+    src = docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias(spare_name("text", keep)))
     names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]), "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"])
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +31,8 @@ from tessera.llm.pieces import PieceEncoder
 
 MAGIC = b"TEF1"
 SAMPLE = 256
+#: Documents read back at a time.
+READ = 10_000
 #: The library's model is slow on single pieces, so more of them are remembered (about 300 MB a worker).
 CHUNK_ENTRIES = 900_000
 PIECE_ENTRIES = 500_000
@@ -105,7 +108,7 @@ class TokenFileWriter:
 
     def __init__(self, stream, width: int):
         self.stream, self.width, self.at = stream, width, 0
-        self.ends, self.ids, self.unnamed = [], [], 0
+        self.ends, self.ids, self.unnamed = array("q"), array("q"), 0
         stream.write(MAGIC)
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
@@ -119,8 +122,8 @@ class TokenFileWriter:
 
     def close(self) -> None:
         base = self.ids[0] if self.ids else 0
-        a, raw_a = EliasFano.encode(np.array(self.ends, np.uint64)).parts()
-        b, raw_b = EliasFano.encode(np.array([x - base for x in self.ids], np.uint64)).parts()
+        a, raw_a = EliasFano.encode(np.frombuffer(self.ends, np.int64)).parts()
+        b, raw_b = EliasFano.encode(np.frombuffer(self.ids, np.int64) - base).parts()
         foot = json.dumps({"width": self.width, "n_ids": self.at, "bounds": a, "docs": b, "base": base, "unnamed": self.unnamed}).encode()
         self.stream.write(raw_a + raw_b + foot + len(foot).to_bytes(4, "little") + MAGIC)
         self.stream.close()
@@ -145,7 +148,14 @@ class TokenFile:
         return self.bounds.n
 
     def doc(self, i: int) -> np.ndarray:
-        return self.ids[self.bounds.select(i - 1) if i else 0 : self.bounds.select(i)]
+        return self.ids[self.start(i) : self.bounds.select(i)]
+
+    def start(self, i: int) -> int:
+        """Ids before document ``i``."""
+        return self.bounds.select(i - 1) if i else 0
+
+    def doc_id(self, i: int) -> int | None:
+        return self.docs.select(i - self.unnamed) + self.base if i >= self.unnamed else None
 
     def ends(self) -> np.ndarray:
         return self.bounds.decode()
@@ -276,7 +286,7 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
     """One row per document of the files: doc_id, start, n_tokens, ids_crc32 (see the query op9).
 
     ``files`` is a list as :func:`write_token_files` returns; starts come from a running sum over
-    files (one row each) plus the select structure of the file itself.
+    files (one row each) plus the file's select structures, which give each document's place and id.
     """
     spark = files.sparkSession
     before = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
@@ -289,20 +299,28 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
             for row in part.to_pylist():
                 with fs.open_input_stream(row["path"]) as f:
                     file = TokenFile(f.read())
-                ends = file.ends()
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                wide = file.ids.astype("<u4")
-                crc = [zlib.crc32(wide[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids(), pa.int64()), pa.array(starts + row["first"], pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                for low in range(0, len(file), READ):
+                    some = range(low, min(low + READ, len(file)))
+                    starts = [file.start(i) for i in some]
+                    ids = [file.doc(i) for i in some]
+                    crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
+                    yield pa.RecordBatch.from_arrays([pa.array([file.doc_id(i) for i in some], pa.int64()), pa.array([x + row["first"] for x in starts], pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` with its file system; one without a scheme is on Spark's default file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + found.removeprefix("file:") if found.startswith("file:/") and not found.startswith("file://") else found
+
+
 def token_files(docs: DataFrame, tokenizer_path: str, pattern: str, folder: str | None = None, end_id: int | None = 2) -> DataFrame:
     """Write token files for ``docs`` and return what they say when read back."""
     spark: SparkSession = docs.sparkSession
     folder = folder or scratch_path(spark, "token-files")
-    uri = folder if "://" in folder else ("file://" + folder.removeprefix("file:"))
+    uri = qualified(spark, folder)
     listing = write_token_files(docs, tokenizer_path, pattern, uri, end_id)
     path = scratch_path(spark, "token-file-list")
     listing.write.parquet(path)

@@ -21,7 +21,6 @@ STRANGE = st.text(alphabet="ab' \n\t\r\x1c\x85\xa0 sStTlLrRé日🎉0129!?-<|>
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     return t
 
 
@@ -165,3 +164,26 @@ def test_token_counts_odd_rows(odd, empty):
     assert len(rows) == odd.count()
     assert {(r["n_words"], r["n_tokens"]) for r in rows if r["doc_id"] in (3, 6, 9)} == {(0, 0)}
     assert token_counts.token_counts(empty, PIECES).collect() == []
+
+
+def test_clashing_columns(spark):
+    """Input columns with names that operators use inside, or that results have."""
+    rows = spark.createDataFrame([(1, "some text of a@b.org", "x", "y", "z", 4)], "doc_id long, text string, _t string, _text string, _row string, n_tokens int")
+    from tessera.llm import jaccard, pii
+
+    coded = bpe.encode_decode(rows, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    assert coded.columns[:4] == ["doc_id", "_t", "_text", "_row"] and coded.first()["_t"] == "x" and coded.first()["n_tokens"] > 4
+    counted = token_counts.token_counts(rows, P.path("piece_bpe_32k.model"))
+    assert counted.first()["_t"] == "x" and counted.first()["n_words"] > 0
+    found = pii.spans(rows, pii.fit(rows))
+    assert found.first()["_t"] == "x" and found.first()["n_email"] == 1
+    assert jaccard.deduplicate(rows.unionByName(rows)).collect() == rows.collect()
+    files = token_files.token_files(rows, P.path("byte_bpe_50k.json"), P.PATTERN)
+    assert [r["doc_id"] for r in files.collect()] == [1]
+
+
+def test_folder_without_a_scheme(spark, tmp_path):
+    rows = spark.createDataFrame([(2, "two"), (1, "one"), (None, "none")], "doc_id long, text string")
+    got = token_files.token_files(rows, P.path("byte_bpe_50k.json"), P.PATTERN, str(tmp_path / "ids"))
+    assert sorted((r["doc_id"] or 0, r["start"], r["n_tokens"]) for r in got.collect()) == [(0, 0, 2), (1, 2, 2), (2, 4, 2)]
+    assert token_files.qualified(spark, str(tmp_path)).startswith("file:///")
