@@ -7,8 +7,8 @@ document and item) are then put together, and their slots are checked: a benchma
 one value everywhere, and different names different ones (different numbers may meet equal ones).
 What remains is a verbatim or a re-parameterised copy.
 
-The windows of all documents aren't built for that. Each benchmark window has an anchor, its rarest
-literal word. A document that matches enough windows of an item holds their anchors, so one pass
+The windows of all documents aren't built for that. Each benchmark window has an anchor, its longest
+two neighbouring literal words. A document that matches enough windows of an item holds their anchors, so one pass
 over the words of the documents tells which documents can match at all, whatever the size of the
 benchmark; the others aren't looked at again.
 """
@@ -29,8 +29,8 @@ LITERALS = 4
 COVERAGE = 0.4
 #: Windows of the benchmark in one broadcast; larger benchmarks go in blocks of this many.
 BLOCK = 100_000
-#: Rows of anchors (a word of an item) that are broadcast; with more they meet words by a shuffle.
-BROADCAST_ANCHORS = 1_000_000
+#: Benchmark windows whose anchors are broadcast; with more they meet words by a shuffle.
+BROADCAST_ANCHORS = 500_000
 
 #: Units that may follow a number.
 UNITS = "mm cm m km in ft yd mi mile miles meter meters metre metres kilometer kilometers kilometre kilometres mg g kg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons tonne tonnes ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years kmh mph percent dollar dollars cent cents euro euros usd eur gbp k w kw v hz khz mhz ghz kb mb gb tb".split()
@@ -217,27 +217,24 @@ def _suspects(docs: DataFrame, windows: list[DataFrame], doc_id: str, text: str)
     """Ids (_suspect) of the documents that hold the anchors of COVERAGE of an item's windows.
 
     ``windows`` has those of each way (item_id, wpos, bk). None where an item's windows without a
-    word of letters make up COVERAGE: then any document may match.
+    such pair make up COVERAGE: then any document may match.
     """
-    letters = F.filter("bk", lambda x: x.rlike(r"^\p{L}+$"))
-    every = [w.select(F.lit(i).alias("way"), "item_id", "wpos", letters.alias("words")) for i, w in enumerate(windows)]
-    every = materialize(reduce(DataFrame.unionByName, every).distinct(), "benchmark-windows")
-    total = every.groupBy("way", "item_id").agg(F.count_distinct("wpos").alias("total"), F.count_if(F.size("words") == 0).alias("free"))
-    if total.where(F.col("free") >= COVERAGE * F.col("total")).limit(1).count():
+    plain = lambda x: x.rlike(r"^\p{L}+$")
+    beside = F.zip_with(F.expr("slice(bk, 1, size(bk) - 1)"), F.expr("slice(bk, 2, size(bk) - 1)"), lambda a, b: F.when(plain(a) & plain(b), F.struct((-F.length(a) - F.length(b)).alias("size"), F.xxhash64(a, b).alias("pair"))))
+    anchor = F.array_min(F.filter(beside, lambda x: x.isNotNull()))["pair"]
+    every = [w.select(F.lit(i).alias("way"), "item_id", "wpos", anchor.alias("anchor")) for i, w in enumerate(windows)]
+    every = materialize(reduce(DataFrame.unionByName, every).distinct(), "benchmark-anchors")
+    ways = every.groupBy("item_id", "way").agg(F.count_distinct("wpos").alias("total"), F.collect_list(F.struct("wpos", "anchor")).alias("windows"))
+    held = lambda ok: F.size(F.array_distinct(F.transform(F.filter("windows", lambda w: ok(w["anchor"])), lambda w: w["wpos"]))) >= COVERAGE * F.col("total") - 1e-9
+    if ways.where(held(lambda a: a.isNull())).limit(1).count():
         return None
-    # of a window's words the one in the fewest items, then the longest: any choice gives the same pairs
-    spread = every.select("way", "item_id", "wpos", "words", F.explode("words").alias("word"))
-    known = spread.groupBy("word").agg(F.count_distinct("item_id").alias("items"))
-    best = F.min_by("word", F.struct("items", -F.length("word"), "word"))
-    anchors = spread.join(known, "word").groupBy("way", "item_id", "wpos", "words").agg(best.alias("word")).groupBy("word", "way", "item_id").agg(F.count(F.lit(1)).alias("held"))
-    anchors = materialize(anchors.join(total, ["way", "item_id"]), "benchmark-anchors")
-    small = anchors.count() <= BROADCAST_ANCHORS
-    said = docs.where(docs[doc_id].isNotNull()).select(docs[doc_id].alias("_suspect"), F.explode(F.split(docs[text].cast("string"), r"[^\p{L}]+")).alias("_said"))
-    said = said.withColumn("_said", F.lower("_said"))
-    met = said.join(F.broadcast(anchors) if small else anchors, said["_said"] == anchors["word"])
-    once = met.groupBy("_suspect", "way", "item_id", "word").agg(F.first("held").alias("held"), F.first("total").alias("total"), F.first("free").alias("free"))
-    sums = once.groupBy("_suspect", "way", "item_id").agg((F.sum("held") + F.first("free")).alias("held"), F.first("total").alias("total"))
-    return materialize(sums.where(F.col("held") >= COVERAGE * F.col("total") - 1e-9).select("_suspect").distinct(), "benchmark-suspects")
+    pairs = every.where("anchor IS NOT NULL").select("item_id", "anchor").distinct()
+    small = every.count() <= BROADCAST_ANCHORS
+    runs = docs.where(docs[doc_id].isNotNull()).select(docs[doc_id].alias("_suspect"), F.split(F.lower(docs[text].cast("string")), r"[^\p{L}]+").alias("a"))
+    runs = runs.select("_suspect", F.explode(F.arrays_zip("a", F.slice("a", 2, F.size("a")).alias("b"))).alias("z")).select("_suspect", F.xxhash64("z.a", "z.b").alias("_said"))
+    met = runs.join(F.broadcast(pairs) if small else pairs, runs["_said"] == pairs["anchor"]).groupBy("_suspect", "item_id").agg(F.collect_set("anchor").alias("present"))
+    both = met.join(F.broadcast(ways) if small else ways, "item_id")
+    return materialize(both.where(held(lambda a: a.isNull() | F.array_contains("present", a))).select("_suspect").distinct(), "benchmark-suspects")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
