@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import remember, spare_name, strings, text_batches
+from tessera.llm.common import bound_batches, remember, spare_name, strings, text_batches
 from tessera.llm.pieces import CHUNK_ENTRIES, PieceEncoder
 
 OUT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -171,6 +171,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "t
     texts are one row like others. Rows keep no order. ``remembered`` bounds the chunks a worker
     keeps (about 300 bytes each): more cost memory, fewer cost time.
     """
+    bound_batches(docs.sparkSession)
     made = {"n_tokens", "ids_sha256", "decoded_sha256"} | ({"ids"} if ids else set())
     keep = [c for c in docs.columns if c != text and c not in made]
     src = docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias(spare_name("text", keep)))

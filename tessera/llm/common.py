@@ -58,6 +58,21 @@ def materialize(df: DataFrame, name: str, rows: int = 0) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of whole texts that go to a Python worker at once.
+TEXT_ROWS = 1_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to TEXT_ROWS rows (never raise them).
+
+    A batch is held by the JVM, on its way and by the worker; texts make it large. Operators that
+    return a lazy result over texts call this, as the setting counts when the result is read.
+    """
+    usual = int(spark.conf.get(_ARROW_ROWS))
+    if not 0 < usual <= TEXT_ROWS:
+        spark.conf.set(_ARROW_ROWS, str(TEXT_ROWS))
+
+
 def spare_name(name: str, columns: list[str]) -> str:
     """``name`` with underscores before it until no column is called so (in any case)."""
     taken = {c.lower() for c in columns}

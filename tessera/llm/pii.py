@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import spare_name, strings, text_batches
+from tessera.llm.common import bound_batches, spare_name, strings, text_batches
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = 4  # the first four kinds have base patterns
@@ -235,6 +235,7 @@ def _candidates(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int,
 def fit(docs: DataFrame, text: str = "text") -> SpanModel:
     """Count vote patterns over every whole text and fit; at most kinds x 3^labelers counts move."""
 
+    bound_batches(docs.sparkSession)
     def run(batches):
         seen: Counter = Counter()
         for part in text_batches(batches):
@@ -279,6 +280,7 @@ def spans(docs: DataFrame, model: SpanModel, text: str = "text") -> DataFrame:
     code points, end exclusive), spans (all spans, joined likewise) and n_added. Null text counts as
     empty. Clashing input columns give way; repeated rows stay; an empty table gives an empty one.
     """
+    bound_batches(docs.sparkSession)
     made = {"n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"}
     keep = [c for c in docs.columns if c != text and c not in made]
     src = docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias(spare_name("text", keep)))
@@ -318,6 +320,7 @@ def masked(text: str, model: SpanModel, memo: dict | None = None) -> str:
 
 def redact(docs: DataFrame, model: SpanModel, text: str = "text") -> DataFrame:
     """``docs`` with the spans in ``text`` masked; other columns and rows as they are (null stays)."""
+    bound_batches(docs.sparkSession)
     at = docs.columns.index(text)
 
     def run(batches):

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import strings, text_batches
+from tessera.llm.common import bound_batches, strings, text_batches
 
 #: Labelled rows a class that are looked at, in hash order, and their bytes: the fit's bound.
 SAMPLE_ROWS = 3_000
@@ -160,6 +160,7 @@ def score(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id", text: st
     and an empty text has the score that its features give. Columns of those names in the input
     give way; repeated rows stay; an empty table gives an empty one.
     """
+    bound_batches(docs.sparkSession)
     made = ("held_out", "score", "predicted")
     keep = [c for c in docs.columns if c not in made]
     src = docs.select(*keep)

@@ -14,7 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import remember, spare_name, strings, text_batches
+from tessera.llm.common import bound_batches, remember, spare_name, strings, text_batches
 
 MEMO_ENTRIES = 1_000_000
 MEMO_KEY_CHARS = 48
@@ -131,6 +131,7 @@ def token_counts(docs: DataFrame, model_path: str, text: str = "text") -> DataFr
     A word that no piece covers counts as one token and as unknown. Null, empty and blank texts
     count 0. Input columns that clash with the results give way. Repeated rows stay.
     """
+    bound_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != text and c not in ("n_words", "n_tokens", "n_unknown")]
     src = docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias(spare_name("text", keep)))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]), "n_words long, n_tokens long, n_unknown long"])
