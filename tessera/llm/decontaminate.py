@@ -263,7 +263,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     suspects = _suspects(some, [*by_size.values(), windows], "doc_id", "text")
     if suspects is not None:
         few = suspects.count() <= BROADCAST_IDS
-        some = some.join(F.broadcast(suspects) if few else suspects, some["doc_id"] == suspects["_suspect"], "left_semi")
+        # written, else the tests of the templates are pushed below the join, to all texts
+        some = materialize(some.join(F.broadcast(suspects) if few else suspects, some["doc_id"] == suspects["_suspect"], "left_semi"), "benchmark-texts")
     found = [_strict(some, by_size, "doc_id", "text"), _loose(some, windows, sizes, raw, "doc_id", "text")]
     found = [x.where(F.col("coverage") >= COVERAGE).withColumn("way", F.lit(-i)) for i, x in enumerate(found) if x is not None]
     if not found:
