@@ -269,8 +269,12 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
     rows = texts.select("doc", "key", F.explode(F.arrays_zip("at", "seed")).alias("z")).select("doc", "key", F.col("z.at").alias("at"), F.col("z.seed").alias("seed"))
     counts = rows.groupBy("seed").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi").select("seed", (F.col("c") > SORTED).alias("crowded"))
-    met = rows.join(counts, "seed")
-    hits = materialize(met.groupBy("doc").agg(F.collect_set(F.struct("at", "seed", "crowded")).alias("hits")), "repeat-hits")
+    # a text that has a seed again and again meets it once; the places come from its own list
+    met = texts.select("doc", F.explode(F.array_distinct("seed")).alias("seed")).join(counts, "seed")
+    found = met.groupBy("doc").agg(F.collect_set(F.struct("seed", "crowded")).alias("found")).select("doc", F.map_from_entries("found").alias("found"))
+    placed = F.transform(F.arrays_zip("at", "seed"), lambda z: F.struct(z["at"].alias("at"), z["seed"].alias("seed"), F.element_at("found", z["seed"]).alias("crowded")))
+    placed = texts.join(found, "doc").select("doc", F.filter(placed, lambda z: z["crowded"].isNotNull()).alias("hits"))
+    hits = materialize(placed.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits")), "repeat-hits")
     ids = hits.select("doc")
     small = hits.count() <= BROADCAST_IDS
     picked = src.join(F.broadcast(ids) if small else ids, "doc", "left_semi").join(hits, "doc").select("doc", "t", "hits")
