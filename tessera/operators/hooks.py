@@ -51,13 +51,32 @@ def register_token(tokens: Column, token: str) -> Column:
     return F.when(F.array_contains(tokens, token), tokens).otherwise(F.concat(tokens, F.array(F.lit(token))))
 
 
-def top_k(scores: Column, k: int) -> Column:
+def top_k(scores: Column, k: int | Column) -> Column:
     """The k best as array<struct<score, place>>, equal scores by place (0-based)."""
     pairs = F.transform(scores, lambda x, i: F.struct((-x.cast("double")).alias("minus"), i.cast("long").alias("place")))
     best = F.slice(F.array_sort(pairs), 1, k)
     return F.transform(best, lambda p: F.struct((-p["minus"]).alias("score"), p["place"].alias("place")))
 
 
+def top_p(scores: Column, p: float, temperature: float = 1.0, k: int | None = None) -> Column:
+    """The best scores whose softmax chances at ``temperature`` first add up to ``p``, as :func:`top_k`.
+
+    With ``k`` the chances are those among the k best. The best score always stays.
+    """
+    best = top_k(scores, F.size(scores) if k is None else k)
+    weights = F.transform(best, lambda b: F.exp((b["score"] - F.get(best, F.lit(0))["score"]) / temperature))
+    total = F.aggregate(weights, F.lit(0.0), lambda a, w: a + w)
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+    walk = lambda a, w: F.struct((a["sum"] + w).alias("sum"), (a["n"] + F.when((a["n"] == 0) | (a["sum"] < p * total), 1).otherwise(0)).alias("n"))
+    return F.slice(best, 1, F.aggregate(weights, start, walk)["n"])
+
+
+def merge(left: Column, right: Column) -> Column:
+    """Union of two maps; where both have a key, the value is that of ``right``."""
+    only = F.map_filter(left, lambda k, _: ~F.coalesce(F.map_contains_key(right, k), F.lit(False)))
+    return F.coalesce(F.map_concat(only, right), left, right)
+
+
 def result_name(test_set: Column, suffix: Column, kind: str = "qa_results") -> Column:
     """File name of a result; the suffix follows a dash where there is one."""
     tail = F.when(F.coalesce(suffix, F.lit("")) != "", F.concat(F.lit("-"), suffix)).otherwise(F.lit(""))

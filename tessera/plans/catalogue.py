@@ -670,6 +670,25 @@ def top_k_scores(spark, sf):
     return rows.select("vec_id", (F.col("r") + 1).cast("long").alias("rank"), F.col("p.place").alias("place"))
 
 
+_CHANCES = """scored AS (SELECT vec_id, i, x, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS r, max(x) OVER (PARTITION BY vec_id) AS top FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)),
+weighed AS (SELECT *, exp((x - top) / 0.6::DOUBLE) AS w FROM scored WHERE r <= 20),
+walked AS (SELECT *, coalesce(sum(w) OVER (PARTITION BY vec_id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(w) OVER (PARTITION BY vec_id) AS total FROM weighed)"""
+
+
+@query(f"WITH {_CHANCES} SELECT vec_id, {_long('r')} AS rank, {_long('i')} AS place FROM walked WHERE r = 1 OR before < 0.9::DOUBLE * total")
+def top_p_scores(spark, sf):
+    rows = v.table(spark, sf, "embeddings").select("vec_id", F.posexplode(hooks.top_p(F.col("embedding"), 0.9, 0.6, 20)).alias("r", "p"))
+    return rows.select("vec_id", (F.col("r") + 1).cast("long").alias("rank"), F.col("p.place").alias("place"))
+
+
+@query("SELECT doc_id, unnest(['source', 'lang', 'n_chars']) AS key, unnest([source, upper(lang), CAST(n_chars AS VARCHAR)]) AS value FROM documents")
+def merge_fields(spark, sf):
+    """Fields of the text with those of its inputs, which win."""
+    own = F.create_map(F.lit("source"), F.col("source"), F.lit("lang"), F.col("lang"))
+    more = F.create_map(F.lit("lang"), F.upper("lang"), F.lit("n_chars"), F.col("n_chars").cast("string"))
+    return v.table(spark, sf, "documents").select("doc_id", F.explode(hooks.merge(own, more)).alias("key", "value"))
+
+
 @query("SELECT * FROM (VALUES (1, 'qa_results-a-iter-5.txt'), (2, 'qa_results-b.txt'), (3, 'qa_results-c.txt')) t(n, name)")
 def result_names(spark, sf):
     rows = spark.createDataFrame([(1, "a", "iter-5"), (2, "b", ""), (3, "c", None)], "n int, t string, s string")

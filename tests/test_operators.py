@@ -156,3 +156,17 @@ def test_hooks(spark):
     assert sorted(r["feature_len"] for r in out) == [1, 2]
     assert hooks.apply_all(df, [lambda d: d.where("t IS NOT NULL"), lambda d: d.select("t")]).columns == ["t"]
     assert hooks.freeze(["enc", "no"], ["enc.w", "encoder.w"]) == (["enc"], ["no"])
+
+
+def test_top_p(spark):
+    df = spark.createDataFrame([(1, [0.0, 5.0, 0.0]), (2, [1.0, 1.0, 1.0, 1.0]), (3, []), (4, None), (5, [-1e6])], "i int, s array<double>")
+    places = lambda c: {r[0]: r[1] for r in df.select("i", F.transform(c, lambda x: x["place"])).collect()}
+    assert places(hooks.top_p(F.col("s"), 0.5)) == {1: [1], 2: [0, 1], 3: [], 4: None, 5: [0]}
+    assert places(hooks.top_p(F.col("s"), 1.0, 100.0, 2)) == {1: [1, 0], 2: [0, 1], 3: [], 4: None, 5: [0]}
+    assert places(hooks.top_p(F.col("s"), 0.0))[2] == [0]
+
+
+def test_merge(spark):
+    df = spark.createDataFrame([(1, {"a": 1, "b": 2}, {"b": 3, "c": None}), (2, None, {"a": 1}), (3, {"a": 1}, None), (4, {}, {})], "i int, x map<string,int>, y map<string,int>")
+    got = {r[0]: r[1] for r in df.select("i", hooks.merge(F.col("x"), F.col("y"))).collect()}
+    assert got == {1: {"a": 1, "b": 3, "c": None}, 2: {"a": 1}, 3: {"a": 1}, 4: {}}
