@@ -20,7 +20,7 @@ def expand_placeholders(texts: DataFrame, lengths: DataFrame, key: str, text: st
     key and ``expanded``. The ordinals come from a bucketed running sum.
     """
     rows = texts.select(key, text).withColumn("_n", placeholder_count(F.col(text), placeholder))
-    rows = ordering.running(rows, "_start", ordering.id_bucket(key), [key], value=F.col("_n"), inclusive=False)
+    rows = ordering.running(rows, "_start", None, [key], value=F.col("_n"), inclusive=False)
     parts = rows.select(key, "_start", F.posexplode(F.split(F.col(text), _quoted(placeholder), -1)).alias("i", "part"))
     parts = parts.withColumn("ordinal", F.when(F.col("i") > 0, F.col("_start") + F.col("i") - 1))
     parts = parts.join(lengths, "ordinal", "left")
@@ -59,8 +59,9 @@ def next_marker(marker: Column, sequence: str, pos: str = "pos") -> Column:
 def pack(tokens: DataFrame, mask: Column, sequence: str, pos: str = "pos") -> DataFrame:
     """Kept tokens end to end: packed_pos over all, position_id from 0 in each sequence."""
     kept = tokens.where(mask)
+    first = ordering.running(kept.groupBy(sequence).agg(F.count(F.lit(1)).alias("_n")), "_first", None, [sequence], value=F.col("_n"), inclusive=False)
     kept = kept.withColumn("position_id", F.row_number().over(Window.partitionBy(sequence).orderBy(pos)).cast("long") - 1)
-    return ordering.position(kept, "packed_pos", ordering.id_bucket(sequence, 256), [sequence, pos])
+    return kept.join(first.select(sequence, "_first"), sequence).withColumn("packed_pos", F.col("_first") + F.col("position_id")).drop("_first")
 
 
 def pad(values: Column, width: Column, fill: Column, left: bool = False) -> Column:

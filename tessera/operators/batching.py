@@ -19,7 +19,7 @@ def seeded_key(seed: int, key: Column) -> Column:
 def seeded_shuffle(df: DataFrame, seed: int, key: str, name: str = "rank") -> DataFrame:
     """Add the 0-based place of each row in a seeded order; the same on every run."""
     rows = df.withColumn("_h", seeded_key(seed, F.col(key)))
-    return ordering.position(rows, name, ordering.hex_bucket("_h"), ["_h", key]).drop("_h")
+    return ordering.position(rows, name, ordering.hex_bucket("_h", ordering.hex_digits(df.count())), ["_h", key]).drop("_h")
 
 
 def fixed_batches(index: Column, size: int) -> Column:
@@ -38,7 +38,7 @@ def batch_order(df: DataFrame, batch: str, id_column: str, duration: str = "dura
 
 def weighted_mux(df: DataFrame, source: str, weight: str, key: str, name: str = "rank") -> DataFrame:
     """Interleave sources: the i-th row of a source stands at (i - 0.5) / weight; ties by source."""
-    rows = ordering.running(df, "_i", ordering.id_bucket(key), [key], within=[source])
+    rows = ordering.running(df, "_i", None, [key], within=[source])
     rows = rows.withColumn("_at", (F.col("_i") - 0.5) / F.col(weight))
     return ordering.position(rows, name, F.floor(F.col("_at") / 1000), ["_at", source, key]).drop("_i", "_at")
 
@@ -66,9 +66,9 @@ def bounded_batches(df: DataFrame, id_column: str, length: str, value: str, limi
     kind = dict(df.dtypes)[value]
     kind = "double" if kind in ("double", "float") else "bigint"
     total = df.count()
-    placed = ordering.position(df, "_p", F.floor(F.col(length) * 10), [length, id_column])
+    placed = ordering.position(df, "_p", None, [length, id_column], n=total)
     placed = placed.withColumn("bucket", ordering.ntile(F.col("_p"), F.lit(total), buckets)).withColumn("_h", seeded_key(seed, F.col(id_column)))
-    placed = ordering.position(placed, "_q", ordering.hex_bucket("_h", 2), ["_h", id_column], within=["bucket"])
+    placed = ordering.position(placed, "_q", ordering.hex_bucket("_h", ordering.hex_digits(total // buckets)), ["_h", id_column], within=["bucket"])
     placed = placed.withColumn("run", F.floor(F.col("_q") / RUN).cast("long"))
     groups = placed.groupBy("bucket", "run").agg(F.array_sort(F.collect_list(F.struct(F.col("_q").alias("o"), F.col(id_column).alias("id"), F.col(value).cast(kind).alias("v")))).alias("rows"))
     out = groups.withColumn("b", _fold(F.col("rows"), limit, kind)).select("bucket", "run", F.explode(F.arrays_zip("rows", "b")).alias("z"))

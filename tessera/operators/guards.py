@@ -30,20 +30,30 @@ def has_required(*fields: str) -> Column:
     return out
 
 
-def contains_any(texts: DataFrame, items: DataFrame, text: str, item_text: str) -> DataFrame:
-    """Pairs of a text and an item that it contains, by a hash join on one word of the item.
+def contains_any(texts: DataFrame, items: DataFrame, text: str, item_text: str, key: str | None = None) -> DataFrame:
+    """Pairs of a text and an item that it contains, by a hash join.
 
     A word inside an item (not its first or last) stands between white space in every text that
     contains the item; the longest such word is the join key. Items of fewer than three words have
-    none; those alone are compared with every text.
+    none; their key is their first characters, which meet the runs of as many characters in a text.
+    With ``key``, a unique column of the texts, only it and the words are joined, and the whole texts
+    of the hits come afterwards.
     """
     words = F.split(F.col(item_text), r"\s+")
     inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.char_length(w), w.alias("w"))))["w"]
     keyed = items.withColumn("_key", longest)
-    tokens = texts.withColumn("_word", F.explode(F.array_distinct(F.split(F.col(text), r"\s+"))))
-    long = tokens.join(keyed.where("_key IS NOT NULL"), F.col("_word") == F.col("_key")).where(F.contains(F.col(text), F.col(item_text))).drop("_word", "_key")
-    few = keyed.where("_key IS NULL").drop("_key")
-    if few.isEmpty():
-        return long
-    return long.unionByName(texts.join(few, F.contains(F.col(text), F.col(item_text))))
+    few = keyed.where("_key IS NULL")
+    out = _meet(texts, keyed.where("_key IS NOT NULL"), F.split(F.col(text), r"\s+"), text, item_text, key)
+    shortest = few.agg(F.min(F.char_length(item_text)).alias("n")).first()["n"]
+    if shortest is None:
+        return out
+    runs = F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{min(shortest, 3)}}}))"), F.lit(1))
+    return out.unionByName(_meet(texts, few.withColumn("_key", F.left(F.col(item_text), F.lit(min(shortest, 3)))), runs, text, item_text, key))
+
+
+def _meet(texts: DataFrame, keyed: DataFrame, pieces: Column, text: str, item_text: str, key: str | None) -> DataFrame:
+    """Texts and items that share a piece, and then all of the item."""
+    rows = texts.select(key or "*", F.explode(F.array_distinct(pieces)).alias("_piece"))
+    met = rows.join(keyed, F.col("_piece") == F.col("_key")).drop("_piece", "_key")
+    return (met.join(texts, key) if key else met).where(F.contains(F.col(text), F.col(item_text))).select(*texts.columns, *[c for c in keyed.columns if c != "_key"])

@@ -338,7 +338,7 @@ def qa_result_lines(spark, sf):
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def benchmark_contains(spark, sf):
     docs = v.table(spark, sf, "documents").select("doc_id", F.col("text").alias("doc"))
-    return guards.contains_any(docs, v.table(spark, sf, "benchmark"), "doc", "text").select("doc_id", "item_id")
+    return guards.contains_any(docs, v.table(spark, sf, "benchmark"), "doc", "text", "doc_id").select("doc_id", "item_id")
 
 
 # --- alignment ---------------------------------------------------------------------------------
@@ -346,7 +346,7 @@ def benchmark_contains(spark, sf):
 
 def _lens(spark, sf):
     """Lengths for placeholders: those of every other cut, in id order."""
-    rows = ordering.position(v.cuts(spark, sf), "p", ordering.id_bucket("doc_id"), ["doc_id"])
+    rows = ordering.position(v.cuts(spark, sf), "p", None, ["doc_id"])
     return rows.where("p % 2 = 0").select((F.col("p") / 2).cast("long").alias("ordinal"), (lengths.audio_v3(F.col("mel_frames")) % 5).cast("long").alias("n"))
 
 
@@ -428,7 +428,7 @@ def token_accuracy(spark, sf):
 
 def _sequence_lengths(spark, sf):
     n = v.tokens(spark, sf).groupBy("seq_id").agg(F.count(F.lit(1)).alias("len"))
-    return ordering.position(n, "p", ordering.id_bucket("seq_id"), ["seq_id"]).withColumn("batch_id", batching.fixed_batches(F.col("p"), BATCH))
+    return ordering.position(n, "p", None, ["seq_id"]).withColumn("batch_id", batching.fixed_batches(F.col("p"), BATCH))
 
 
 _LENS_SQL = f"sized AS (SELECT seq_id, len, {_long(f'(row_number() OVER (ORDER BY seq_id) - 1) // {BATCH}')} AS batch_id FROM (SELECT seq_id, {_long('count(*)')} AS len FROM tokens GROUP BY seq_id))"
@@ -515,7 +515,7 @@ _FLEN = "n - seq_id % 4 * 3"
 def pack_features(spark, sf):
     rows = v.frames(spark, sf)
     lens = rows.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n")).withColumn("len", F.expr(_FLEN))
-    offsets = ordering.running(lens, "first", ordering.id_bucket("seq_id"), ["seq_id"], value=F.col("len"), inclusive=False)
+    offsets = ordering.running(lens, "first", None, ["seq_id"], value=F.col("len"), inclusive=False)
     kept = rows.join(offsets, "seq_id").where("t < len")
     return kept.select("seq_id", "t", (F.col("t") + F.col("first")).cast("long").alias("packed"), _check("vec").alias("checksum"))
 
@@ -600,7 +600,7 @@ def flatten_supervisions(spark, sf):
 
 
 def _indexed(spark, sf):
-    return ordering.position(v.captions(spark, sf).select("idx", "doc_id"), "p", ordering.id_bucket("doc_id"), ["doc_id"])
+    return ordering.position(v.captions(spark, sf).select("idx", "doc_id"), "p", None, ["doc_id"])
 
 
 @query(f"SELECT {_long('p // 32')} AS batch_id, {_long('count(*)')} AS n FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS p FROM documents) GROUP BY 1")

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.operators import chat, ordering
 
+#: Most tokens of a vocabulary that is broadcast, and parts of a token's rows beyond it.
+VOCABULARY, DEALS = 500_000, 32
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -62,15 +65,24 @@ def tokens(spark: SparkSession, sf: str, audio: bool = False) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, sf: str) -> DataFrame:
-    """Tokens with their rank among all distinct tokens, from 1."""
+    """Tokens with their rank among all distinct tokens, from 1.
+
+    A vocabulary of up to ``VOCABULARY`` tokens is ranked by the driver and broadcast; a larger one
+    meets tokens dealt by position too, as markers are very frequent.
+    """
     rows = tokens(spark, sf)
-    vocabulary = ordering.running(rows.select("token").distinct(), "token_id", F.ascii("token"), ["token"])
-    return rows.join(vocabulary, "token")
+    words = rows.select("token").distinct()
+    found = words.orderBy("token").limit(VOCABULARY + 1).toPandas()
+    if len(found) <= VOCABULARY:
+        return rows.join(F.broadcast(spark.createDataFrame(found.assign(token_id=range(1, len(found) + 1)), "token string, token_id long")), "token")
+    vocabulary = ordering.running(words, "token_id", None, ["token"])
+    vocabulary = vocabulary.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1)).cast("array<bigint>")))
+    return rows.withColumn("_deal", F.col("pos") % DEALS).join(vocabulary, ["token", "_deal"]).drop("_deal")
 
 
 def frames(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("seq_id"), "vec_id", F.col("embedding").alias("vec"))
-    rows = ordering.position(rows, "t", ordering.id_bucket("vec_id"), ["vec_id"], within=["seq_id"])
+    rows = ordering.position(rows, "t", None, ["vec_id"], within=["seq_id"])
     return rows.select("seq_id", F.col("t").cast("long").alias("t"), "vec")
 
 
@@ -82,7 +94,7 @@ def qa_results(spark: SparkSession, sf: str) -> DataFrame:
 
 def metrics(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").select("event_id", "ts", F.col("event_type").alias("name"), "value", (1 + F.col("user_id") % 8).cast("long").alias("samples"))
-    rows = ordering.running(rows, "step", F.date_trunc("hour", "ts"), ["ts", "event_id"])
+    rows = ordering.running(rows, "step", None, ["ts", "event_id"])
     return rows.select("event_id", F.col("step").cast("long").alias("step"), "name", "value", "samples")
 
 

@@ -170,3 +170,41 @@ def test_merge(spark):
     df = spark.createDataFrame([(1, {"a": 1, "b": 2}, {"b": 3, "c": None}), (2, None, {"a": 1}), (3, {"a": 1}, None), (4, {}, {})], "i int, x map<string,int>, y map<string,int>")
     got = {r[0]: r[1] for r in df.select("i", hooks.merge(F.col("x"), F.col("y"))).collect()}
     assert got == {1: {"a": 1, "b": 3, "c": None}, 2: {"a": 1}, 3: {"a": 1}, 4: {}}
+
+
+def test_even_buckets(spark, monkeypatch):
+    """Sparse, clustered and tied keys: no bucket over its share, positions as of one window."""
+    monkeypatch.setattr(ordering, "even_bucket", lambda df, order, f=ordering.even_bucket: f(df, order, 100))
+    sparse = spark.range(4000).select(F.when(F.col("id") < 2000, F.col("id") * 10**14).otherwise(F.col("id")).alias("k"), F.lpad(F.col("id").cast("string"), 5, "0").alias("s"))
+    tied = spark.range(4000).select(F.when(F.col("id") % 4 < 3, 7.5).otherwise(F.col("id") / 3).alias("k"), F.concat(F.lit('"é'), F.lpad(F.col("id").cast("string"), 5, "0")).alias("s"))
+    for df in (sparse, tied):
+        bucket = ordering.even_bucket(df, ["k", "s"])
+        sizes = [r["count"] for r in df.groupBy(bucket.alias("b")).count().collect()]
+        assert len(sizes) > 20 and max(sizes) < 400
+        got = ordering.position(df, "p", None, ["k", "s"]).collect()
+        assert [(r["k"], r["s"]) for r in sorted(got, key=lambda r: r["p"])] == sorted((r["k"], r["s"]) for r in got)
+        assert sorted(r["p"] for r in got) == list(range(4000))
+    assert ordering.even_bucket(sparse.limit(150), ["k"]) is None
+
+
+def test_place(spark):
+    bounds = F.array(*[F.lit(x) for x in (3, 5, 5, 9, 20)])
+    got = spark.range(25).select("id", ordering.place(bounds, F.col("id"), 5).alias("n")).collect()
+    assert [r["n"] for r in got] == [sum(b <= r["id"] for b in (3, 5, 5, 9, 20)) for r in got]
+
+
+def test_contains_any_with_key(spark):
+    texts = spark.createDataFrame([(1, "xx one two three yy"), (2, "one twothree"), (3, "ab"), (4, None), (5, "")], "d int, t string")
+    items = spark.createDataFrame([(1, "x one two thr"), (2, "ab"), (3, "one two"), (4, "b"), (5, "two three yy")], "i int, s string")
+    got = guards.contains_any(texts, items, "t", "s", "d")
+    assert sorted((r["d"], r["i"]) for r in got.collect()) == [(1, 1), (1, 3), (1, 5), (2, 3), (3, 2), (3, 4)]
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_vocabulary(spark, small, monkeypatch):
+    from tessera.plans import views
+
+    want = sorted(views.token_ids(spark, small).collect())
+    monkeypatch.setattr(views, "VOCABULARY", 0)
+    cols = ["token", "seq_id", "pos", "token_id"]
+    assert sorted(views.token_ids(spark, small).select(*cols).collect()) == sorted(spark.createDataFrame(want).select(*cols).collect())
