@@ -91,3 +91,13 @@ def strip_last_assistant(rendered: Column) -> Column:
     header = F.lit(ASSISTANT_HEADER)
     tail = F.substring_index(rendered, ASSISTANT_HEADER, -1)
     return F.when(F.contains(rendered, header), F.left(rendered, F.char_length(rendered) - F.char_length(tail))).otherwise(F.concat(rendered, header))
+
+
+def apply_template(conversations: Column, batch: bool, prompt: bool = False) -> Column:
+    """Chat text of a conversation, or with ``batch`` an array of them; ``prompt`` asks for an answer.
+
+    Parts are normalized first, so those of a turn are joined by single spaces.
+    """
+    tail = F.lit(ASSISTANT_HEADER if prompt else "")
+    one = lambda c: F.concat(F.array_join(F.transform(normalize_parts(c), lambda t: render_turn(t["role"], t["content"])), ""), tail)
+    return F.transform(conversations, one) if batch else one(conversations)

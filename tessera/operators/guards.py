@@ -30,6 +30,14 @@ def has_required(*fields: str) -> Column:
     return out
 
 
+def check_inputs(text: object, audio: object = None, features: object = None) -> None:
+    """Raise unless there is text, and audio or features, not both."""
+    if text is None:
+        raise ValueError("text is required")
+    if audio is not None and features is not None:
+        raise ValueError("give audio or features, not both")
+
+
 def contains_any(texts: DataFrame, items: DataFrame, text: str, item_text: str, key: str | None = None) -> DataFrame:
     """Pairs of a text and an item that it contains, by a hash join.
 

@@ -9,15 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def tokenize(df: DataFrame, text: str, make: Callable[[], Callable[[list[str]], list[list[int]]]], name: str = "input_ids", batch: int = 1024) -> DataFrame:
+def tokenize(df: DataFrame, text: str, make: Callable[[], Callable[[list[str]], list[list[int]]]], name: str = "input_ids", batch: int = 1024, kind: str = "array<int>") -> DataFrame:
     """Add token ids from a batch tokenizer that ``make`` loads once a task; null text has none."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{name}` array<int>"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{name}` {kind}"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = None
         for frame in frames:
             encode = encode or make()
-            texts, out = [t or "" for t in frame[text]], []
+            texts, out = ["" if t is None else t for t in frame[text]], []
             for i in range(0, len(texts), batch):
                 out += encode(texts[i : i + batch])
             yield frame.assign(**{name: out})
@@ -25,6 +25,15 @@ def tokenize(df: DataFrame, text: str, make: Callable[[], Callable[[list[str]],
     return df.mapInPandas(run, schema)
 
 
+def decode(df: DataFrame, ids: str, make: Callable[[], Callable[[list[list[int]]], list[str]]], name: str = "text", batch: int = 1024) -> DataFrame:
+    """Add the texts of token ids from a batch decoder that ``make`` loads once a task; null ids give ''."""
+    return tokenize(df, ids, lambda: _listed(make()), name, batch, "string")
+
+
+def _listed(f: Callable) -> Callable:
+    return lambda rows: f([list(r) for r in rows])
+
+
 def extract_features(df: DataFrame, samples: str, make: Callable[[], Callable[[list], tuple[list, list[int]]]]) -> DataFrame:
     """Add ``features`` (frames of floats, padded to the batch) and ``feature_len`` (true frames)."""
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), "features array<array<float>>, feature_len long"])
@@ -87,3 +96,25 @@ def freeze(modules: list[str], known: list[str]) -> tuple[list[str], list[str]]:
     """(prefixes to freeze, names without a module), so that a missing one can be warned of."""
     there = [m for m in modules if any(k == m or k.startswith(m + ".") for k in known)]
     return there, [m for m in modules if m not in there]
+
+
+#: Names of number types; any other name stands for the widest.
+DTYPES = {"fp16": "float16", "bf16": "bfloat16"}
+
+
+def number_type(name: str = "fp16") -> str:
+    return DTYPES.get(name, "float32")
+
+
+def decode_options(method: str, max_new_tokens: int = 200, beams: int = 4) -> dict[str, object]:
+    """Options of a generation pass: one beam for greedy search, else ``beams``; never sampled."""
+    return {"max_new_tokens": max_new_tokens, "num_beams": 1 if method == "greedy_search" else beams, "do_sample": False}
+
+
+def resolve_config(config: Column, default: str) -> Column:
+    """A map of settings whose ``model_type`` is ``default`` where it is missing; a null map is empty.
+
+    The caller's other settings stay; a ``model_type`` that is there but null is kept.
+    """
+    given = F.coalesce(config, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    return merge(F.create_map(F.lit("model_type"), F.lit(default)), given)

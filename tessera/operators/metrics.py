@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tolerant_match
@@ -74,3 +74,15 @@ def clip_norm(rows: DataFrame, group: str, value: str, threshold: float = 1.0) -
 def estimated_batches(rows: DataFrame, size: int) -> DataFrame:
     """Rows div size plus one, which is one too many for exact multiples."""
     return rows.agg((F.floor(F.count(F.lit(1)) / size) + 1).cast("long").alias("n"))
+
+
+def with_progress(rows: DataFrame, name: str = "progress") -> tuple[DataFrame, Observation]:
+    """The rows, and the number of them that an action has passed through (``.get["rows"]`` afterwards)."""
+    seen = Observation(name)
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
+def progress(rows: DataFrame, batch: str, every: int = 50) -> DataFrame:
+    """Records up to and with each ``every``-th batch (0-based), as a log shows them."""
+    sizes = rows.groupBy(batch).agg(F.count(F.lit(1)).alias("_n"))
+    return ordering.running(sizes, "cuts", None, [batch], value=F.col("_n")).where(F.col(batch) % every == 0).select(batch, "cuts")

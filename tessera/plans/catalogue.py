@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import lengths, text as tx
 from tessera.operators import align, batching, chat, checkpoints, generate, guards, hooks, metrics as mt, ordering
-from tessera.plans import views as v
+from tessera.plans import paths, views as v
 from tessera.plans.views import sql_answer, sql_normalize, sql_strip, sql_tokens, sql_turn, with_views
-from tessera.sources import manifests
+from tessera.sources import manifests, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -706,3 +706,105 @@ def transposed_frames(spark, sf):
     """Frames of a vector of one channel, turned to channels of one frame each and counted."""
     rows = v.table(spark, sf, "embeddings").select("label", F.size(align.transpose(F.array("embedding"))).alias("w"))
     return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("width"))
+
+
+# --- whole paths -------------------------------------------------------------------------------
+
+
+_PREPARED = f"""{sql_turn("'system'", f"'{_SYSTEM}'")} || {sql_turn("'user'", f"'{tx.AUDIO}{_ASK}'")} || {sql_turn("'assistant'", sql_normalize("text"))}"""
+
+
+@query(
+    f"SELECT id, 'a.wav' AS source, md5(r) AS rendered_md5, {_long('len(' + sql_tokens(sql_strip('r')) + ')')} AS num_text_tokens FROM (SELECT lpad(CAST(conv_id AS VARCHAR), 8, '0') AS id, {_PREPARED} AS r FROM conversations WHERE turn = 0)"
+)
+def prepare_manifest_files(spark, sf):
+    """Cuts written as a manifest, read, prepared, written and read again."""
+    sources = F.array(F.struct(F.lit("a.wav").alias("source")))
+    none = F.lit(None).cast("map<string,string>").alias("custom")
+    cuts = v.cuts_nested(spark, sf).select("id", F.lit(1.0).alias("duration"), F.struct(sources.alias("sources")).alias("recording"), "supervisions", none)
+    raw = scratch.path(spark, "cuts")
+    manifests.write_manifest(cuts, raw)
+    done = paths.prepare_manifest(spark, raw, scratch.path(spark, "prepared"), _ASK, _SYSTEM)
+    source = F.col("conversation")[1]["parts"][0]["audio"].alias("source")
+    return done.select("id", source, F.md5("rendered_conversation").alias("rendered_md5"), "num_text_tokens")
+
+
+_CLIPS = "clips AS (SELECT p AS ordinal, mel_frames AS frames FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS p, mel_frames FROM cuts) WHERE p % 2 = 0)"
+
+
+@query(
+    with_views(
+        "cuts",
+        "rendered_audio",
+        more=f"""{_CLIPS}, lens AS (SELECT ordinal, ({_Q3.replace('mel_frames', 'frames')}) // 4 AS n FROM clips),
+        pieces AS (SELECT conv_id, CAST(generate_subscripts(t, 1) - 1 AS BIGINT) AS i, unnest(t) AS part, first FROM (SELECT conv_id, string_split(rendered, {_PH}) AS t, coalesce(sum(len(string_split(rendered, {_PH})) - 1) OVER (ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM rendered_audio)),
+        expanded AS (SELECT conv_id, string_agg((CASE WHEN i = 0 THEN '' ELSE repeat({_PH}, CAST(greatest(coalesce(n, 1), 1) AS BIGINT)) END) || part, '' ORDER BY i) AS r FROM pieces LEFT JOIN lens ON i > 0 AND ordinal = first + i - 1 GROUP BY conv_id),
+        tokens AS (SELECT conv_id AS seq_id, CAST(generate_subscripts(t, 1) - 1 AS BIGINT) AS pos, unnest(t) AS token FROM (SELECT conv_id, {sql_tokens('expanded.r')} AS t FROM expanded)),
+        {_LABELS}""",
+        body=f"SELECT t.seq_id AS conv_id, {_long('count(*)')} AS n_tokens, {_long(f'count(*) FILTER (WHERE token = {_PH})')} AS n_audio, {_long('count(*) FILTER (WHERE EXISTS (SELECT 1 FROM spans s WHERE s.seq_id = t.seq_id AND t.pos BETWEEN s.first AND s.final))')} AS n_labelled FROM tokens t GROUP BY t.seq_id",
+    )
+)
+def processor_batch(spark, sf):
+    """Chat texts with the clips of every other placeholder, expanded, tokenized and labelled."""
+    rows = ordering.position(v.cuts(spark, sf), "ordinal", None, ["doc_id"]).where("ordinal % 2 = 0")
+    out = paths.process(v.rendered_audio(spark, sf), "conv_id", "rendered", features=rows.select("ordinal", F.col("mel_frames").alias("frames")), encoder="qwen3_asr_audio_encoder")
+    count = lambda c: F.sum(c.cast("long"))
+    return out.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_tokens"), count(F.col("token") == tx.AUDIO).alias("n_audio"), count(F.col("labelled")).alias("n_labelled"))
+
+
+_MIXED = "(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 0.5::DOUBLE) / (1 + length(source) - length(replace(source, '1', '')))"
+
+
+@query(
+    with_views(
+        "cuts",
+        recursive=True,
+        more=f"""mixed AS (SELECT *, CAST(row_number() OVER (ORDER BY due, source, doc_id) - 1 AS BIGINT) AS rank FROM (SELECT *, {_MIXED} AS due FROM cuts)),
+        sized AS (SELECT rank, duration, {_TOKENS_SQL} AS num_tokens FROM mixed WHERE duration BETWEEN 0.5 AND 30.0),
+        tiled AS (SELECT rank, num_tokens AS val, ntile(6) OVER (ORDER BY duration, rank) AS bucket FROM sized),
+        placed AS (SELECT bucket, rank, val, (p // 4096) AS run, p % 4096 AS o FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY md5('5|' || CAST(rank AS VARCHAR)), rank) - 1 AS p FROM tiled)),
+        fold AS (SELECT bucket, run, o, rank, CAST(0 AS BIGINT) AS batch_id, val AS total, val FROM placed WHERE o = 0 UNION ALL SELECT p.bucket, p.run, p.o, p.rank, CASE WHEN f.total + p.val <= 4000 THEN f.batch_id ELSE f.batch_id + 1 END, CASE WHEN f.total + p.val <= 4000 THEN f.total + p.val ELSE p.val END, p.val FROM fold f JOIN placed p ON p.bucket = f.bucket AND p.run = f.run AND p.o = f.o + 1)""",
+        body=f"SELECT {_long('bucket')} AS bucket, {_long('run')} AS run, batch_id, rank, val AS num_tokens FROM (SELECT *, max(batch_id) OVER (PARTITION BY bucket, run) AS last FROM fold) WHERE batch_id < last",
+    )
+)
+def train_batches(spark, sf):
+    """Sources mixed by weight, held to the duration range, batched by tokens; open batches dropped."""
+    weight = (1 + F.char_length("source") - F.char_length(F.replace("source", F.lit("1"), F.lit("")))).cast("double")
+    cuts = v.cuts(spark, sf).select("doc_id", "source", "duration", weight.alias("weight"), tx.token_count(F.col("text")).alias("num_text_tokens"))
+    return paths.train_batches(cuts, 4000, 6, 5, rate=RATE)
+
+
+@query(
+    with_views(
+        "qa_results",
+        more=f"sets AS (SELECT * FROM (VALUES ('set0'), ('set2'), ('empty')) t(test_set)), scores AS (SELECT test_set, count(*) FILTER (WHERE {_MATCH}) AS correct, count(*) AS total FROM qa_results GROUP BY test_set)",
+        body=f"SELECT 'qa_results-' || test_set || '-iter-9.txt' AS file, id || ' | ' || {sql_strip('hyp')} || ' | ' || {sql_strip('ref')} AS line FROM qa_results JOIN sets USING (test_set) UNION ALL SELECT 'accuracy-' || test_set || '-iter-9.txt', printf('Accuracy: %.2f%% (%d/%d)', CASE WHEN total > 0 THEN CAST(correct AS DOUBLE) / total * 100 ELSE CAST(0 AS DOUBLE) END, CAST(coalesce(correct, 0) AS BIGINT), CAST(coalesce(total, 0) AS BIGINT)) FROM sets LEFT JOIN scores USING (test_set)",
+    )
+)
+def qa_evaluation(spark, sf):
+    """Lines of the result and accuracy files of three test sets, one of them empty."""
+    sets = spark.createDataFrame([("set0",), ("set2",), ("empty",)], "test_set string")
+    return paths.evaluate(v.qa_results(spark, sf).withColumnRenamed("id", "cut_id"), sets, F.lit("iter-9"))
+
+
+@query(
+    f"""SELECT conv_id, md5(string_agg({sql_turn('role', "(CASE WHEN role = 'user' THEN '" + tx.AUDIO + " ' ELSE '' END) || text")}, '' ORDER BY turn) || '{tx.BEGIN}assistant' || chr(10)) AS prompt_md5 FROM conversations GROUP BY conv_id"""
+)
+def chat_template(spark, sf):
+    """Batches of one conversation each, given to the template as an array."""
+    parts = F.when(F.col("role") == "user", F.array(chat.audio_part(F.lit("a.wav")), chat.text_part(F.col("text")))).otherwise(F.array(chat.text_part(F.col("text"))))
+    turns = v.table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.struct("role", parts.alias("parts")).alias("t")))).alias("c"))
+    batch = F.array(F.transform("c", lambda x: x["t"]))
+    return turns.select("conv_id", F.md5(chat.apply_template(batch, batch=True, prompt=True)[0]).alias("prompt_md5"))
+
+
+@query("SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL UNION ALL SELECT event_id, 'model_type', 'whisper' FROM events")
+def config_defaults(spark, sf):
+    given = F.from_json("props", "map<string,string>")
+    return v.table(spark, sf, "events").select("event_id", F.explode(hooks.resolve_config(given, "whisper")).alias("key", "value"))
+
+
+@query("SELECT CAST(b AS BIGINT) AS batch_id, CAST(max(n) AS BIGINT) AS cuts FROM (SELECT doc_id // 16 AS b, row_number() OVER (ORDER BY doc_id) AS n FROM documents) WHERE b % 50 = 0 GROUP BY b")
+def progress_counts(spark, sf):
+    rows = v.cuts(spark, sf).withColumn("batch_id", batching.fixed_batches(F.col("doc_id"), 16))
+    return mt.progress(rows, "batch_id").select("batch_id", F.col("cuts").cast("long").alias("cuts"))

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.checkpoints import WEIGHT_FILES
+
 CUT = (
     "id string, duration double, recording struct<sources:array<struct<source:string>>>, "
     "supervisions array<struct<text:string,custom:map<string,string>>>, custom map<string,string>"
 )
+PREPARED = CUT + (
+    ", conversation array<struct<role:string,parts:array<struct<type:string,audio:string,text:string>>>>, "
+    "rendered_conversation string, num_text_tokens long"
+)
 TRAIN_REGISTRY = "hours double, manifest string, weights double"
 TEST_REGISTRY = "name string, manifest string"
 
@@ -23,6 +31,31 @@ def write_manifest(cuts: DataFrame, path: str, compress: bool = True) -> None:
     cuts.write.mode("overwrite").option("compression", "gzip" if compress else "none").option("ignoreNullFields", "true").json(path)
 
 
+def collection(spark: SparkSession, rows: list, schema: str = CUT) -> DataFrame:
+    """A table of records that the driver holds; of repeated ids all stay."""
+    return spark.createDataFrame(rows, schema)
+
+
+def exported(spark: SparkSession, folder: str, source: str, export: Callable[[str, str], None]) -> bool:
+    """Call ``export(source, folder)`` unless ``folder`` holds weights; true if it was called.
+
+    A missing ``source`` raises. Only file names are looked at.
+    """
+    if _names(spark, folder) & set(WEIGHT_FILES):
+        return False
+    if not _names(spark, source):
+        raise FileNotFoundError(f"{source} is missing or empty; train first")
+    export(source, folder)
+    return True
+
+
+def _names(spark: SparkSession, folder: str) -> set[str]:
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return {s.getPath().getName() for s in fs.listStatus(path)} if fs.exists(path) else set()
+
+
 def read_captions(spark: SparkSession, path: str, permissive: bool = False) -> DataFrame:
     """idx, caption ('' where the field is missing, null where it is null) and the raw line.
 

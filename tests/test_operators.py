@@ -208,3 +208,45 @@ def test_large_vocabulary(spark, small, monkeypatch):
     monkeypatch.setattr(views, "VOCABULARY", 0)
     cols = ["token", "seq_id", "pos", "token_id"]
     assert sorted(views.token_ids(spark, small).select(*cols).collect()) == sorted(spark.createDataFrame(want).select(*cols).collect())
+
+
+def test_check_inputs():
+    guards.check_inputs("t", audio=1)
+    with pytest.raises(ValueError, match="text is required"):
+        guards.check_inputs(None)
+    with pytest.raises(ValueError, match="not both"):
+        guards.check_inputs("t", 1, 2)
+
+
+def test_decode(spark):
+    df = spark.createDataFrame([([104, 105],), ([],), (None,)], "ids array<int>")
+    got = hooks.decode(df, "ids", lambda: lambda rows: ["".join(map(chr, r)) for r in rows]).collect()
+    assert [r["text"] for r in got] == ["hi", "", ""]
+
+
+def test_options(spark):
+    assert [hooks.number_type(x) for x in ("fp16", "bf16", "fp32")] == ["float16", "bfloat16", "float32"]
+    assert hooks.decode_options("greedy_search")["num_beams"] == 1
+    assert hooks.decode_options("beam_search", 256) == {"max_new_tokens": 256, "num_beams": 4, "do_sample": False}
+    df = spark.createDataFrame([(None,), ({"model_type": "x", "d": "1"},), ({"d": "2"},)], "c map<string,string>")
+    got = [r[0] for r in df.select(hooks.resolve_config(F.col("c"), "w")).collect()]
+    assert got == [{"model_type": "w"}, {"model_type": "x", "d": "1"}, {"model_type": "w", "d": "2"}]
+
+
+def test_progress(spark):
+    rows, seen = mt.with_progress(spark.range(30))
+    rows.collect()
+    assert seen.get["rows"] == 30
+
+
+def test_process_without_clips(spark):
+    from tessera.plans import paths
+
+    df = spark.createDataFrame([(1, f"{tx.BEGIN}user\n{tx.AUDIO}a{tx.END}\n{tx.BEGIN}assistant\nb c{tx.END}\n")], "k long, t string")
+    got = paths.process(df, "k", "t").orderBy("pos").collect()
+    assert [r["token"] for r in got if r["labelled"]] == ["b", "c", tx.END]
+    assert sum(r["token"] == tx.AUDIO for r in got) == 1
+    audio = spark.createDataFrame([(0, 800)], "ordinal long, frames long")
+    assert paths.process(df, "k", "t", audio=audio, labels=False).where(F.col("token") == tx.AUDIO).count() == 100
+    with pytest.raises(ValueError):
+        paths.process(df, "k", "t", audio=audio, features=audio)

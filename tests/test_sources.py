@@ -71,3 +71,35 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = sorted((r["idx"], r["n"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [("0", 0), ("1", 1), ("2", 2)]
+
+
+def test_exported(spark, tmp_path):
+    calls = []
+    with pytest.raises(FileNotFoundError):
+        manifests.exported(spark, str(tmp_path / "out"), str(tmp_path / "hf"), lambda *a: calls.append(a))
+    (tmp_path / "hf").mkdir()
+    (tmp_path / "hf" / "config.json").write_text("{}")
+
+    def export(source, folder):
+        calls.append((source, folder))
+        (tmp_path / "out").mkdir()
+        (tmp_path / "out" / "model.safetensors").write_text("")
+
+    assert [manifests.exported(spark, str(tmp_path / "out"), str(tmp_path / "hf"), export) for _ in range(2)] == [True, False]
+    assert len(calls) == 1
+
+
+def test_collection_and_evaluation_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tessera.plans import paths
+
+    assert manifests.collection(spark, [("c", 1.0, None, [], None)] * 2).count() == 2
+    res = spark.createDataFrame([("a", "2", " Train. ", "train"), ("a", "1", "x", "y"), ("gone", "3", "q", "q")], "test_set string, cut_id string, hyp string, ref string")
+    sets = spark.createDataFrame([("a",), ("none",)], "test_set string")
+    paths.write_evaluation(paths.evaluate(res, sets, F.lit("")), str(tmp_path / "e"))
+    read = lambda f: "\n".join(p.read_text().strip() for p in sorted((tmp_path / "e" / f"file={f}").glob("part-*")))
+    assert read("qa_results-a.txt") == "1 | x | y\n2 | Train. | train"
+    assert read("accuracy-a.txt") == "Accuracy: 50.00% (1/2)"
+    assert read("accuracy-none.txt") == "Accuracy: 0.00% (0/0)"
+    assert not (tmp_path / "e" / "file=qa_results-gone.txt").exists()
