@@ -164,6 +164,10 @@ class TokenFile:
         return [None] * self.unnamed + (self.docs.decode() + self.base).tolist()
 
 
+class _Unlike(Exception):
+    """A piece with a character that the library's split takes for another class."""
+
+
 class LibraryEncoder:
     """Ids from the tokenizers library, asked once per distinct piece of the vocabulary's own split.
 
@@ -202,6 +206,8 @@ class LibraryEncoder:
             self.table[byte] = mark
 
     def _piece(self, piece: str) -> bytes:
+        if not piece.isascii() and not self._ordinary(piece):
+            raise _Unlike
         marked = piece.encode("utf-8").decode("latin-1").translate(self.table)
         ids = [t.id for t in self.model.tokenize(marked)]
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
@@ -215,13 +221,9 @@ class LibraryEncoder:
             at += len(piece)
         return cuts != [span for _, span in self.library_split(probe)]
 
-    def _ordinary(self, text: str) -> bool:
-        """Whether the pieces of ``text`` are the library's own."""
-        if any(token in text for token in self.added):
-            return False
-        if text.isascii() or self.agreed.issuperset(text):
-            return True
-        chars = set(text) - self.agreed
+    def _ordinary(self, piece: str) -> bool:
+        """Whether the library splits the characters of ``piece`` as ``pattern`` does."""
+        chars = set(piece) - self.agreed
         new = chars - self.other
         differ = {c for c in new if self._differs(c)}
         self.other |= differ
@@ -229,8 +231,12 @@ class LibraryEncoder:
         return chars.isdisjoint(self.other)
 
     def _text(self, text: str) -> bytes:
-        if self._ordinary(text):
-            return self.encode_text(text)
+        """Ids as bytes; a piece is looked at once, as only those of ordinary characters are remembered."""
+        if not any(token in text for token in self.added):
+            try:
+                return self.encode_text(text)
+            except _Unlike:
+                pass
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str], end_id: int | None) -> list[np.ndarray]:
