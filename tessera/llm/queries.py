@@ -46,7 +46,8 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.spans(docs, pii.fit(docs))
+    found = pii.spans(docs, pii.fit(docs))
+    return found.withColumn("n_spans", sum((F.col(c) for c in ("n_ip", "n_card", "n_phone", "n_added")), F.col("n_email")))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
