@@ -38,6 +38,7 @@ _LOOSE_IP = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){3,7}:?[0-9A-Fa-f
 _LOOSE_CARD = re.compile(r"(?<![0-9A-Za-z-])[0-9]{4}(?:[ -]?[0-9]{4}){2,3}[ -]?[0-9]{1,4}(?![0-9A-Za-z-])")
 _LOOSE_PHONE = re.compile(r"(?<![0-9A-Za-z+.-])(?:00[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z-])")
 _NUMBER = re.compile(r"(?<![0-9A-Za-z])[0-9][0-9.:-]*[0-9]|(?<![0-9A-Za-z])[0-9]")
+_DATE = re.compile(r"(?:1[5-9]|20)[0-9]{2}([./-])[01]?[0-9]\1[0-3]?[0-9]|[0-3]?[0-9]([./-])[0-3]?[0-9]\2(?:1[5-9]|20)[0-9]{2}")
 _KEY = re.compile(r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])")
 _SECRET = re.compile(r"(?<![A-Za-z])(?:password|passwd|pwd|token|secret|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_=-]{8,})", re.I)
 _SECRET_WORD = re.compile(r"passw|pwd|token|secret|api[_-]?key", re.I)
@@ -121,7 +122,8 @@ def votes(text: str, kind: int, start: int, end: int, base: bool) -> tuple[int,
     left = text[max(0, start - 24) : start].lower()
     digits = _digits(span)
     strict = base or (kind == 4 and (span.startswith("AKIA") or len(span) >= 12))
-    pattern = 1 if strict else -1 if _NUMBER.fullmatch(span) else 0
+    bare = _NUMBER.fullmatch(span) and not (kind == 3 and _LOOSE_PHONE.fullmatch(span))
+    pattern = 1 if strict else -1 if bare else 0
     if kind == 0:
         gazetteer = 1 if re.split(r"[^A-Za-z0-9]+", span)[-1].lower() in DOMAINS else -1
     elif kind == 2:
@@ -140,11 +142,11 @@ def votes(text: str, kind: int, start: int, end: int, base: bool) -> tuple[int,
     elif kind == 2:
         validity = 1 if luhn(digits) else -1
     elif kind == 3:
-        validity = 1 if 8 <= len(digits) <= 15 and len(digits) < len(span) else -1
+        validity = 1 if 8 <= len(digits) <= 15 and len(digits) < len(span) and not _DATE.fullmatch(span) else -1
     else:
         mixed = any(c.isdigit() for c in span) and any(c.isalpha() for c in span)
         validity = 1 if mixed else -1
-    exclusion = -1 if any(w in left for w in AGAINST) else 0
+    exclusion = -1 if any(w in left for w in AGAINST) or not base and _DATE.fullmatch(span) else 0
     return pattern, gazetteer, context, shape, validity, exclusion
 
 

@@ -121,3 +121,16 @@ def test_reliabilities_beat_the_majority():
     majority = max(sum((sum(v) > 0) == t for t, v in rows), sum((sum(v) >= 0) == t for t, v in rows)) / len(rows)
     assert fitted > majority + 0.05
     assert model.rates[:2].mean() > model.rates[2:].mean() + 0.1
+
+
+def test_dates_are_no_phones():
+    text = "on 1952-07-11, 11.07.1952 and 2/3/2021 call 555-201-3344"
+    assert {t: pii._DATE.fullmatch(t) is not None for t in ("1952-07-11", "11.07.1952", "2/3/2021", "555-201-3344", "2021-555-1234", "1952-07.11")} == {
+        "1952-07-11": True, "11.07.1952": True, "2/3/2021": True, "555-201-3344": False, "2021-555-1234": False, "1952-07.11": False,
+    }
+    counts = Counter()
+    for t in [text] * 20 + ["plain 12 words", "mail a@b.com or call +1 (555) 201-3344"] * 20:
+        base, loose = pii._candidates(t)
+        counts.update((k, pii.votes(t, k, s, e, b)) for spans, b in ((base, True), (loose, False)) for k, s, e in spans)
+    model = pii.fit_counts(counts)
+    assert [text[s:e] for _, s, e in pii.find(text, model)[1]] == ["555-201-3344"]
