@@ -69,8 +69,30 @@ SELECT doc_id, item_id, CAST(n_windows AS BIGINT) AS n_windows, CAST(item_window
 FROM best JOIN total USING (item_id) WHERE r = 1 AND CAST(n_windows AS DOUBLE) / item_windows >= {dc.COVERAGE}
 """
 
+#: Prefixes by grouping lists of turns; crc32 from its table of 256 remainders.
+PREFIX_TRIE = """
+WITH crc_table AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1))) ORDER BY i) AS t FROM (SELECT CAST(range AS BIGINT) AS i FROM range(256))),
+turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, item) - 1 AS pos, item, size FROM (
+  SELECT conv_id, turn, md5(length(coalesce(role, '')) || '|' || coalesce(role, '') || coalesce(text, '')) AS item, length(coalesce(text, '')) AS size FROM conversations WHERE conv_id IS NOT NULL)),
+ids AS (SELECT conv_id, conv_id - conv_id % 100 AS head, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) % 6 AS h FROM (SELECT DISTINCT conv_id FROM turns), crc_table),
+rebuilt AS (
+  SELECT i.conv_id, t.pos, t.item, t.size FROM ids i JOIN turns t ON t.conv_id = i.head AND t.pos < i.h
+  UNION ALL SELECT i.conv_id, 1099511627776 + t.pos, t.item, t.size FROM ids i JOIN turns t ON t.conv_id = i.conv_id AND t.pos >= i.h),
+convs AS (SELECT i.conv_id, coalesce(r.items, CAST([] AS VARCHAR[])) AS items, coalesce(r.sizes, CAST([] AS BIGINT[])) AS sizes FROM ids i LEFT JOIN (
+  SELECT conv_id, list(item ORDER BY pos) AS items, list(size ORDER BY pos) AS sizes FROM rebuilt GROUP BY conv_id) r ON r.conv_id = i.conv_id),
+prefixes AS (SELECT conv_id, d, items[1:d] AS p, coalesce(sizes[d], 0) AS size, d = len(items) AS ends FROM (SELECT *, unnest(range(len(items) + 1)) AS d FROM convs)),
+nodes AS (SELECT p, CAST(d AS BIGINT) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) AS size, coalesce(sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends)), sha256('')) AS ends_sha256 FROM prefixes GROUP BY p, d),
+children AS (SELECT p[1:depth - 1] AS p, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+below AS (SELECT p[1:a] AS p, sum((n_convs - 1) * size) AS saved, sum(CASE WHEN leaf THEN 1 ELSE 0 END) AS leaves FROM (
+  SELECT n.p, n.n_convs, n.size, c.n IS NULL AS leaf, unnest(range(n.depth + 1)) AS a FROM nodes n LEFT JOIN children c ON c.p = n.p) GROUP BY 1)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, CAST(coalesce(c.n, 0) AS BIGINT) AS n_children, CAST(b.leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b ON b.p = n.p LEFT JOIN children c ON c.p = n.p LEFT JOIN nodes u ON n.depth > 0 AND u.p = n.p[1:n.depth - 1]
+"""
+
 ORACLE_SQL = {
     "op4_decontamination": DECONTAMINATION,
     "op5_jaccard_join": JACCARD,
     "op6_suffix_array_dedup": REPEATS,
+    "op13_prefix_trie": PREFIX_TRIE,
 }
