@@ -30,7 +30,7 @@ from tessera.llm import word_ids
 from tessera.llm.common import bound_batches, materialize, spare_name, strings, text_batches
 
 #: Lengths above capacity / SMALL are large; groups of the large ones; documents of a length ranked together.
-SMALL, GROUPS, WIDTH = 8, 112, 2_000
+SMALL, GROUPS, WIDTH = 8, 112, 500
 #: Gaps, as divisors of the capacity, up to which a sequence is kept when true lengths are in its slots.
 GAPS = (1, 64, 128, 256, 512)
 #: Most pivots of the column generation, as a multiple of the groups; any mix before the last is valid too.
