@@ -61,7 +61,7 @@ def pack(tokens: DataFrame, mask: Column, sequence: str, pos: str = "pos") -> Da
     kept = tokens.where(mask)
     first = ordering.running(kept.groupBy(sequence).agg(F.count(F.lit(1)).alias("_n")), "_first", None, [sequence], value=F.col("_n"), inclusive=False)
     kept = kept.withColumn("position_id", F.row_number().over(Window.partitionBy(sequence).orderBy(pos)).cast("long") - 1)
-    return kept.join(first.select(sequence, "_first"), sequence).withColumn("packed_pos", F.col("_first") + F.col("position_id")).drop("_first")
+    return ordering.with_totals(kept, first.select(sequence, "_first"), [sequence]).withColumn("packed_pos", F.col("_first") + F.col("position_id")).drop("_first")
 
 
 def pad(values: Column, width: Column, fill: Column, left: bool = False) -> Column:

@@ -16,9 +16,15 @@ def seeded_key(seed: int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
 
 
+def named_or_whole(df: DataFrame, key: str) -> Column:
+    """The key as text; where it is null, a digest of the row, so that rows without a key spread as others do."""
+    plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    return F.coalesce(F.col(key).cast("string"), F.concat(F.lit("no key "), F.xxhash64(*plain).cast("string")))
+
+
 def seeded_shuffle(df: DataFrame, seed: int, key: str, name: str = "rank") -> DataFrame:
-    """Add the 0-based place of each row in a seeded order; the same on every run."""
-    rows = df.withColumn("_h", seeded_key(seed, F.col(key)))
+    """Add the 0-based place of each row in a seeded order; the same on every run. Rows without a key have places too."""
+    rows = df.withColumn("_h", seeded_key(seed, named_or_whole(df, key)))
     return ordering.position(rows, name, ordering.hex_bucket("_h", ordering.hex_digits(df.count())), ["_h", key]).drop("_h")
 
 
@@ -37,10 +43,13 @@ def batch_order(df: DataFrame, batch: str, id_column: str, duration: str = "dura
 
 
 def weighted_mux(df: DataFrame, source: str, weight: str, key: str, name: str = "rank") -> DataFrame:
-    """Interleave sources: the i-th row of a source stands at (i - 0.5) / weight; ties by source."""
+    """Interleave sources: the i-th row of a source stands at (i - 0.5) / weight; ties by source.
+
+    Rows whose weight is null or 0 come first. A null source is one source; null keys come first in theirs.
+    """
     rows = ordering.running(df, "_i", None, [key], within=[source])
-    rows = rows.withColumn("_at", (F.col("_i") - 0.5) / F.col(weight))
-    return ordering.position(rows, name, F.floor(F.col("_at") / 1000), ["_at", source, key]).drop("_i", "_at")
+    rows = rows.withColumn("_at", F.try_divide(F.col("_i") - 0.5, F.col(weight).cast("double")))
+    return ordering.position(rows, name, None, ["_at", source, key]).drop("_i", "_at")
 
 
 def _fold(rows: Column, limit: float, kind: str) -> Column:
@@ -67,7 +76,7 @@ def bounded_batches(df: DataFrame, id_column: str, length: str, value: str, limi
     kind = "double" if kind in ("double", "float") else "bigint"
     total = df.count()
     placed = ordering.position(df, "_p", None, [length, id_column], n=total)
-    placed = placed.withColumn("bucket", ordering.ntile(F.col("_p"), F.lit(total), buckets)).withColumn("_h", seeded_key(seed, F.col(id_column)))
+    placed = placed.withColumn("bucket", ordering.ntile(F.col("_p"), F.lit(total), buckets)).withColumn("_h", seeded_key(seed, named_or_whole(df, id_column)))
     placed = ordering.position(placed, "_q", ordering.hex_bucket("_h", ordering.hex_digits(total // buckets)), ["_h", id_column], within=["bucket"])
     placed = placed.withColumn("run", F.floor(F.col("_q") / RUN).cast("long"))
     groups = placed.groupBy("bucket", "run").agg(F.array_sort(F.collect_list(F.struct(F.col("_q").alias("o"), F.col(id_column).alias("id"), F.col(value).cast(kind).alias("v")))).alias("rows"))

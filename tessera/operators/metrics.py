@@ -55,7 +55,7 @@ def ema(rows: DataFrame, name: str, step: str, value: str, decay: float = 0.9999
     kept = ordering.running(kept, "_i", ordering.id_bucket(step), [step], within=[name])
     n = kept.groupBy(name).agg(F.count(F.lit(1)).alias("_n"))
     weight = F.when(F.col("_i") == 1, F.pow(F.lit(decay), F.col("_n") - 1)).otherwise((1 - decay) * F.pow(F.lit(decay), F.col("_n") - F.col("_i")))
-    return kept.join(n, name).groupBy(name).agg(F.sum(F.col(value) * weight).alias("ema"))
+    return ordering.with_totals(kept, n, [name]).groupBy(name).agg(F.sum(F.col(value) * weight).alias("ema"))
 
 
 def accumulation_windows(rows: DataFrame, name: str, step: str, value: str, every: int) -> DataFrame:
@@ -68,7 +68,7 @@ def clip_norm(rows: DataFrame, group: str, value: str, threshold: float = 1.0) -
     """Scale the values of a group so that their norm is at most the threshold."""
     norm = rows.groupBy(group).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("_norm"))
     scale = F.least(F.lit(1.0), F.lit(threshold) / (F.col("_norm") + 1e-6))
-    return rows.join(norm, group).withColumn(value, F.col(value) * scale).drop("_norm")
+    return ordering.with_totals(rows, norm, [group]).withColumn(value, F.col(value) * scale).drop("_norm")
 
 
 def estimated_batches(rows: DataFrame, size: int) -> DataFrame:

@@ -55,26 +55,39 @@ def even_bucket(df: DataFrame, order: list[str], width: int = WIDTH) -> Column |
     return place(F.from_json(F.lit("[" + ",".join(bounds) + "]"), kind), F.struct(*order), len(bounds))
 
 
+def with_totals(rows: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row with the further columns of the one row of ``totals`` that has its keys; null is a key like others.
+
+    ``totals`` has all keys of ``rows``, so no row is lost.
+    """
+    names = [f"_key{i}" for i in range(len(keys))]
+    totals = totals.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], *[c for c in totals.columns if c not in keys])
+    same = [rows[k].eqNullSafe(totals[n]) for k, n in zip(keys, names, strict=True)]
+    return rows.join(totals, same).drop(*names)
+
+
 def running(df: DataFrame, name: str, bucket: Column | None, order: list[str], value: Column | None = None, within: list[str] | None = None, inclusive: bool = True, n: int | None = None) -> DataFrame:
     """Add ``name``: the running sum of ``value`` (1, if not given) in ``order``, inside ``within``.
 
     ``bucket`` must not decrease with the order; none stands for :func:`even_bucket`, for which ``n``
     may give the number of rows, if it is known. Without ``inclusive`` the row's own value is left out.
+    Nulls in ``order`` come first, null groups and null buckets are as others, a null value adds 0.
     """
     keys = within or []
     if bucket is None and (n is None or n > 2 * WIDTH):
         bucket = even_bucket(df, order)
+    value = F.lit(1).cast("long") if value is None else F.coalesce(value, F.lit(0))
     if bucket is None:  # few rows
         whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        rows = df.withColumn("_value", F.lit(1).cast("long") if value is None else value).withColumn("_inside", F.sum("_value").over(whole))
+        rows = df.withColumn("_value", value).withColumn("_inside", F.sum("_value").over(whole))
         return rows.withColumn(name, F.col("_inside") if inclusive else F.col("_inside") - F.col("_value")).drop("_value", "_inside")
-    rows = df.withColumns({"_bucket": bucket, "_value": F.lit(1).cast("long") if value is None else value})
+    rows = df.withColumns({"_bucket": bucket, "_value": value})
     totals = rows.groupBy(*keys, "_bucket").agg(F.sum("_value").alias("_total"))
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*keys, "_bucket", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_inside", F.sum("_value").over(inside))
-    out = rows.join(totals, [*keys, "_bucket"])
+    out = with_totals(rows, totals, [*keys, "_bucket"])
     sum_ = F.col("_before") + F.col("_inside")
     return out.withColumn(name, sum_ if inclusive else sum_ - F.col("_value")).drop("_bucket", "_value", "_before", "_inside")
 

@@ -250,3 +250,39 @@ def test_process_without_clips(spark):
     assert paths.process(df, "k", "t", audio=audio, labels=False).where(F.col("token") == tx.AUDIO).count() == 100
     with pytest.raises(ValueError):
         paths.process(df, "k", "t", audio=audio, features=audio)
+
+
+@pytest.mark.parametrize("width", [None, 60])
+def test_null_keys_lose_no_row(spark, monkeypatch, width):
+    """Null groups, ids and weights below and above the size from which rows are dealt into buckets."""
+    if width:
+        monkeypatch.setattr(ordering, "WIDTH", width)
+        monkeypatch.setattr(ordering, "even_bucket", lambda df, order, f=ordering.even_bucket: f(df, order, width))
+    null = lambda c, n: F.when(F.col("id") % n != 0, c)
+    df = spark.range(1000).select("id", null(F.concat(F.lit("g"), F.col("id") % 3), 10).alias("g"), null(F.col("id"), 4).alias("k"), null(F.lit(2.0), 4).alias("w"), (F.col("id") % 37 / 3.7).alias("d"), F.lit(5).cast("long").alias("v"), F.col("id").alias("step"))
+    rows = df.collect()
+    at = {r["id"]: r["p"] for r in ordering.position(df, "p", None, ["id"], within=["g"]).collect()}
+    for g in {r["g"] for r in rows}:
+        assert [at[r["id"]] for r in rows if r["g"] == g] == list(range(sum(r["g"] == g for r in rows)))
+    assert sorted(r["rank"] for r in batching.seeded_shuffle(df, 3, "k").collect()) == list(range(1000))
+    mixed = batching.weighted_mux(df, "g", "w", "k").collect()
+    assert sorted(r["rank"] for r in mixed) == list(range(1000))
+    assert {r["rank"] < 250 for r in mixed if r["w"] is None} == {True}
+    zero = batching.weighted_mux(df.withColumn("w", F.lit(0)), "g", "w", "id").collect()
+    assert sorted(r["rank"] for r in zero) == list(range(1000))
+    batches = batching.bounded_batches(df, "k", "d", "v", 40, 5, 1).collect()
+    assert len(batches) == 1000 and sum(r["k"] is None for r in batches) == 250
+    averages = {r["g"]: r["ema"] for r in mt.ema(df, "g", "step", "d", 0.5, 10).collect()}
+    assert averages.keys() == {None} | {f"g{i}" for i in range(3) if any(r["g"] == f"g{i}" and r["step"] % 10 == 0 for r in rows)}
+    windows = mt.accumulation_windows(df, "g", "step", "d", 7).collect()
+    assert sum(r["g"] is None for r in windows) == -(-100 // 7)
+    norms = mt.clip_norm(df, "g", "d", 1.0).collect()
+    assert len(norms) == 1000
+    packed = align.pack(df, F.lit(True), "g", "id").collect()
+    assert sorted(r["packed_pos"] for r in packed) == list(range(1000))
+
+
+def test_null_values_add_nothing(spark):
+    df = spark.createDataFrame([(i, None if i % 2 else i) for i in range(10)], "id long, x long")
+    got = ordering.running(df, "s", None, ["id"], value=F.col("x")).orderBy("id").collect()
+    assert [r["s"] for r in got] == [0, 0, 2, 2, 6, 6, 12, 12, 20, 20]
