@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
 
@@ -220,12 +221,27 @@ def fit_counts(counts: dict[tuple[int, tuple[int, ...]], int], rounds: int = 200
     return SpanModel(rates, priors, w)
 
 
+def _union(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans cover, in order and apart from each other."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, s, e in sorted(spans, key=lambda x: x[1]):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
 def _candidates(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and loose ones that overlap no base span."""
     base = base_spans(text)
     loose = loose_spans(text, _DIGIT.search(text) is not None)
     if loose and base:
-        loose = [s for s in loose if not any(s[1] < b[2] and b[1] < s[2] for b in base)]
+        starts, ends = _union(base)
+        # the last stretch that begins before the span's end is the only one that may reach into it
+        loose = [s for s in loose if (i := bisect_left(starts, s[2])) == 0 or ends[i - 1] <= s[1]]
     out, end = [], -1
     for s in sorted(set(loose), key=lambda s: (s[1], -s[2], s[0])):
         if s[1] >= end:  # of overlapping candidates the first, then the longest

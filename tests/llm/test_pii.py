@@ -134,3 +134,31 @@ def test_dates_are_no_phones():
         counts.update((k, pii.votes(t, k, s, e, b)) for spans, b in ((base, True), (loose, False)) for k, s, e in spans)
     model = pii.fit_counts(counts)
     assert [text[s:e] for _, s, e in pii.find(text, model)[1]] == ["555-201-3344"]
+
+
+def test_long_log_is_linear_and_equals_plain_overlap_test():
+    import random
+    import time
+
+    rng = random.Random(2)
+    line = lambda i: f'10.{i % 256}.{i // 256 % 256}.7 - user{i}@example.com [12/Mar/2024:10:00:00 +0000] "GET /a/{i}?id={rng.randint(10**6, 10**12)}" 200 {i} call +49 170 {rng.randint(10**6, 10**7)}\n'
+    log = "".join(map(line, range(8000)))
+    began = time.process_time()
+    base, loose = pii._candidates(log)
+    assert len(log) > 1_000_000 and time.process_time() - began < 4
+    assert len(base) == 24_000 and len(loose) > 8_000
+
+    def plain(text):
+        base = pii.base_spans(text)
+        kept = [s for s in pii.loose_spans(text, True) if not any(s[1] < b[2] and b[1] < s[2] for b in base)]
+        out, end = [], -1
+        for s in sorted(set(kept), key=lambda s: (s[1], -s[2], s[0])):
+            if s[1] >= end:
+                out.append(s)
+                end = s[2]
+        return base, out
+
+    parts = ["10.2.3.4", " a@b.c ", "+49 170 12345678 ", "4111 1111 1111 1111", " 12345678901234 ", "key=abc123def456ghi ", "x.y@z.de5.6.7.8", " ", ":", "2001:db8::1 ", "user at foo dot com "]
+    for _ in range(200):
+        text = "1" + "".join(rng.choice(parts) for _ in range(rng.randint(1, 40)))
+        assert pii._candidates(text) == plain(text)
