@@ -1,21 +1,55 @@
-"""Intermediate files in the folder that the driver and all executors see."""
+"""Intermediate tables in the folder that the driver and all executors see."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_MADE: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is missing (single-machine tests) a local folder is made and set."""
+    """``spark.checkpoint.dir``. Only a local master may go without: then a local folder is made and set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tessera-scratch/{uuid.uuid4().hex}-{name}"
+    """A new place for a table; it goes when the driver ends, or with :func:`clear`."""
+    made = f"{shared_dir(spark)}/tessera-scratch/{uuid.uuid4().hex}-{name}"
+    _MADE.add(made)
+    return made
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once and read it back; outlives lost executors."""
+    at = path(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all places given out; tables read from them become unreadable."""
+    for made in list(_MADE):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(made)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _MADE.discard(made)
+
+
+@atexit.register
+def _clear_at_exit() -> None:
+    spark = SparkSession.getActiveSession() if _MADE else None
+    if spark is not None:
+        try:
+            clear(spark)
+        except Exception:  # the JVM may be gone already
+            _MADE.clear()
