@@ -777,14 +777,14 @@ def train_batches(spark, sf):
 @query(
     with_views(
         "qa_results",
-        more=f"sets AS (SELECT * FROM (VALUES ('set0'), ('set2'), ('empty')) t(test_set)), scores AS (SELECT test_set, count(*) FILTER (WHERE {_MATCH}) AS correct, count(*) AS total FROM qa_results GROUP BY test_set)",
-        body=f"SELECT 'qa_results-' || test_set || '-iter-9.txt' AS file, id || ' | ' || {sql_strip('hyp')} || ' | ' || {sql_strip('ref')} AS line FROM qa_results JOIN sets USING (test_set) UNION ALL SELECT 'accuracy-' || test_set || '-iter-9.txt', printf('Accuracy: %.2f%% (%d/%d)', CASE WHEN total > 0 THEN CAST(correct AS DOUBLE) / total * 100 ELSE CAST(0 AS DOUBLE) END, CAST(coalesce(correct, 0) AS BIGINT), CAST(coalesce(total, 0) AS BIGINT)) FROM sets LEFT JOIN scores USING (test_set)",
+        more=f"sets AS (SELECT * FROM (VALUES ('set0'), ('set1'), ('set2'), ('empty')) t(test_set)), scores AS (SELECT test_set, count(*) FILTER (WHERE {_MATCH}) AS correct, count(*) AS total FROM qa_results GROUP BY test_set)",
+        body=f"SELECT 'qa_results-' || test_set || '-iter-9.txt' AS file, CASE WHEN id IS NULL THEN NULL ELSE id || ' | ' || {sql_strip('hyp')} || ' | ' || {sql_strip('ref')} END AS line FROM sets LEFT JOIN qa_results USING (test_set) UNION ALL SELECT 'accuracy-' || test_set || '-iter-9.txt', printf('Accuracy: %.2f%% (%d/%d)', CASE WHEN total > 0 THEN CAST(correct AS DOUBLE) / total * 100 ELSE CAST(0 AS DOUBLE) END, CAST(coalesce(correct, 0) AS BIGINT), CAST(coalesce(total, 0) AS BIGINT)) FROM sets LEFT JOIN scores USING (test_set)",
     )
 )
 def qa_evaluation(spark, sf):
-    """Lines of the result and accuracy files of three test sets, one of them empty."""
-    sets = spark.createDataFrame([("set0",), ("set2",), ("empty",)], "test_set string")
-    return paths.evaluate(v.qa_results(spark, sf).withColumnRenamed("id", "cut_id"), sets, F.lit("iter-9"))
+    """Lines of the result and accuracy files of four test sets, one of them empty."""
+    sets = spark.createDataFrame([("set0",), ("set1",), ("set2",), ("empty",)], "test_set string")
+    return paths.evaluate(v.qa_results(spark, sf).withColumnRenamed("id", "cut_id"), sets, F.lit("iter-9")).select("file", "line")
 
 
 @query(

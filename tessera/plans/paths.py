@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import lengths, text as tx
 from tessera.operators import align, batching, chat, guards, hooks, metrics
-from tessera.sources import manifests
+from tessera.sources import manifests, named_files
 
 
 def prepare_cuts(cuts: DataFrame, instruction: str | None = None, system: str | None = None) -> DataFrame:
@@ -57,18 +57,24 @@ def train_batches(cuts: DataFrame, limit: float, buckets: int, seed: int, weight
 
 
 def evaluate(results: DataFrame, test_sets: DataFrame, suffix: Column) -> DataFrame:
-    """Files of an evaluation as (file, line): the sorted results of each test set and its accuracy.
+    """Lines of the files of an evaluation: (file, cut_id, hyp, ref, line), accuracy lines without the middle three.
 
-    ``results``: test_set, cut_id, hyp, ref. A test set without results has an accuracy file alone.
+    ``results``: test_set, cut_id, hyp, ref. A test set without results has an empty result file (a null
+    line) and an accuracy. Scores are gathered by the driver, one row a test set of the registry, and
+    shown as Python rounds them.
     """
-    line = F.concat_ws(" | ", "cut_id", tx.py_strip(F.col("hyp")), tx.py_strip(F.col("ref")))
-    rows = results.join(test_sets.select("test_set").distinct(), "test_set", "left_semi")
-    rows = rows.select(hooks.result_name(F.col("test_set"), suffix).alias("file"), line.alias("line"))
-    scores = metrics.qa_accuracy(results, test_sets)
-    shown = F.format_string("Accuracy: %.2f%% (%d/%d)", F.col("accuracy"), F.col("correct"), F.col("total"))
-    return rows.unionByName(scores.select(hooks.result_name(F.col("test_set"), suffix, "accuracy").alias("file"), shown.alias("line")))
+    sets = test_sets.select("test_set").distinct()
+    hyp, ref = tx.py_strip(F.col("hyp")).alias("hyp"), tx.py_strip(F.col("ref")).alias("ref")
+    rows = results.select("test_set", "cut_id", hyp, ref, F.lit(True).alias("_there")).join(sets, "test_set", "right")
+    line = F.when(F.col("_there"), F.concat_ws(" | ", *[F.coalesce(c, F.lit("")) for c in ("cut_id", "hyp", "ref")]))
+    rows = rows.select(hooks.result_name(F.col("test_set"), suffix).alias("file"), "cut_id", "hyp", "ref", line.alias("line"))
+    scores = [(r["test_set"], manifests.accuracy_line(r["correct"], r["total"])) for r in metrics.qa_accuracy(results, sets).collect()]
+    shown = results.sparkSession.createDataFrame(scores, "test_set string, line string")
+    none = F.lit(None).cast("string")
+    shown = shown.select(hooks.result_name(F.col("test_set"), suffix, "accuracy").alias("file"), none.alias("cut_id"), none.alias("hyp"), none.alias("ref"), "line")
+    return rows.unionByName(shown)
 
 
 def write_evaluation(files: DataFrame, folder: str) -> None:
-    """One folder a file name, its lines in sorted parts; a test set is spread over tasks by line."""
-    files.repartitionByRange("file", "line").sortWithinPartitions("file", "line").write.mode("overwrite").partitionBy("file").text(folder)
+    """One file a name, its lines by cut_id, hyp and ref in code-point order; all files or none."""
+    named_files.write(files, folder, "file", "line", ["cut_id", "hyp", "ref"])

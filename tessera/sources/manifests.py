@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.checkpoints import WEIGHT_FILES
+from tessera.sources import named_files
 
 CUT = (
     "id string, duration double, recording struct<sources:array<struct<source:string>>>, "
@@ -85,9 +86,18 @@ def resample(cuts: DataFrame, rate: int) -> DataFrame:
     return cuts.withColumns({"sampling_rate": F.lit(rate), "num_samples": F.rint(F.col("duration") * rate).cast("long")})
 
 
-def write_records(df: DataFrame, path: str, key: str = "idx") -> None:
-    """One JSON document a record under ``key=<value>/``; of repeated keys the caller keeps one."""
-    df.write.mode("overwrite").partitionBy(key).json(path)
+def write_records(df: DataFrame, path: str, key: str = "idx", order: str | None = None, raw: str = "raw") -> None:
+    """``<key>.json`` a record: the ``raw`` JSON object with the other columns as further fields, indented.
+
+    Of rows with one key the last in ``order`` is written; without ``order`` keys must be unique.
+    All files come into being together, or none.
+    """
+    from tessera.operators.generate import last_by_key
+
+    if order is not None:
+        df = last_by_key(df, key, order).drop(order)
+    added = [c for c in df.columns if c not in (key, raw)]
+    named_files.write(named_files.records(df, raw, added, key), path, "name", "content")
 
 
 def result_lines(results: DataFrame) -> DataFrame:

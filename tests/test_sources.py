@@ -45,9 +45,12 @@ def test_registry(spark, tmp_path):
 
 
 def test_records_and_lines(spark, tmp_path):
-    df = spark.createDataFrame([("a", "1"), ("b", "é")], "idx string, response string")
-    manifests.write_records(df, str(tmp_path / "out"))
-    assert sorted((r["idx"], r["response"]) for r in spark.read.json(str(tmp_path / "out")).collect()) == [("a", "1"), ("b", "é")]
+    raw = '{"idx": "b", "z": 1.50, "caption": "é\\n", "a": [1, {"k": null}]}'
+    df = spark.createDataFrame([("a", '{"idx": "a"}', "1", 0), ("b", raw, "old", 1), ("b", raw, "日\"", 2), ("c", "{}", None, 3)], "idx string, raw string, response string, p int")
+    manifests.write_records(df, str(tmp_path / "out"), order="p")
+    got = {p.name: p.read_text(encoding="utf-8") for p in (tmp_path / "out").iterdir()}
+    want = {"a.json": {"idx": "a", "response": "1"}, "b.json": {**json.loads(raw), "response": '日"'}, "c.json": {}}
+    assert got == {k: json.dumps(x, ensure_ascii=False, indent=2) for k, x in want.items()}
     res = spark.createDataFrame([("b", " x ", "y"), ("a", "h", " r")], "cut_id string, hyp string, ref string")
     assert [r["line"] for r in manifests.result_lines(res).collect()] == ["a | h | r", "b | x | y"]
     assert manifests.accuracy_line(1, 8) == "Accuracy: 12.50% (1/8)"
@@ -95,11 +98,13 @@ def test_collection_and_evaluation_files(spark, tmp_path):
     from tessera.plans import paths
 
     assert manifests.collection(spark, [("c", 1.0, None, [], None)] * 2).count() == 2
-    res = spark.createDataFrame([("a", "2", " Train. ", "train"), ("a", "1", "x", "y"), ("gone", "3", "q", "q")], "test_set string, cut_id string, hyp string, ref string")
-    sets = spark.createDataFrame([("a",), ("none",)], "test_set string")
+    rows = [("a", "a b", " Train. ", "train"), ("a", "a", "x", "y"), ("a", "a", "x", " b"), ("gone", "3", "q", "q"), ("a", None, None, "r")]
+    res = spark.createDataFrame(rows + [("big", f"{i:03d}", "no" if i else "yes", "yes") for i in range(800)], "test_set string, cut_id string, hyp string, ref string")
+    sets = spark.createDataFrame([("a",), ("none",), ("big",)], "test_set string")
     paths.write_evaluation(paths.evaluate(res, sets, F.lit("")), str(tmp_path / "e"))
-    read = lambda f: "\n".join(p.read_text().strip() for p in sorted((tmp_path / "e" / f"file={f}").glob("part-*")))
-    assert read("qa_results-a.txt") == "1 | x | y\n2 | Train. | train"
-    assert read("accuracy-a.txt") == "Accuracy: 50.00% (1/2)"
-    assert read("accuracy-none.txt") == "Accuracy: 0.00% (0/0)"
-    assert not (tmp_path / "e" / "file=qa_results-gone.txt").exists()
+    got = {p.name: p.read_text() for p in (tmp_path / "e").iterdir()}
+    assert sorted(got) == sorted(f"{k}-{s}.txt" for k in ("accuracy", "qa_results") for s in ("a", "none", "big"))
+    assert got["qa_results-a.txt"] == " |  | r\na | x | b\na | x | y\na b | Train. | train\n"  # as tuples sort, not as lines do
+    assert got["accuracy-a.txt"] == "Accuracy: 25.00% (1/4)\n"
+    assert got["accuracy-none.txt"] == "Accuracy: 0.00% (0/0)\n" and got["qa_results-none.txt"] == ""
+    assert got["accuracy-big.txt"] == "Accuracy: 0.12% (1/800)\n"  # 0.125, half to even
