@@ -6,11 +6,12 @@ import math
 
 from pyspark.sql import functions as F
 
-from tessera.operators import bucketing, generate, lookahead, mask
+from tessera.operators import bucketing, generate, lookahead, mask, ordering, resume
 from tessera.plans import paths, views as v
 from tessera.plans.catalogue import _MATCH, query
 from tessera.plans.views import sql_strip, with_views
 from tessera.sources import manifests, named_files, scratch
+from tessera.streaming import progress, shuffle
 
 SIDE, OUTER, MICRO = 128, 40, 8
 
@@ -131,6 +132,59 @@ def batch_padding(spark, sf):
     return bucketing.padding(rows, "mel_frames").withColumn("waste", F.round("waste", 6))
 
 
+_STEPS = _ENDS + """,
+        placed AS (SELECT doc_id, mel_frames AS val, md5('5|' || CAST(doc_id AS VARCHAR)) AS h, (SELECT count(*) FROM ends WHERE duration > e) AS bucket FROM cuts),
+        lined AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY h, doc_id) AS o FROM placed),
+        fold AS (SELECT bucket, o, doc_id, val, CAST(0 AS BIGINT) AS batch_id, val AS held FROM lined WHERE o = 1
+        UNION ALL SELECT l.bucket, l.o, l.doc_id, l.val, CASE WHEN f.held + l.val <= 12000 THEN f.batch_id ELSE f.batch_id + 1 END, CASE WHEN f.held + l.val <= 12000 THEN f.held + l.val ELSE l.val END FROM fold f JOIN lined l ON l.bucket = f.bucket AND l.o = f.o + 1),
+        steps AS (SELECT epoch, bucket, batch_id, row_number() OVER (PARTITION BY epoch ORDER BY md5('3|' || epoch || '|' || bucket || '|' || batch_id), bucket, batch_id) - 1 AS step FROM (SELECT DISTINCT bucket, batch_id FROM fold) CROSS JOIN (VALUES (1), (2)) t(epoch))"""
+
+
+@query(with_views("cuts", recursive=True, more=_STEPS, body="SELECT CAST(epoch AS INTEGER) AS epoch, CAST(step AS BIGINT) AS step, doc_id FROM fold JOIN steps USING (bucket, batch_id) WHERE epoch > 1 OR step >= 5"))
+def resume_from(spark, sf):
+    """Two epochs of one consumer's batches, read on from step 5 of the first."""
+    rows = bucketing.dynamic_batches(v.cuts(spark, sf), "doc_id", "duration", "mel_frames", 12_000, _ends(spark, sf), 5, 1)
+    path = scratch.path(spark, "epochs")
+    resume.write_epochs(scratch.materialize(rows.select("bucket", "batch_id", "place", "doc_id"), "batches"), ["bucket", "batch_id"], "place", path, 3, range(1, 3), per_part=50)
+    return resume.read_from(spark, path, 1, 5).select("epoch", "step", "doc_id")
+
+
+# --- streams -------------------------------------------------------------------------------------
+
+
+def _stream(spark, rows, epochs, ends):
+    """A file stream of the rows, once an epoch, one epoch after the other."""
+    folder = scratch.path(spark, "stream")
+    for epoch in range(epochs):
+        rows.select(F.lit(epoch).cast("long").alias("epoch"), "*").write.mode("append").parquet(folder)
+    if ends is not None:
+        shuffle.epoch_end(spark, rows.select(F.lit(0).cast("long").alias("epoch"), "*"), epochs, ends).write.mode("append").parquet(folder)
+    schema = "epoch long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", shard int"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(folder)
+
+
+@query("SELECT CAST(e AS BIGINT) AS epoch, CAST((row_number() OVER (PARTITION BY e ORDER BY doc_id) - 1) % 4 AS INTEGER) AS shard, doc_id, n_chars FROM documents CROSS JOIN (VALUES (0), (1)) t(e)")
+def buffered_shuffle(spark, sf):
+    """Two epochs of the documents through a buffer of 50 rows a shard; every epoch comes out whole."""
+    rows = ordering.position(v.table(spark, sf, "documents").select("doc_id", "n_chars"), "pos", None, ["doc_id"]).withColumn("pos", F.col("pos").cast("long"))
+    out = scratch.path(spark, "shuffled")
+    mixed = shuffle.buffered_shuffle(_stream(spark, rows, 2, 4), 7, 50, 4)
+    mixed.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch.path(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(mixed.schema).parquet(out).select("epoch", "shard", "doc_id", "n_chars")
+
+
+@query("SELECT CAST(3 * count(*) AS BIGINT) AS rows, CAST(3 * sum(n_chars) AS DOUBLE) AS chars FROM documents")
+def stream_progress(spark, sf):
+    """Totals of the progress table of a stream that writes the documents three times."""
+    rows = v.table(spark, sf, "documents").select("doc_id", "n_chars")
+    folder = scratch.path(spark, "progress")
+    stream = _stream(spark, rows, 3, None).drop("shard")
+    query_ = progress.write(stream, lambda batch: batch, scratch.path(spark, "written"), scratch.path(spark, "offsets"), folder, {"chars": F.sum("n_chars")}, name="documents")
+    query_.awaitTermination()
+    spark.streams.removeListener(query_.listener)
+    return progress.table(spark, folder).agg(F.sum("rows").alias("rows"), F.sum(F.col("metrics")["chars"]).alias("chars"))
+
+
 # --- named files ---------------------------------------------------------------------------------
 
 
