@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tessera.operators import bucketing, generate, lookahead, mask, ordering, resume
+from tessera.functions import signals as sg
+from tessera.operators import bucketing, generate, lookahead, mask, ordering, resume, signals
 from tessera.plans import paths, views as v
 from tessera.plans.catalogue import _MATCH, query
 from tessera.plans.views import sql_strip, with_views
-from tessera.sources import manifests, named_files, scratch
+from tessera.sources import manifests, named_files, scratch, splittable
 from tessera.streaming import progress, shuffle
 
 SIDE, OUTER, MICRO = 128, 40, 8
@@ -213,3 +216,68 @@ def qa_evaluation_files(spark, sf):
     folder = scratch.path(spark, "evaluation")
     paths.write_evaluation(paths.evaluate(v.qa_results(spark, sf).withColumnRenamed("id", "cut_id"), sets, F.lit("")), folder)
     return named_files.read(spark, folder).select("name", F.md5("content").alias("content_md5"))
+
+
+# --- manifests, waveforms and features -----------------------------------------------------------
+
+
+@query(with_views("cuts", body="SELECT id, CAST(mel_frames AS BIGINT) AS mel_frames, md5(text) AS text_md5 FROM cuts WHERE mel_frames > 500"))
+def split_manifest(spark, sf):
+    """Cuts written as gzip of small members, read by many tasks, the condition tried by the source."""
+    folder = scratch.path(spark, "manifest")
+    splittable.write(v.cuts(spark, sf).select("id", "mel_frames", "text"), folder, 100_000)
+    rows = splittable.read(spark, folder, "id string, mel_frames long, text string", 200_000).where("mel_frames > 500")
+    return rows.select("id", "mel_frames", F.md5("text").alias("text_md5"))
+
+
+_RATE, _FFT, _HOP, _BANDS = 6400, 16, 4, 5
+#: Frames, windows, a plain Fourier transform and triangular filters over the samples of each vector.
+_MEL_SQL = f"""WITH samples AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+    lens AS (SELECT vec_id, count(*) AS n FROM samples GROUP BY 1),
+    frames AS (SELECT vec_id, unnest(range((n + {_HOP} // 2) // {_HOP})) AS t FROM lens),
+    cut AS (SELECT f.vec_id, f.t, s.i - ({_HOP} // 2 + f.t * {_HOP} - {_FFT} // 2) AS j, s.x FROM frames f JOIN samples s ON s.vec_id = f.vec_id AND s.i BETWEEN {_HOP} // 2 + f.t * {_HOP} - {_FFT} // 2 AND {_HOP} // 2 + f.t * {_HOP} - {_FFT} // 2 + {_FFT} - 1),
+    bins AS (SELECT unnest(range({_FFT} // 2 + 1)) AS k),
+    power AS (SELECT vec_id, t, k, pow(sum(x * (0.5 - 0.5 * cos(2 * pi() * j / {_FFT})) * cos(2 * pi() * k * j / {_FFT})), 2) + pow(sum(x * (0.5 - 0.5 * cos(2 * pi() * j / {_FFT})) * sin(2 * pi() * k * j / {_FFT})), 2) AS p FROM cut CROSS JOIN bins GROUP BY 1, 2, 3),
+    edges AS (SELECT i, 700 * (pow(10, i * (2595 * log10(1 + {_RATE} / 2.0::DOUBLE / 700)) / ({_BANDS} + 1) / 2595) - 1) AS e FROM (SELECT unnest(range({_BANDS} + 2)) AS i)),
+    weights AS (SELECT a.i AS band, k, greatest(0, least((k * {_RATE} / {_FFT}::DOUBLE - a.e) / (b.e - a.e), (c.e - k * {_RATE} / {_FFT}::DOUBLE) / (c.e - b.e))) AS w FROM edges a JOIN edges b ON b.i = a.i + 1 JOIN edges c ON c.i = a.i + 2 CROSS JOIN bins)
+    SELECT vec_id, CAST(t AS BIGINT) AS t, CAST(band AS BIGINT) AS band, round(ln(greatest(sum(w * p), 1e-10)), 5) AS energy FROM power JOIN weights USING (k) GROUP BY 1, 2, 3"""
+
+
+@query(_MEL_SQL)
+def log_mel_features(spark, sf):
+    """Log-mel energies of the embeddings, taken as waveforms."""
+    rows = v.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    out = signals.log_mel(rows, "x", _RATE, _FFT, _HOP, _BANDS).select("vec_id", F.posexplode("features").alias("t", "f"))
+    out = out.select("vec_id", "t", F.posexplode("f").alias("band", "e"))
+    return out.select("vec_id", F.col("t").cast("long").alias("t"), F.col("band").cast("long").alias("band"), F.round("e", 5).alias("energy"))
+
+
+_HALF = sg.CROSSINGS * 3
+
+
+def _wav(df):
+    """vec_id and a 16-bit file of the vector at 6,400 a second; every tenth is cut short."""
+
+    def run(batches):
+        for batch in batches:
+            ids, raws = batch.column(0).to_pylist(), [sg.encode_wav(np.rint(np.array(x, float) * 4096) / 32768, 6400) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[:70] if i % 10 == 3 else r for i, r in zip(ids, raws, strict=True)], pa.binary())], names=["vec_id", "content"])
+
+    return df.mapInArrow(run, "vec_id long, content binary")
+
+
+@query(
+    f"""WITH samples AS (SELECT vec_id, greatest(-32768, least(32767, round_even(unnest(embedding)::DOUBLE * 4096, 0))) / 32768 AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings WHERE vec_id % 10 <> 3),
+    places AS (SELECT vec_id, unnest(range(CAST(ceil(count(*) * 3 / 2.0) AS BIGINT))) AS m FROM samples GROUP BY vec_id),
+    taps AS (SELECT p.vec_id, p.m, s.x, p.m * 2 - s.k * 3 AS t FROM places p JOIN samples s ON s.vec_id = p.vec_id AND abs(p.m * 2 - s.k * 3) <= {_HALF})
+    SELECT vec_id, CAST(m AS BIGINT) AS place, round(sum(x * (CASE WHEN t = 0 THEN 1 ELSE sin(pi() * t / 3) / (pi() * t / 3) END) * (0.5 + 0.5 * cos(pi() * t / {_HALF}))) + 3e-8, 7) + 0.0 AS sample, CAST(NULL AS VARCHAR) AS error FROM taps GROUP BY 1, 2
+    UNION ALL SELECT vec_id, NULL, NULL, 'chunk b''data'' is cut short' FROM embeddings WHERE vec_id % 10 = 3"""
+)
+def waveforms(spark, sf):
+    """WAV files decoded and resampled from 6,400 to 9,600 a second; files that are cut short say so.
+
+    Samples are shown on a decimal grid moved by 3e-8, which no 16-bit value meets halfway.
+    """
+    files = _wav(v.table(spark, sf, "embeddings").select("vec_id", "embedding"))
+    read = signals.decode(files, target=9600)
+    return read.select("vec_id", F.posexplode_outer("samples").alias("place", "x"), "error").select("vec_id", F.col("place").cast("long").alias("place"), (F.round(F.col("x") + 3e-8, 7) + F.lit(0.0)).alias("sample"), "error")
