@@ -69,10 +69,14 @@ def resample_meta(spark, sf):
     return manifests.resample(v.cuts(spark, sf), 16000).select("id", "sampling_rate", "num_samples")
 
 
-@query("SELECT * FROM (VALUES ('a', true), ('b', false), ('c', true), ('d', false)) t(dir, has_weights)")
+_LISTED = ["config.json", "model.safetensors", "notes.txt", "pytorch_model.bin.index.json", "tokenizer.json", "model.safetensors.bak"]
+
+
+@query(f"SELECT event_id AS dir, len(list_filter(list_slice({_LISTED}, 1 + user_id % 6, user_id % 6 + event_id % 4), lambda f: f IN ('model.safetensors', 'pytorch_model.bin.index.json'))) > 0 AS has_weights FROM events")
 def weights_present(spark, sf):
-    rows = spark.createDataFrame([("a", ["config.json", "model.safetensors"]), ("b", ["config.json"]), ("c", ["pytorch_model.bin.index.json"]), ("d", [])], "dir string, files array<string>")
-    return rows.select("dir", checkpoints.has_weights(F.col("files")).alias("has_weights"))
+    """A listing of up to three files an event."""
+    files = F.slice(F.array(*[F.lit(x) for x in _LISTED]), (F.col("user_id") % 6 + 1).cast("int"), (F.col("event_id") % 4).cast("int"))
+    return v.table(spark, sf, "events").select(F.col("event_id").alias("dir"), checkpoints.has_weights(files).alias("has_weights"))
 
 
 @query("SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS k FROM events")
@@ -276,18 +280,26 @@ def normalize_scripts(spark, sf):
     return rows.select("id", tx.normalize_text(F.col("s")).alias("norm"))
 
 
-_KEYS = [(1, "module.a.weight"), (1, "b.weight_x"), (2, "a.weight"), (2, "submodule.b")]
+_KEY_SQL = "SELECT doc_id // 4 AS g, CASE WHEN doc_id % 11 = 0 THEN 'module.' ELSE '' END || lang || '.module.' || CAST(doc_id AS VARCHAR) AS key FROM documents"
 
 
-@query(f"SELECT g, CASE WHEN bool_or(starts_with(key, 'module.')) OVER (PARTITION BY g) THEN substr(key, 8) ELSE key END AS key FROM (VALUES {', '.join(f'({g}, {chr(39)}{k}{chr(39)})' for g, k in _KEYS)}) t(g, key)")
+@query(f"SELECT g, CASE WHEN bool_or(starts_with(key, 'module.')) OVER (PARTITION BY g) THEN substr(key, 8) ELSE key END AS key FROM ({_KEY_SQL})")
 def strip_key_prefix(spark, sf):
-    return checkpoints.strip_key_prefix(spark.createDataFrame(_KEYS, "g int, key string"), "g", "key")
+    """Keys named after documents, four a group; every eleventh has the prefix."""
+    key = F.concat(F.when(F.col("doc_id") % 11 == 0, "module.").otherwise(""), "lang", F.lit(".module."), F.col("doc_id").cast("string"))
+    rows = v.table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 4).alias("g"), key.alias("key"))
+    return checkpoints.strip_key_prefix(rows, "g", "key")
 
 
-@query("SELECT * FROM (VALUES (0, 'input_ids'), (1, 'attention_mask'), (2, 'input_features'), (3, 'feature_lens')) t(place, key)")
+@query(
+    """WITH named AS (SELECT doc_id, unnest([lang, source, source, 'n' || CAST(n_chars % 3 AS VARCHAR), lang, 'n' || CAST(n_chars % 2 AS VARCHAR)]) AS key, generate_subscripts([1, 2, 3, 4, 5, 6], 1) AS i FROM documents)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) - 1 AS INTEGER) AS place, key FROM named GROUP BY doc_id, key"""
+)
 def ordered_distinct(spark, sf):
-    rows = spark.createDataFrame([(["input_ids", "attention_mask"], ["input_features", "attention_mask"], ["feature_lens"])], "a array<string>, b array<string>, c array<string>")
-    return rows.select(F.posexplode(checkpoints.ordered_distinct(F.col("a"), F.col("b"), F.col("c"))).alias("place", "key"))
+    """Three lists of names a document, joined in order of first appearance."""
+    n = lambda k: F.concat(F.lit("n"), (F.col("n_chars") % k).cast("string"))
+    lists = [F.array("lang", "source"), F.array(F.col("source"), n(3)), F.array(F.col("lang"), n(2))]
+    return v.table(spark, sf, "documents").select("doc_id", F.posexplode(checkpoints.ordered_distinct(*lists)).alias("place", "key"))
 
 
 # --- filters and matching ----------------------------------------------------------------------
@@ -450,12 +462,15 @@ def weighted_metrics(spark, sf):
     return mt.weighted_metrics(v.metrics(spark, sf), "name", "value", "samples").withColumn("value", F.round("value", 6))
 
 
-_PARAMS = [("encoder.conv.weight", 1200, True), ("encoder.ln.bias", 40, True), ("projector.linear.weight", 5000, True), ("projector.bias", 10, False), ("llm.embed", 90000, True), ("encoder2.x", 7, True)]
-
-
-@query("SELECT module, CAST(total AS BIGINT) AS total, CAST(trainable AS BIGINT) AS trainable FROM (VALUES ('encoder', 1240, 0), ('projector', 5010, 5000), ('llm', 90000, 0), ('encoder2', 7, 7)) t(module, total, trainable)")
+@query(
+    """SELECT split_part(name, '.', 1) AS module, CAST(sum(p_size) AS BIGINT) AS total, CAST(coalesce(sum(p_size) FILTER (free AND NOT (name = 'Brand#11' OR starts_with(name, 'Brand#11.') OR name = 'Brand#12.n1' OR starts_with(name, 'Brand#12.n1.'))), 0) AS BIGINT) AS trainable
+    FROM (SELECT p_brand || '.n' || CAST(p_partkey % 13 AS VARCHAR) || '.weight' AS name, p_size, p_partkey % 5 <> 0 AS free FROM part) GROUP BY 1"""
+)
 def param_summary(spark, sf):
-    return mt.param_summary(spark.createDataFrame(_PARAMS, "name string, numel long, requires_grad boolean"), ["encoder", "llm"])
+    """Parts as parameters: a module a brand; one brand and a part of another are frozen."""
+    name = F.concat("p_brand", F.lit(".n"), (F.col("p_partkey") % 13).cast("string"), F.lit(".weight"))
+    rows = v.table(spark, sf, "part").select(name.alias("name"), F.col("p_size").cast("long").alias("numel"), (F.col("p_partkey") % 5 != 0).alias("requires_grad"))
+    return mt.param_summary(rows, ["Brand#11", "Brand#12.n1"])
 
 
 _EMA = """kept AS (SELECT name, value, row_number() OVER (PARTITION BY name ORDER BY step) AS i FROM metrics WHERE step % 100 = 0 AND step > 0),
@@ -571,18 +586,25 @@ def seeded_shuffle(spark, sf):
     return batching.seeded_shuffle(v.cuts(spark, sf).select("id"), 7, "id").select("id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("SELECT * FROM (VALUES ('a', 500), ('a', 400), ('b', 90)) t(run, step)")
+@query("SELECT user_id AS run, event_id AS step FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r <= 2")
 def checkpoint_retention(spark, sf):
-    rows = spark.createDataFrame([("a", s) for s in (100, 200, 300, 400, 500)] + [("b", 90)], "run string, step int")
+    """The last two events of every user."""
+    rows = v.table(spark, sf, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"))
     return checkpoints.keep_last(rows, "run", "step", 2)
 
 
-_CHECKPOINTS = [(1, "best.pt", 0, 0), (2, "/abs/last.tar.gz", 5, 0), (3, None, 5000, 3), (4, None, 0, 3), (5, "", None, 2)]
-
-
-@query("SELECT * FROM (VALUES (1, '/exp/best.pt', 'best'), (2, '/abs/last.tar.gz', 'last.tar'), (3, '/exp/checkpoint-5000.pt', 'iter-5000'), (4, '/exp/epoch-3.pt', 'epoch-3'), (5, '/exp/epoch-2.pt', 'epoch-2')) t(n, path, label)")
+@query(
+    """WITH named AS (SELECT event_id AS n, user_id % 7 AS epoch, CASE WHEN event_id % 4 = 2 THEN user_id ELSE 0 END AS iter, CASE event_id % 4 WHEN 0 THEN event_type || '.v' || CAST(user_id AS VARCHAR) || '.pt' WHEN 1 THEN '/abs/' || event_type WHEN 2 THEN '' END AS filename FROM events)
+    SELECT n, CASE WHEN starts_with(filename, '/') THEN filename WHEN filename <> '' THEN '/exp/' || filename WHEN iter > 0 THEN '/exp/checkpoint-' || CAST(iter AS VARCHAR) || '.pt' ELSE '/exp/epoch-' || CAST(epoch AS VARCHAR) || '.pt' END AS path,
+    CASE WHEN starts_with(filename, '/') THEN substr(filename, 6) WHEN filename <> '' THEN left(filename, length(filename) - 3) WHEN iter > 0 THEN 'iter-' || CAST(iter AS VARCHAR) ELSE 'epoch-' || CAST(epoch AS VARCHAR) END AS label
+    FROM named WHERE filename <> '' OR iter > 0 OR epoch > 0"""
+)
 def resolve_checkpoint(spark, sf):
-    rows = spark.createDataFrame(_CHECKPOINTS, "n int, filename string, iter long, epoch long")
+    """Events as choices of a checkpoint by file name (absolute or not), step or epoch."""
+    kind, user = F.col("event_id") % 4, F.col("user_id").cast("string")
+    name = F.when(kind == 0, F.concat("event_type", F.lit(".v"), user, F.lit(".pt"))).when(kind == 1, F.concat(F.lit("/abs/"), "event_type")).when(kind == 2, "")
+    rows = v.table(spark, sf, "events").select(F.col("event_id").alias("n"), name.alias("filename"), F.when(kind == 2, F.col("user_id")).otherwise(0).alias("iter"), (F.col("user_id") % 7).alias("epoch"))
+    rows = rows.where("coalesce(filename, '') <> '' OR iter > 0 OR epoch > 0")
     return checkpoints.resolve(rows, "/exp").select("n", "path", "label")
 
 
@@ -689,23 +711,27 @@ def merge_fields(spark, sf):
     return v.table(spark, sf, "documents").select("doc_id", F.explode(hooks.merge(own, more)).alias("key", "value"))
 
 
-@query("SELECT * FROM (VALUES (1, 'qa_results-a-iter-5.txt'), (2, 'qa_results-b.txt'), (3, 'qa_results-c.txt')) t(n, name)")
+@query("SELECT DISTINCT source, lang, 'qa_results-' || source || CASE lang WHEN 'en' THEN '' WHEN 'de' THEN '' ELSE '-' || lang END || '.txt' AS name FROM documents")
 def result_names(spark, sf):
-    rows = spark.createDataFrame([(1, "a", "iter-5"), (2, "b", ""), (3, "c", None)], "n int, t string, s string")
-    return rows.select("n", hooks.result_name(F.col("t"), F.col("s")).alias("name"))
+    """A result file a source and language; two languages have no suffix (one empty, one null)."""
+    rows = v.table(spark, sf, "documents").select("source", "lang").distinct()
+    suffix = F.when(F.col("lang") == "en", "").when(F.col("lang") != "de", F.col("lang"))
+    return rows.withColumn("name", hooks.result_name(F.col("source"), suffix))
 
 
-@query("SELECT * FROM (VALUES (1, 'a,<|audio|>'), (2, '<|audio|>,b'), (3, '<|audio|>')) t(n, tokens)")
+@query(f"SELECT doc_id, lang || CASE WHEN n_chars % 3 = 0 THEN ',{tx.AUDIO},' ELSE ',' END || source || CASE WHEN n_chars % 3 = 0 THEN '' ELSE ',{tx.AUDIO}' END AS tokens FROM documents")
 def special_tokens(spark, sf):
-    rows = spark.createDataFrame([(1, ["a"]), (2, [tx.AUDIO, "b"]), (3, [])], "n int, t array<string>")
-    return rows.select("n", F.array_join(hooks.register_token(F.col("t"), tx.AUDIO), ",").alias("tokens"))
+    """The placeholder among a document's tokens, in its place where it is there already."""
+    own = F.when(F.col("n_chars") % 3 == 0, F.array(F.col("lang"), F.lit(tx.AUDIO), F.col("source"))).otherwise(F.array("lang", "source"))
+    return v.table(spark, sf, "documents").select("doc_id", F.array_join(hooks.register_token(own, tx.AUDIO), ",").alias("tokens"))
 
 
-@query("SELECT label, CAST(count(*) AS BIGINT) AS n, CAST(sum(len(embedding)) AS BIGINT) AS width FROM embeddings GROUP BY label")
+@query("SELECT vec_id, CAST((i - 1) % 16 AS INTEGER) AS channel, CAST((i - 1) // 16 AS INTEGER) AS t, x FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)")
 def transposed_frames(spark, sf):
-    """Frames of a vector of one channel, turned to channels of one frame each and counted."""
-    rows = v.table(spark, sf, "embeddings").select("label", F.size(align.transpose(F.array("embedding"))).alias("w"))
-    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("width"))
+    """Vectors as four frames of sixteen channels, turned to channels of frames, value by value."""
+    frames = F.array(*[F.slice("embedding", 1 + 16 * k, 16) for k in range(4)])
+    rows = v.table(spark, sf, "embeddings").select("vec_id", F.posexplode(align.transpose(frames)).alias("channel", "c"))
+    return rows.select("vec_id", "channel", F.posexplode("c").alias("t", "x"))
 
 
 # --- whole paths -------------------------------------------------------------------------------
