@@ -8,7 +8,7 @@ one value everywhere, and different names different ones (different numbers may
 What remains is a verbatim or a re-parameterised copy.
 
 The windows of all documents aren't built for that. Each benchmark window has an anchor, its longest
-two neighbouring literal words. A document that matches enough windows of an item holds their anchors, so one pass
+two neighbouring literal words (or its longest one). A document that matches enough windows of an item holds their anchors, so one pass
 over the words of the documents tells which documents can match at all, whatever the size of the
 benchmark; the others aren't looked at again.
 """
@@ -35,6 +35,9 @@ BROADCAST_ANCHORS = 500_000
 #: Units that may follow a number.
 UNITS = "mm cm m km in ft yd mi mile miles meter meters metre metres kilometer kilometers kilometre kilometres mg g kg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons tonne tonnes ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years kmh mph percent dollar dollars cent cents euro euros usd eur gbp k w kw v hz khz mhz ghz kb mb gb tb".split()
 
+#: Numbers that are written as words.
+NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
+
 _SEPARATORS = r"(?:[^\p{L}\p{N}%.,]++|[.,](?![0-9])|(?<![0-9])[.,])+"
 _NUMBER = r"(?<![^ ])[0-9][0-9.,]*(?![^ ])"
 _NAME = r"(?<![^ ])\p{Lu}[^ ]*"
@@ -54,6 +57,17 @@ def _template(words: Column) -> Column:
     return F.lower(numbered)
 
 
+_SPELLED = f"(?i:{'|'.join(NUMBER_WORDS)})(?![^ _])"
+
+
+def _loose_template(words: Column) -> Column:
+    """:func:`_template` that takes number words, and runs of them joined by ``_``, for numbers."""
+    units = "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))
+    spelled = F.regexp_replace(words, rf"(?<![^ ]){_SPELLED}(?:_{_SPELLED})*(?![^ ])", "#n")
+    numbered = F.regexp_replace(F.regexp_replace(spelled, _NAME, "#p"), _NUMBER, "#n")
+    return F.lower(F.regexp_replace(numbered, rf"(?<=#n )(?:{units}|%)(?![^ ])", "#u"))
+
+
 def _tokens(df: DataFrame, text: str, *keep: Column) -> DataFrame:
     """Columns ``keep``, words s (one space apart) and template tokens k; rows without a token go."""
     words = df.select(*keep, _words(F.coalesce(df[text].cast("string"), F.lit(""))).alias("s")).where("s <> ''")
@@ -78,17 +92,19 @@ def _item_windows(items: DataFrame, k: int) -> DataFrame:
 
 
 def _loose_tokens(df: DataFrame, text: str, *keep: Column) -> DataFrame:
-    """As :func:`_tokens`, with words c and tokens ck where a run of names is one, words w, and
-    lowered tokens l without names."""
+    """As :func:`_tokens`, with words c and tokens ck where a run of names or of number words is one,
+    words w, and lowered tokens l without names."""
     rows = df.select(*keep, _words(F.coalesce(df[text].cast("string"), F.lit(""))).alias("s")).where("s <> ''")
     rows = rows.withColumn("r", F.regexp_replace("s", r"(?<![^ ])(\p{Lu}[^ ]*) (?=\p{Lu})", "$1_"))  # no word holds a _
+    rows = rows.withColumn("r", F.regexp_replace("r", rf"(?<![^ ])({_SPELLED}) (?={_SPELLED})", "$1_"))
     split = lambda c: F.split(c, " ")
-    return rows.select(*[F.col(x) for x in rows.columns if x not in ("s", "r")], split("s").alias("w"), split("r").alias("c"), split(_template(F.col("r"))).alias("ck"), split(_template(F.lower("s"))).alias("l"))
+    return rows.select(*[F.col(x) for x in rows.columns if x not in ("s", "r")], split("s").alias("w"), split("r").alias("c"), split(_loose_template(F.col("r"))).alias("ck"), split(_loose_template(F.lower("s"))).alias("l"))
 
 
-def _loose_windows(tokens: DataFrame, key: str, sizes: list[int], raw: bool) -> DataFrame:
+def _loose_windows(tokens: DataFrame, key: str, sizes: list[int], raw: bool, masked: bool = False) -> DataFrame:
     """Windows with runs of names as one token (path c), lowered ones that hold a capital (path l)
-    and, if ``raw``, lowered ones as they are (path v): key, path, n, pos, hash."""
+    and, if ``raw``, lowered ones as they are (path v): key, path, n, pos, hash. If ``masked``, also
+    lowered ones in which one word that isn't capitalised stands for a name, each in turn (path m)."""
     hashed = lambda c: F.transform(c, lambda x: F.xxhash64(x))
     capital = F.transform("w", lambda x: x.rlike(r"^\p{Lu}"))
     columns = {"c": hashed("ck"), "l": hashed("l"), "u": capital}
@@ -101,9 +117,14 @@ def _loose_windows(tokens: DataFrame, key: str, sizes: list[int], raw: bool) ->
         places = F.sequence(F.lit(0), F.size("h" + path) - n)
         if path == "l":
             places = F.filter(places, lambda i: reduce(Column.__or__, [F.get("hu", i + j) for j in range(n)]))
+        if path == "m":
+            name = F.xxhash64(F.lit("#p"))
+            one = lambda i, m: F.struct(F.lit(path).alias("path"), F.lit(n).alias("n"), i.alias("pos"), F.xxhash64(*[name if j == m else F.get("hl", i + j) for j in range(n)]).alias("hash"))
+            each = lambda i: F.filter(F.array(*[F.when(~F.get("hu", i + m), one(i, m)) for m in range(n)]), lambda x: x.isNotNull())
+            return F.when(F.size("hl") >= n, F.flatten(F.transform(F.sequence(F.lit(0), F.size("hl") - n), each))).otherwise(F.array().cast("array<struct<path:string,n:int,pos:int,hash:bigint>>"))
         return F.when(F.size("h" + path) >= n, F.transform(places, at)).otherwise(F.array().cast("array<struct<path:string,n:int,pos:int,hash:bigint>>"))
 
-    every = F.concat(*[windows(p, n) for n in sizes for p in ("c", "l", *("v" if raw else ""))])
+    every = F.concat(*[windows(p, n) for n in sizes for p in ("c", "l", *("v" if raw else ""), *("m" if masked else ""))])
     return rows.withColumn("x", F.explode(every)).select(key, *[c for c in ("w", "c", "ck", "l", "plain") if c in rows.columns], "x.*")
 
 
@@ -141,7 +162,7 @@ def _loose(docs: DataFrame, windows: DataFrame, sizes: list[int], raw: bool, doc
     literal words for a template and occur verbatim; columns as :func:`contamination`."""
     path, pos = F.col("path"), F.col("pos")
     blocks = -(-windows.count() // BLOCK)
-    spread = _loose_windows(_loose_tokens(docs.where(docs[doc_id].isNotNull()), text, docs[doc_id].alias("doc_id")), "doc_id", sizes, raw).drop("ck", "l")
+    spread = _loose_windows(_loose_tokens(docs.where(docs[doc_id].isNotNull()), text, docs[doc_id].alias("doc_id")), "doc_id", sizes, raw, masked=True).drop("ck", "l")
     hits = []
     for b in range(blocks):
         block = windows if blocks == 1 else windows.where(F.pmod("hash", F.lit(blocks)) == b)
@@ -154,7 +175,7 @@ def _loose(docs: DataFrame, windows: DataFrame, sizes: list[int], raw: bool, doc
     count = lambda c: F.size(F.split(F.array_join(c, "_"), "_"))
     capital = lambda c: c.rlike(r"^\p{Lu}")
     # what the strict template can't see
-    new = (F.col("bpath") == "v") | (count("bw") != count("dw")) | F.exists("p", lambda x: capital(x["b"]) != capital(x["d"]))
+    new = (F.col("bpath") == "v") | (count("bw") != count("dw")) | F.exists("p", lambda x: (capital(x["b"]) != capital(x["d"])) | ((x["t"] == "#n") & (F.lower(x["b"]) != F.lower(x["d"])) & (x["b"].rlike(r"\p{L}") | x["d"].rlike(r"\p{L}"))))
     met = met.select("doc_id", "item_id", "shift", "wpos", new.alias("new"), F.filter("p", lambda x: x["t"].startswith("#")).alias("slots"))
     diagonal = met.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("wpos").alias("at"), F.max("new").alias("new"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("pairs"))
     # a diagonal alone, and with its neighbours
@@ -164,7 +185,7 @@ def _loose(docs: DataFrame, windows: DataFrame, sizes: list[int], raw: bool, doc
     one_way = F.size(F.array_distinct(F.transform("pairs", lambda s: F.struct(s["t"], s["b"])))) == F.size("pairs")
     other_way = F.size(F.array_distinct(F.transform(names, lambda s: s["d"]))) == F.size(names)
     near = near.where(F.col("new") & one_way & other_way)
-    changed = F.size(F.filter("pairs", lambda s: s["b"] != s["d"])).cast("long")
+    changed = F.size(F.filter("pairs", lambda s: F.lower(s["b"]) != F.lower(s["d"]))).cast("long")
     best = near.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", (-changed).alias("unchanged"), (-F.col("shift")).alias("early"), F.size("pairs").cast("long").alias("n_slots"))).alias("m"))
     totals = windows.groupBy("item_id").agg(F.count_distinct("wpos").alias("item_windows"))
     return best.join(totals, "item_id").select("doc_id", "item_id", F.col("m.n_windows").alias("n_windows"), "item_windows", (F.col("m.n_windows") / F.col("item_windows")).alias("coverage"), F.col("m.n_slots").alias("n_slots"), (-F.col("m.unchanged")).alias("n_changed"), (-F.col("m.early")).cast("long").alias("position"))
@@ -213,28 +234,33 @@ def _strict(docs: DataFrame, by_size: dict[int, DataFrame], doc_id: str, text: s
     return out
 
 
-def _suspects(docs: DataFrame, windows: list[DataFrame], doc_id: str, text: str) -> DataFrame | None:
-    """Ids (_suspect) of the documents that hold the anchors of COVERAGE of an item's windows.
+def _suspects(docs: DataFrame, windows: list[DataFrame], doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Ids (_suspect) of the documents that hold the anchors of COVERAGE of an item's windows, and the
+    items (item_id) that any document may match, as their windows without an anchor make up COVERAGE.
 
-    ``windows`` has those of each way (item_id, wpos, bk). None where an item's windows without a
-    such pair make up COVERAGE: then any document may match.
+    ``windows`` has those of each way (item_id, wpos, bk). An anchor is a window's longest two neighbouring
+    literal words of letters; without such two, its longest one.
     """
     plain = lambda x: x.rlike(r"^\p{L}+$")
     beside = F.zip_with(F.expr("slice(bk, 1, size(bk) - 1)"), F.expr("slice(bk, 2, size(bk) - 1)"), lambda a, b: F.when(plain(a) & plain(b), F.struct((-F.length(a) - F.length(b)).alias("size"), F.xxhash64(a, b).alias("pair"))))
-    anchor = F.array_min(F.filter(beside, lambda x: x.isNotNull()))["pair"]
-    every = [w.select(F.lit(i).alias("way"), "item_id", "wpos", anchor.alias("anchor")) for i, w in enumerate(windows)]
+    alone = F.transform(F.filter("bk", plain), lambda a: F.struct((-F.length(a)).alias("size"), F.xxhash64(a, F.lit("")).alias("pair")))
+    two, one = F.array_min(F.filter(beside, lambda x: x.isNotNull()))["pair"], F.array_min(alone)["pair"]
+    every = [w.select(F.lit(i).alias("way"), "item_id", "wpos", F.coalesce(two, one).alias("anchor"), (two.isNull() & one.isNotNull()).alias("single")) for i, w in enumerate(windows)]
     every = materialize(reduce(DataFrame.unionByName, every).distinct(), "benchmark-anchors")
     ways = every.groupBy("item_id", "way").agg(F.count_distinct("wpos").alias("total"), F.collect_list(F.struct("wpos", "anchor")).alias("windows"))
     held = lambda ok: F.size(F.array_distinct(F.transform(F.filter("windows", lambda w: ok(w["anchor"])), lambda w: w["wpos"]))) >= COVERAGE * F.col("total") - 1e-9
-    if ways.where(held(lambda a: a.isNull())).limit(1).count():
-        return None
+    anywhere = materialize(ways.where(held(lambda a: a.isNull())).select("item_id").distinct(), "benchmark-anywhere")
     pairs = every.where("anchor IS NOT NULL").select("item_id", "anchor").distinct()
     small = every.count() <= BROADCAST_ANCHORS
     runs = docs.where(docs[doc_id].isNotNull()).select(docs[doc_id].alias("_suspect"), F.split(F.lower(docs[text].cast("string")), r"[^\p{L}]+").alias("a"))
-    runs = runs.select("_suspect", F.explode(F.arrays_zip("a", F.slice("a", 2, F.size("a")).alias("b"))).alias("z")).select("_suspect", F.xxhash64("z.a", "z.b").alias("_said"))
+    said = F.arrays_zip("a", F.slice("a", 2, F.size("a")).alias("b"))
+    if every.where("single").limit(1).count():
+        said = F.concat(said, F.transform("a", lambda x: F.struct(x.alias("a"), F.lit("").alias("b"))))
+    runs = runs.select("_suspect", F.explode(said).alias("z")).select("_suspect", F.xxhash64("z.a", "z.b").alias("_said"))
     met = runs.join(F.broadcast(pairs) if small else pairs, runs["_said"] == pairs["anchor"]).groupBy("_suspect", "item_id").agg(F.collect_set("anchor").alias("present"))
     both = met.join(F.broadcast(ways) if small else ways, "item_id")
-    return materialize(both.where(held(lambda a: a.isNull() | F.array_contains("present", a))).select("_suspect").distinct(), "benchmark-suspects")
+    found = both.where(held(lambda a: a.isNull() | F.array_contains("present", a))).select("_suspect").distinct()
+    return materialize(found, "benchmark-suspects"), anywhere
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -247,9 +273,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     window of their length, those under four can't be found. Repeated rows count once; other
     columns are not carried.
 
-    Pairs that this doesn't find are looked for in a second way: runs of names count as one name,
-    lowered texts are matched as well, and windows add up over neighbouring diagonals; items
-    without a window of four different literal words match by their lowered words as they are.
+    Pairs that this doesn't find are looked for in a second way: runs of names count as one name, number
+    words as numbers, lowered texts are matched as well, in which any one word of a window may stand for
+    a name, and windows add up over neighbouring diagonals; items without a window of four different literal words match by their lowered words as they are.
     Their figures are those of the second way, with ``position`` that of the first diagonal.
 
     The documents are read once for their words; those that hold the anchors of enough windows of
@@ -259,14 +285,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     by_size = {k: materialize(w, "benchmark-templates") for k, w in _strict_items(benchmark, item_id, item_text).items()}
     windows, sizes, raw = _loose_items(benchmark, item_id, item_text)
     windows = materialize(windows, "benchmark-loose")
-    some = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
-    suspects = _suspects(some, [*by_size.values(), windows], "doc_id", "text")
-    if suspects is not None:
-        few = suspects.count() <= BROADCAST_IDS
-        # written, else the tests of the templates are pushed below the join, to all texts
-        some = materialize(some.join(F.broadcast(suspects) if few else suspects, some["doc_id"] == suspects["_suspect"], "left_semi"), "benchmark-texts")
-    found = [_strict(some, by_size, "doc_id", "text"), _loose(some, windows, sizes, raw, "doc_id", "text")]
-    found = [x.where(F.col("coverage") >= COVERAGE).withColumn("way", F.lit(-i)) for i, x in enumerate(found) if x is not None]
+    every = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
+    suspects, anywhere = _suspects(every, [*by_size.values(), windows], "doc_id", "text")
+    few = suspects.count() <= BROADCAST_IDS
+    # written, else the tests of the templates are pushed below the join, to all texts
+    some = materialize(every.join(F.broadcast(suspects) if few else suspects, every["doc_id"] == suspects["_suspect"], "left_semi"), "benchmark-texts")
+    parts = [(some, by_size, windows)]
+    open_items = anywhere.count()
+    if open_items:  # all documents, for these items alone; the others as before
+        items = F.broadcast(anywhere) if open_items <= BROADCAST_IDS else anywhere
+        only = lambda how: lambda w: w.join(items, "item_id", how)
+        parts = [(some, {k: only("left_anti")(w) for k, w in by_size.items()}, only("left_anti")(windows)), (every, {k: only("left_semi")(w) for k, w in by_size.items()}, only("left_semi")(windows))]
+    found = []
+    for texts, strict, loose in parts:
+        ways = [_strict(texts, strict, "doc_id", "text"), _loose(texts, loose, sizes, raw, "doc_id", "text")]
+        found += [x.withColumn("way", F.lit(-i)) for i, x in enumerate(ways) if x is not None]
+    found = [x.where(F.col("coverage") >= COVERAGE) for x in found]
     if not found:
         none = "doc_id {}, item_id {}, n_windows long, item_windows long, coverage double, n_slots long, n_changed long, position long"
         return docs.sparkSession.createDataFrame([], none.format(docs.schema[doc_id].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()))

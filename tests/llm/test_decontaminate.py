@@ -125,3 +125,49 @@ def test_odd_rows(odd, empty, spark):
     kept = dc.decontaminate(odd, items)
     assert kept.columns == odd.columns and kept.count() == odd.count() - 3
     assert dc.decontaminate(empty, items).collect() == []
+
+
+PROBLEMS = {
+    "Natalia": "Natalia sold clips to 48 of her friends in April and then Natalia sold half as many clips in May so how many clips did Natalia sell altogether in both months",
+    "Betty": "Betty is saving money for a new wallet which costs 100 dollars. Betty has only half of the money she needs. Her parents decided to give her 15 dollars and her grandparents twice as much. How much more money does Betty need to buy the wallet",
+    "Julie": "Julie is reading a book of 120 pages. Yesterday Julie was able to read 12 pages and today she read twice as many pages as yesterday. If Julie wants to read half of the remaining pages tomorrow, how many pages should she read",
+    "Mark": "Mark has a garden with flowers. Mark planted plants of three different colors in it. Ten of them are yellow and there are 80 percent more of those in purple. How many flowers does Mark have in the garden",
+}
+SPELLED = {"48": "forty-eight", "100": "one hundred", "15": "fifteen", "120": "one hundred twenty", "12": "twelve", "80": "eighty"}
+KINDS = {
+    "verbatim": lambda n, t: t,
+    "numbers": lambda n, t: re.sub(r"\d+", lambda m: str(int(m[0]) * 3 + 1), t),
+    "names of two words": lambda n, t: t.replace(n, "Anna Maria"),
+    "lower case": lambda n, t: t.lower(),
+    "lower case, other names": lambda n, t: t.replace(n, "sarah").lower(),
+    "lower case, other names and numbers": lambda n, t: re.sub(r"\d+", lambda m: str(int(m[0]) + 7), t.replace(n, "omar")).lower(),
+    "numbers as words": lambda n, t: re.sub(r"\d+", lambda m: SPELLED[m[0]], t),
+    "other numbers as words, other names": lambda n, t: re.sub(r"\d+", "seventy-two", t.replace(n, "Peter"), count=1),
+    "words as numbers": lambda n, t: t.replace("three", "3").replace("Ten", "10"),
+}
+
+
+def test_recall_by_kind(spark):
+    docs, want = [], {}
+    for k, change in KINDS.items():
+        for i, (name, text) in enumerate(PROBLEMS.items()):
+            want[len(docs)] = (k, i)
+            docs.append((len(docs), f"Words that stand before it. {change(name, text)} And words that follow.", 0))
+    docs.append((len(docs), " ".join(sorted(set(" ".join(PROBLEMS.values()).split()))), 0))  # the same words in another order
+    got = set(pairs(spark, docs, [(i, t, 0) for i, t in enumerate(PROBLEMS.values())]))
+    for k in KINDS:
+        of = [(d, i) for d, (kind, i) in want.items() if kind == k]
+        assert sum(p in got for p in of) >= 0.9 * len(of), k
+    assert got <= {(d, i) for d, (_, i) in want.items()}
+
+
+def test_items_without_anchors(spark):
+    """One item of single literal words, one of no letters at all; the others keep to their suspects."""
+    items = [(1, QUESTION, 0), (2, "if 3 plus 5 then 8 minus 2 gives 6 why 4", 0), (3, "17 * 23 + 5 = 396 - 8 / 4", 0)]
+    docs = [(1, "first " + QUESTION, 0), (2, "now if 3 plus 5 then 8 minus 2 gives 6 why 4 then", 0), (3, "so 17 * 23 + 5 = 396 - 8 / 4 holds", 0), (4, "17 * 24 + 5 = 413", 0), (5, "if 9 plus 4 then 7 minus 1 gives 2 why 3", 0)]
+    assert set(pairs(spark, docs, items)) == {(1, 1), (2, 2), (3, 3), (5, 2)}
+    b = spark.createDataFrame(items, "item_id long, text string, doc_id int")
+    d = spark.createDataFrame(docs, "doc_id long, text string, item_id int")
+    suspects, anywhere = dc._suspects(d, [*dc._strict_items(b, "item_id", "text").values(), dc._loose_items(b, "item_id", "text")[0]], "doc_id", "text")
+    assert {r[0] for r in anywhere.collect()} == {3}
+    assert 4 not in {r[0] for r in suspects.collect()}
