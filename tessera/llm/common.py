@@ -19,12 +19,15 @@ _SCRATCH: set[str] = set()
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Only where the setting is missing (single-machine tests) a local folder is made and set.
+    Only a local master may go without the setting (tests): then a local folder is made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if spark.sparkContext.getCheckpointDir():
             return spark.sparkContext.getCheckpointDir()
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -64,3 +64,28 @@ def test_fit_passes_over_a_long_text(spark, monkeypatch):
     known = labels.where(~quality.held_out(labels["doc_id"])).collect()
     short = sorted(r["quality"] for r in known if r["doc_id"] % 3)
     assert sorted(y for t, y in seen[0] if len(t) == 10) == short
+
+
+def test_scores_equal_a_plain_compressor_loop(spark, documents, texts):
+    """Each text compressed on its own with each dictionary, the formula of the score written out."""
+    import math
+
+    import zstandard
+
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = quality.fit(documents, labels)
+    got = {r["doc_id"]: r["score"] for r in quality.score(documents, model).collect()}
+    for d, t in [*texts, (-1, ""), (-2, "word " * 20_000), (-3, "x" * 1_000_000)]:
+        raw = (t or "").encode()
+        size = []
+        for dictionary in (model.good, model.bad):
+            plain = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
+            made = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, **plain)
+            size.append(len(made.compress(raw)))
+        diff = 10 * (size[1] - size[0]) / (size[0] + size[1])
+        ratio = min(max(math.log(min(size) / len(raw)), -6), 2) if raw else 0.0
+        low, short = max(-1.5 - ratio, 0), 1 / math.sqrt(1 + len(raw) / 50)
+        z = sum(w * x for w, x in zip(model.weights, (1, diff, low, short, diff * short, max(diff, 0)), strict=True))
+        want = 1 / (1 + math.exp(-min(max(z, -30), 30)))
+        mine = got[d] if d >= 0 else float(model.score([raw])[0])
+        assert abs(mine - want) < 1e-9
