@@ -104,7 +104,7 @@ def _loose_tokens(df: DataFrame, text: str, *keep: Column) -> DataFrame:
 def _loose_windows(tokens: DataFrame, key: str, sizes: list[int], raw: bool, masked: bool = False) -> DataFrame:
     """Windows with runs of names as one token (path c), lowered ones that hold a capital (path l)
     and, if ``raw``, lowered ones as they are (path v): key, path, n, pos, hash. If ``masked``, also
-    lowered ones in which one word that isn't capitalised stands for a name, each in turn (path m)."""
+    those without a capital in which one word stands for a name, each in turn (path m)."""
     hashed = lambda c: F.transform(c, lambda x: F.xxhash64(x))
     capital = F.transform("w", lambda x: x.rlike(r"^\p{Lu}"))
     columns = {"c": hashed("ck"), "l": hashed("l"), "u": capital}
@@ -113,15 +113,20 @@ def _loose_windows(tokens: DataFrame, key: str, sizes: list[int], raw: bool, mas
     rows = tokens.select("*", *[v.alias("h" + k) for k, v in columns.items()])
 
     def windows(path: str, n: int) -> Column:
-        at = lambda i: F.struct(F.lit(path).alias("path"), F.lit(n).alias("n"), i.alias("pos"), F.xxhash64(*[F.get("h" + path, i + j) for j in range(n)]).alias("hash"))
+        word = lambda h, j: F.xxhash64(h, F.lit(j))
+        whole = lambda p, i: reduce(lambda a, b: a.bitwiseXOR(b), [word(F.get("h" + p, i + j), j) for j in range(n)])
+        at = lambda i: F.struct(F.lit(path).alias("path"), F.lit(n).alias("n"), i.alias("pos"), whole(path, i).alias("hash"))
         places = F.sequence(F.lit(0), F.size("h" + path) - n)
         if path == "l":
             places = F.filter(places, lambda i: reduce(Column.__or__, [F.get("hu", i + j) for j in range(n)]))
         if path == "m":
             name = F.xxhash64(F.lit("#p"))
-            one = lambda i, m: F.struct(F.lit(path).alias("path"), F.lit(n).alias("n"), i.alias("pos"), F.xxhash64(*[name if j == m else F.get("hl", i + j) for j in range(n)]).alias("hash"))
-            each = lambda i: F.filter(F.array(*[F.when(~F.get("hu", i + m), one(i, m)) for m in range(n)]), lambda x: x.isNotNull())
-            return F.when(F.size("hl") >= n, F.flatten(F.transform(F.sequence(F.lit(0), F.size("hl") - n), each))).otherwise(F.array().cast("array<struct<path:string,n:int,pos:int,hash:bigint>>"))
+            # a mask changes one word of the window's hash
+            one = lambda x, m: F.struct(F.lit(path).alias("path"), F.lit(n).alias("n"), x["i"].alias("pos"), x["h"].bitwiseXOR(word(F.get("hl", x["i"] + m), m)).bitwiseXOR(word(name, m)).alias("hash"))
+            each = lambda x: F.array(*[one(x, m) for m in range(n)])
+            bare = F.filter(F.sequence(F.lit(0), F.size("hl") - n), lambda i: ~reduce(Column.__or__, [F.get("hu", i + j) for j in range(n)]))
+            hashed = F.transform(bare, lambda i: F.struct(i.alias("i"), whole("l", i).alias("h")))
+            return F.when(F.size("hl") >= n, F.flatten(F.transform(hashed, each))).otherwise(F.array().cast("array<struct<path:string,n:int,pos:int,hash:bigint>>"))
         return F.when(F.size("h" + path) >= n, F.transform(places, at)).otherwise(F.array().cast("array<struct<path:string,n:int,pos:int,hash:bigint>>"))
 
     every = F.concat(*[windows(p, n) for n in sizes for p in ("c", "l", *("v" if raw else ""), *("m" if masked else ""))])
