@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import ordering
+from tessera.sources import scratch
 
 #: Rows that one fold takes; larger buckets are folded in runs of this many.
 RUN = 4096
@@ -72,6 +73,8 @@ def bounded_batches(df: DataFrame, id_column: str, length: str, value: str, limi
     and each run is folded by itself, so no task takes more. Adds bucket, run, batch_id (0-based in
     a run). With ``drop_last`` the last, still open batch of each run is left out.
     """
+    # read several times below (bounds, totals, rows), so what made the rows runs once
+    df = scratch.materialize(df.select(*dict.fromkeys([id_column, length, value])), "sized")
     kind = dict(df.dtypes)[value]
     kind = "double" if kind in ("double", "float") else "bigint"
     total = df.count()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import lengths, text as tx
 from tessera.operators import align, batching, chat, guards, hooks, metrics
-from tessera.sources import manifests, named_files
+from tessera.sources import manifests, named_files, scratch
 
 
 def prepare_cuts(cuts: DataFrame, instruction: str | None = None, system: str | None = None) -> DataFrame:
@@ -50,6 +50,7 @@ def train_batches(cuts: DataFrame, limit: float, buckets: int, seed: int, weight
 
     Returns bucket, run, batch_id, the cut's rank in the mix and its tokens.
     """
+    cuts = scratch.materialize(cuts.select(key, "source", "duration", weight, "num_text_tokens"), "cuts")  # the mix reads them several times
     mixed = batching.weighted_mux(cuts, "source", weight, key).withColumn("rank", F.col("rank").cast("long"))
     kept = guards.filter_duration(mixed, low, high)
     sized = kept.select("rank", "duration", (lengths.estimated_audio_tokens(F.col("duration"), rate) + F.col("num_text_tokens")).alias("num_tokens"))
