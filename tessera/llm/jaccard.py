@@ -11,7 +11,7 @@ goes on if the lists in which it meets, with what lies behind both prefixes, can
 pairs hang together in families of similar sets.
 
 Long lists are first probed by one set alone, that with the fewest rare shingles; lists inside one
-component by then are done. The rest are cut into blocks by size and position, and two blocks meet
+component by then are done. The rest are bundled by their smallest set, cut into blocks by size and position, and two blocks meet
 only if their bounds allow a link and they aren't one component.
 
 Families and pairs of blocks are units of bounded size. In a unit an index of its sets gives the
@@ -24,8 +24,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles
@@ -63,6 +64,16 @@ def _raw(part: pa.RecordBatch, column: int) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") for t in strings(part.column(column))]
 
 
+def _behind(n: str) -> Column:
+    """Shingles of a set of size ``n`` that aren't posted."""
+    return F.col(n) - F.floor(F.col(n) / 4) - 1
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    """``ids``, broadcast if they are few: what they are joined with is then filtered before any shuffle."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _sizes(docs: DataFrame) -> DataFrame:
     """doc_id, n (set size), key (128 bits of the sorted set); with n = -1: shingles ``often`` that
     several distinct sets of a task have, and how many (``times``)."""
@@ -156,28 +167,30 @@ def meetings(h: np.ndarray, rep: np.ndarray, n: np.ndarray, pos: np.ndarray) ->
 
 
 def _lists(postings: DataFrame) -> DataFrame:
-    """Read the lists once: with h null, pairs a, b with sizes na, nb and in how many lists they
-    meet (c); else entries of long lists and of frequent shingles: h, a with size na at position c."""
-    names = ["h", "a", "na", "b", "nb", "c"]
+    """Read the lists once. With h null: a short list of several sets, in order: reps, ns, poss (sizes
+    and positions) and its smallest set (first). Else entries of long lists and of frequent shingles:
+    h, rep, n, pos. So there are never more rows than entries."""
+    names = ["h", "rep", "n", "pos", "first", "reps", "ns", "poss"]
+    longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
 
     def entries(h, rep, n, pos):
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(rep), pa.array(n), pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.int32()), pa.array(pos.astype(np.int32))], names=names)
+        none = [pa.nulls(len(h), t) for t in (pa.int64(), longs, ints, ints)]
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(rep), pa.array(n), pa.array(pos.astype(np.int32)), *none], names=names)
 
-    def added(held):
-        a, na, b, nb = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((b, a))
-        a, na, b, nb = a[order], na[order], b[order], nb[order]
-        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)])
-        count = np.diff(np.concatenate([first, [len(a)]]))
-        return pa.RecordBatch.from_arrays([pa.nulls(len(first), pa.int64()), pa.array(a[first], pa.int64()), pa.array(na[first].astype(np.int32)), pa.array(b[first], pa.int64()), pa.array(nb[first].astype(np.int32)), pa.array(count.astype(np.int32))], names=names)
+    def lists(h, rep, n, pos):
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        ends = pa.array(np.append(starts, len(h)).astype(np.int32))
+        none = [pa.nulls(len(starts), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]
+        columns = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (rep, n, pos.astype(np.int32))]
+        return pa.RecordBatch.from_arrays([*none, pa.array(np.minimum.reduceat(rep, starts)), *columns], names=names)
 
     def run(batches):
         tail = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)]
-        flushed, held, size = None, [], 0  # flushed: list of which entries have left already
+        flushed = None  # list of which entries have left already
 
         def whole(rows, last):
             """Deal with the lists of ``rows``; the last one may go on unless ``last``."""
-            nonlocal tail, flushed, size
+            nonlocal tail, flushed
             h = rows[0]
             if not len(h):
                 return
@@ -195,13 +208,7 @@ def _lists(postings: DataFrame) -> DataFrame:
                 yield entries(*(x[far] for x in rows))
             flushed = int(h[-1]) if far[-1] else None
             if short.any():
-                got = meetings(*(x[short] for x in rows))
-                held.append(got)
-                size += len(got[0])
-            if held and (size > PAIRS or last):
-                yield added(held)
-                held.clear()
-                size = 0
+                yield lists(*(x[short] for x in rows))
 
         for part in batches:
             rows = [part.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
@@ -212,20 +219,56 @@ def _lists(postings: DataFrame) -> DataFrame:
             yield from whole([np.concatenate([t, x]) for t, x in zip(tail, rows, strict=True)], False)
         rest, tail = tail, [x[:0] for x in tail]
         yield from whole(rest, True)
-        if held:
-            yield added(held)
         tidy()
 
     # frequent shingles pass through, so their rows may go anywhere
     place = F.when(F.col("hot"), F.xxhash64("rep")).otherwise(F.col("h"))
     dealt = postings.withColumn("place", place).repartition("place").drop("place").sortWithinPartitions("hot", "h", "n", "pos")
-    return dealt.select("h", "rep", "n", "pos", "hot").mapInArrow(run, "h long, a long, na int, b long, nb int, c int")
+    return dealt.select("h", "rep", "n", "pos", "hot").mapInArrow(run, "h long, rep long, n int, pos int, first long, reps array<long>, ns array<int>, poss array<int>")
+
+
+def _meetings(lists: DataFrame) -> DataFrame:
+    """Pairs a, b with sizes na, nb of the short lists (first, reps, ns, poss) and in how many they meet (c).
+
+    Lists with one smallest set come together: similar sets share most of their lists, so what one
+    pair has in them is added up here and leaves as few rows, not one a list.
+    """
+
+    def added(held):
+        a, na, b, nb = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((b, a))
+        a, na, b, nb = a[order], na[order], b[order], nb[order]
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)])
+        count = np.diff(np.concatenate([first, [len(a)]]))
+        return pa.RecordBatch.from_arrays([pa.array(a[first], pa.int64()), pa.array(na[first].astype(np.int32)), pa.array(b[first], pa.int64()), pa.array(nb[first].astype(np.int32)), pa.array(count.astype(np.int32))], names=["a", "na", "b", "nb", "c"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            length = pc.list_value_length(batch.column(0)).to_numpy(zero_copy_only=False).astype(np.int64)
+            spent = np.cumsum(length * (length - 1) // 2)
+            at = 0
+            while at < len(length):
+                to = max(at + 1, int(np.searchsorted(spent, (spent[at - 1] if at else 0) + PAIRS, side="right")))
+                rep, n, pos = (c.slice(at, to - at).flatten().to_numpy(zero_copy_only=False) for c in batch.columns)
+                got = meetings(np.repeat(np.arange(to - at), length[at:to]), rep, n, pos)
+                held.append(got)
+                size += len(got[0])
+                at = to
+                if size > PAIRS:
+                    yield added(held)
+                    held, size = [], 0
+        if size:
+            yield added(held)
+        tidy()
+
+    dealt = lists.repartition("first").sortWithinPartitions("first").select("reps", "ns", "poss")
+    return dealt.mapInArrow(run, "a long, na int, b long, nb int, c int")
 
 
 def _chosen(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Texts of the classes ``reps`` (rep): rep, text."""
-    wanted = F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps
-    return docs.join(wanted, docs["doc_id"] == reps["rep"], "left_semi").select(F.col("doc_id").alias("rep"), "text")
+    return docs.join(_small(reps), docs["doc_id"] == reps["rep"], "left_semi").select(F.col("doc_id").alias("rep"), "text")
 
 
 def _full_sets(texts: DataFrame) -> DataFrame:
@@ -265,11 +308,13 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     common = np.array(hot[::-1], np.int64).view(np.uint64)
 
     texts = _chosen(src, classes.select("rep").distinct())
-    met = materialize(_lists(_prefixes(texts, common)), "jaccard-meetings")
-    rows = met.where("h IS NOT NULL").select("h", F.col("a").alias("rep"), F.col("na").alias("n"), F.col("c").alias("pos"))
-    # of each set: entries in long lists, and the posted shingles before the first of them
+    lists = materialize(_lists(_prefixes(texts, common)), "jaccard-lists")
+    rows = lists.where("h IS NOT NULL").select("h", "rep", "n", "pos")
+    # of each set: entries in long lists, the posted shingles before the first of them, entries in short lists
     unlisted = materialize(rows.groupBy("rep").agg(F.count(F.lit(1)).alias("u"), F.min("pos").alias("cold")), "jaccard-unlisted")
-    pairs = materialize(_possible(met.where("h IS NULL"), unlisted), "jaccard-pairs")
+    short = lists.where("h IS NULL").select(F.explode("reps").alias("rep")).join(_small(unlisted.select("rep")), "rep", "left_semi")
+    unlisted = materialize(unlisted.join(short.groupBy("rep").agg(F.count(F.lit(1)).alias("s")), "rep", "left").fillna(0, ["s"]), "jaccard-listed")
+    pairs = materialize(_possible(_meetings(lists.where("h IS NULL")), unlisted), "jaccard-pairs")
     involved = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(unlisted.select("rep")).distinct()
     full = _full_sets(_chosen(src, materialize(involved, "jaccard-involved")))
     links = [*_families(pairs, full), _leaders(rows, unlisted, full)]
@@ -307,12 +352,13 @@ def _possible(met: DataFrame, unlisted: DataFrame) -> DataFrame:
     ``met`` were counted, and others can only be among the entries in long lists.
     """
     pairs = met.groupBy("a", "na", "b", "nb").agg(F.sum("c").alias("met"))
+    few = unlisted.count() <= BROADCAST_IDS
     for side in "ab":
-        pairs = pairs.join(unlisted.select(F.col("rep").alias(side), F.col("u").alias("u" + side)), side, "left")
-    behind = lambda n: F.col(n) - F.floor(F.col(n) / 4) - 1
+        u = unlisted.select(F.col("rep").alias(side), F.col("u").alias("u" + side))
+        pairs = pairs.join(F.broadcast(u) if few else u, side, "left")
     need = F.floor((3 * (F.col("na") + F.col("nb")) + 6) / 7)
     unseen = F.coalesce(F.least("ua", "ub", F.coalesce("ua", F.lit(0)), F.coalesce("ub", F.lit(0))), F.lit(0))
-    return pairs.where(F.col("met") + unseen + F.greatest(behind("na"), behind("nb")) >= need).select("a", "b", "met", "na", "nb")
+    return pairs.where(F.col("met") + unseen + F.greatest(_behind("na"), _behind("nb")) >= need).select("a", "b", "met", "na", "nb")
 
 
 def _families(pairs: DataFrame, full: DataFrame) -> list[DataFrame]:
@@ -435,7 +481,8 @@ def _unit_links(units: DataFrame, full: DataFrame, name: str) -> DataFrame:
             yield tied(reps, sets)
         tidy()
 
-    dealt = units.join(full, "rep").select("unit", "rep", "items").repartition("unit").sortWithinPartitions("unit")
+    units = materialize(units.distinct(), f"{name}-units")
+    dealt = full.join(_small(units), "rep").select("unit", "rep", "items").repartition("unit").sortWithinPartitions("unit")
     return materialize(dealt.mapInArrow(run, "a long, b long"), name, ROWS)
 
 
@@ -445,10 +492,14 @@ def _leaders(rows: DataFrame, unlisted: DataFrame, full: DataFrame) -> DataFrame
     The leader is the set with the fewest posted shingles outside long lists. Sets of its lists are
     dealt into units of bounded size that all hold the leader, each set once a leader.
     """
-    placed = rows.join(unlisted.select("rep", "cold"), "rep")
-    leaders = placed.groupBy("h").agg(F.min(F.struct("cold", "n", "rep")).alias("m")).select("h", F.col("m.rep").alias("leader"), F.col("m.n").alias("ln"))
+    placed = rows.join(unlisted.select("rep", "cold", "s"), "rep")
+    leaders = placed.groupBy("h").agg(F.min(F.struct("cold", "n", "rep", "s")).alias("m")).select("h", F.col("m.rep").alias("leader"), F.col("m.n").alias("ln"), F.col("m.s").alias("ls"))
     close = (F.least("n", "ln") * 100 >= F.greatest("n", "ln") * 75) & (F.col("rep") != F.col("leader"))
-    met = materialize(rows.join(leaders, "h").where(close).groupBy("leader", "rep", "n").agg(F.count(F.lit(1)).alias("met")), "jaccard-led")
+    met = placed.join(leaders, "h").where(close).groupBy("leader", "rep", "n", "s", "ln", "ls").agg(F.count(F.lit(1)).alias("met"))
+    # they can share what met, as much of short lists as the one with less has there, and what isn't posted
+    need = F.floor((3 * (F.col("n") + F.col("ln")) + 6) / 7)
+    met = met.where(F.col("met") + F.least("s", "ls") + F.greatest(_behind("n"), _behind("ln")) >= need)
+    met = materialize(met.select("leader", "rep", "n"), "jaccard-led")
     size = met.groupBy("leader").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_ITEMS)).cast("int").alias("k"))
     dealt = met.join(size, "leader").select(F.xxhash64("leader", F.pmod(F.xxhash64("rep"), F.col("k"))).alias("unit"), "leader", "rep")
     units = dealt.select("unit", "rep").unionByName(dealt.select("unit", F.col("leader").alias("rep")).distinct())
@@ -458,18 +509,20 @@ def _leaders(rows: DataFrame, unlisted: DataFrame, full: DataFrame) -> DataFrame
 def _blocks(rows: DataFrame, full: DataFrame, labels: DataFrame) -> DataFrame | None:
     """Links (a, b) found in long lists that aren't inside one component yet, as stars.
 
-    A list is cut into blocks of bounded rows and shingles; where it takes several, by size class,
+    Lists of the same sets are bundled first. One is cut into blocks of bounded rows and shingles; where it takes several, by size class,
     position class and, for components with many rows, component. Two blocks meet only if the sizes
     in them allow a link, if enough shingles lie behind the positions in them (where linked sets
     meet first, all they share lies there), and if they aren't of one component.
     """
     known = labels.select(F.col("node").alias("rep"), "component")
     placed = rows.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    lists = placed.groupBy("h").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("_c"), F.sum("n").alias("_n")).where("_lo <> _hi")
-    many = (F.col("_c") > BLOCK_SETS) | (F.col("_n") > BLOCK_ITEMS)
-    placed = materialize(placed.join(lists.select("h", many.alias("many")), "h"), "jaccard-open")
+    lists = placed.groupBy("h").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.min("rep").alias("first")).where("_lo <> _hi")
+    placed = materialize(placed.join(lists.select("h", "first"), "h"), "jaccard-open")
     if placed.isEmpty():
         return None
+    placed = materialize(_bundled(placed), "jaccard-bundles")
+    size = placed.groupBy("h").agg(((F.count(F.lit(1)) > BLOCK_SETS) | (F.sum("n") > BLOCK_ITEMS)).alias("many"))
+    placed = placed.join(size, "h")
     # sizes of one class differ by less than 4/3; positions are classed by 28ths of the size
     size_class = F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int") * 8 + F.floor(28 * F.col("pos") / F.col("n")).cast("int")
     shares = placed.groupBy("h", "component").agg((F.count(F.lit(1)) > BLOCK_SETS // 4).alias("own")).where("own")
@@ -490,5 +543,21 @@ def _blocks(rows: DataFrame, full: DataFrame, labels: DataFrame) -> DataFrame |
     return _unit_links(dealt.select("block", "rep").join(both, "block").select("unit", "rep"), full, "jaccard-long-links")
 
 
+def _bundled(placed: DataFrame) -> DataFrame:
+    """Open lists (h, first, rep, n, pos, component), those of one smallest set taken for one list.
+
+    A passage has as many lists as shingles, all of nearly the same sets: each set then goes out once,
+    not once a list. A set stands at its first position. Lists stay apart where one would make more pairs of blocks.
+    """
+    cost = lambda k: k * (k + 1)
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_ITEMS))
+    apart = placed.groupBy("first", "h").agg(blocks.alias("k")).groupBy("first").agg(F.sum(cost(F.col("k"))).alias("apart"))
+    once = placed.groupBy("first", "rep", "n").agg(F.lit(1)).groupBy("first").agg(blocks.alias("k"))
+    choice = apart.join(once, "first").select("first", (cost(F.col("k")) <= F.col("apart")).alias("one"))
+    keys = placed.select("h", "first").distinct().join(choice, "first").select(F.col("h").alias("list"), F.when(F.col("one"), F.col("first")).otherwise(F.col("h")).alias("key"))
+    keys = _small(materialize(keys, "jaccard-keys"))  # rows meet them by list, as one smallest set may have many rows
+    return placed.join(keys, placed["h"] == keys["list"]).groupBy(F.col("key").alias("h"), "rep", "n", "component").agg(F.min("pos").alias("pos"))
+
+
 def _of(alias: str) -> dict:
     return {c: F.col(f"{alias}.{c}") for c in ("h", "s", "of")}

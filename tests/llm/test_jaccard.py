@@ -82,6 +82,51 @@ def test_families_and_boilerplate(spark, monkeypatch, blocks):
     assert answer(jaccard.jaccard_components(df)) == plain(sorted(rows))
 
 
+def near_copies(rng, groups, copies, size, passage):
+    """Texts of ``groups`` bases, each with a word changed here and there ``copies`` times, and a passage in all."""
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    common = [word() for _ in range(passage)]
+    rows = []
+    for _ in range(groups):
+        base = [word() for _ in range(size)]
+        for _ in range(copies):
+            w = list(base)
+            w[rng.randrange(size)] = word()
+            rows.append((len(rows), " ".join(w + common)))
+    return rows
+
+
+def test_copies_and_passages_grow_in_proportion(spark, monkeypatch):
+    """A pair leaves as few rows, not one a list it meets in, and a set goes out once a passage, not once a list."""
+    rows = near_copies(random.Random(3), 30, 6, 120, 60)
+    made, sent = [], []
+    possible, unit_links = jaccard._possible, jaccard._unit_links
+
+    def counted(met, unlisted):
+        made.append((met.count(), met.select("a", "b").distinct().count()))
+        return possible(met, unlisted)
+
+    def noted(units, full, name):
+        sent.append((name, units.distinct().count()))
+        return unit_links(units, full, name)
+
+    monkeypatch.setattr(jaccard, "_possible", counted)
+    monkeypatch.setattr(jaccard, "_unit_links", noted)
+    monkeypatch.setattr(jaccard, "FREQUENT", 0)  # the passage is posted and makes long lists
+    settings = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    usual = {k: spark.conf.get(k) for k in settings}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert answer(jaccard.jaccard_components(df)) == plain(rows)
+    finally:
+        for k, v in usual.items():
+            spark.conf.set(k, v)
+    assert all(0 < n <= 3 * pairs for n, pairs in made), made
+    assert all(n <= 3 * len(rows) for _, n in sent), sent
+
+
 def test_odd_rows(spark, odd, empty):
     rows = jaccard.jaccard_components(odd).collect()
     assert len(rows) == odd.count()
