@@ -24,6 +24,10 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from pyspark.sql.types import StructType
 
 
+#: Partitions of small files that one task reads.
+READ_TOGETHER = 64
+
+
 def qualified(spark: SparkSession, folder: str) -> str:
     """``folder`` with its file system; one without a scheme is on Spark's default file system."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
@@ -132,6 +136,9 @@ def write(df: DataFrame, folder: str, name: str, text: str, order: list[str] | N
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """(name, content) of the files of a folder; Spark passes over empty ones."""
     files = spark.read.format("binaryFile").load(folder)
+    # Spark deals out some 30 small files a partition, whose start costs more than they do
+    parts = files.rdd.getNumPartitions()
+    files = files.coalesce(max(3 * spark.sparkContext.defaultParallelism, parts // READ_TOGETHER))
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
 
 

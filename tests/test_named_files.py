@@ -52,3 +52,11 @@ def test_two_tasks_with_one_name(spark, tmp_path):
     with pytest.raises(Exception, match="two tasks"):
         named_files.write(df, str(tmp_path), "n", "t")
     assert files(tmp_path) == {}
+
+
+def test_many_small_files_are_read_by_few_tasks(spark, tmp_path):
+    for i in range(1500):
+        (tmp_path / f"f{i}").write_text(str(i))
+    got = named_files.read(spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() <= 3 * spark.sparkContext.defaultParallelism
+    assert {r["name"]: bytes(r["content"]).decode() for r in got.collect()} == {f"f{i}": str(i) for i in range(1500)}
