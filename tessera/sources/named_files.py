@@ -12,6 +12,7 @@ the attempt that Spark accepts is moved.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -96,12 +97,26 @@ class NamedFilesWriter(DataSourceWriter):
         self._clear(fs, root)
 
     def abort(self, messages: list) -> None:
-        self._clear(*self._root())
+        # tasks that are being stopped may still write: until nothing comes back for a second
+        fs, root = self._root()
+        quiet = 0
+        for _ in range(40):
+            try:
+                quiet = 0 if self._clear(fs, root) else quiet + 1
+            except OSError:
+                quiet = 0
+            if quiet == 4:
+                return
+            time.sleep(0.25)
+        self._clear(fs, root)
 
-    def _clear(self, fs: pyarrow.fs.FileSystem, root: str) -> None:
+    def _clear(self, fs: pyarrow.fs.FileSystem, root: str) -> bool:
+        """Delete the drafts; were there any?"""
         at = f"{root}/{self.drafts}"
-        if fs.get_file_info(at).type == pyarrow.fs.FileType.Directory:
+        found = fs.get_file_info(at).type == pyarrow.fs.FileType.Directory
+        if found:
             fs.delete_dir(at)
+        return found
 
 
 class NamedFiles(DataSource):
