@@ -22,6 +22,8 @@ from tessera.operators.generate import Generator
 from tessera.sources import scratch
 
 Prepare = Callable[[dict], str | None]
+#: Column of the scratch tables: number of the job.
+WAVE = "_wave"
 #: Columns that generation adds; ``status`` is 'ok' or 'failed'.
 ADDED = "micro long, place long, response string, finish_reason string, error string, status string"
 
@@ -133,14 +135,14 @@ def generate_into(df: DataFrame, key: str, order: list[str], path: str, prepare:
     spark = df.sparkSession
     placed = ordering.position(df, "position", None, order).withColumn("position", F.col("position").cast("long"))
     placed = placed.withColumn("outer", F.floor(F.col("position") / outer).cast("long"))
-    rows = scratch.materialize(placed, "prompts")
+    placed = placed.withColumn(WAVE, F.floor(F.col("outer") / wave).cast("long"))
+    rows = scratch.materialize(placed, "prompts", WAVE)  # a job reads the files of its wave, not the whole table
     if _exists(spark, path):
         done = spark.read.parquet(path).select(F.col(key).alias("_key"), F.col("position").alias("_position"))
-        rows = scratch.materialize(rows.join(done, (rows["position"] == done["_position"]) & rows[key].eqNullSafe(done["_key"]), "left_anti"), "open-prompts")
-    ends = rows.agg(F.min("outer"), F.max("outer")).first()
-    for first in range(ends[0], ends[1] + 1, wave) if ends[0] is not None else ():
-        part = rows.where(F.col("outer").between(first, first + wave - 1))
+        rows = scratch.materialize(rows.join(done, (rows["position"] == done["_position"]) & rows[key].eqNullSafe(done["_key"]), "left_anti"), "open-prompts", WAVE)
+    for number in sorted(r[0] for r in rows.select(WAVE).distinct().collect()):
+        part = rows.where(F.col(WAVE) == number).drop(WAVE)
         generate(part, "outer", ["position"], prepare, make, size, threads).write.mode("append").partitionBy("status").parquet(path)
     if not _exists(spark, path):  # no rows at all
-        generate(rows, "outer", ["position"], prepare, make, size, threads).write.mode("append").parquet(path)
+        generate(rows.drop(WAVE), "outer", ["position"], prepare, make, size, threads).write.mode("append").parquet(path)
     return spark.read.parquet(path)

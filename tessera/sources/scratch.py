@@ -30,10 +30,10 @@ def path(spark: SparkSession, name: str) -> str:
     return made
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back; outlives lost executors."""
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` once and read it back; outlives lost executors. With ``by``, a folder a value of that column."""
     at = path(df.sparkSession, name)
-    df.write.parquet(at)
+    (df.write.partitionBy(by) if by else df.write).parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 

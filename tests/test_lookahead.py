@@ -132,3 +132,16 @@ def test_status_of_rows(spark, tmp_path):
     assert set(got.columns) == {"n", "key", "text", "position", "outer", "micro", "place", "response", "finish_reason", "error", "status"}
     assert {(r["status"], r["error"] is None) for r in got.collect()} == {("ok", True), ("failed", False)}
     assert sorted(p.name for p in (tmp_path / "out").glob("status=*")) == ["status=failed", "status=ok"]
+
+
+def test_a_job_reads_its_rows_only(spark, tmp_path, monkeypatch):
+    generate, plans = lookahead.generate, []
+
+    def noted(df, *more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return generate(df, *more)
+
+    monkeypatch.setattr(lookahead, "generate", noted)
+    got = lookahead.generate_into(table(spark, inputs(100)), "key", ["n"], f"file://{tmp_path}/out", prepare, make, 10, 4, wave=3)
+    assert got.count() == 100 and got.columns.count(lookahead.WAVE) == 0
+    assert len(plans) == 4 and all(lookahead.WAVE in p.split("PartitionFilters: [")[1].split("]")[0] for p in plans)
