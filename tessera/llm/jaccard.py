@@ -35,11 +35,11 @@ from tessera.llm.components import components
 
 #: Shingles counted together when frequent ones are looked for, and the least count that is noted.
 COUNTED = 4_000_000
-NOTED = 3
-#: A shingle noted more often than OFTEN is treated as frequent; at most FREQUENT of them, the most
-#: common. Which ones are only moves work about.
+NOTED = 2
+#: A shingle noted more often than one of OFTEN sets would be is treated as frequent; at most FREQUENT
+#: of them, the most common. Which ones are only moves work about.
 OFTEN = 32
-FREQUENT = 100_000
+FREQUENT = 500_000
 #: Lists up to this length give their pairs directly.
 SHORT_LIST = 64
 #: Sets and shingles of a block of a long list; a unit holds two blocks.
@@ -105,6 +105,19 @@ def _sizes(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, key binary, often array<long>, times array<long>")
 
 
+def _frequent(noted: DataFrame) -> np.ndarray:
+    """The frequent shingles, rarest first, by what the runs have noted (rows of :func:`_sizes` with n = -1).
+
+    The more runs a shingle's sets are spread over, the fewer of them meet in one and are noted, so the
+    bound falls with the number of runs: it is what a shingle of OFTEN sets may expect.
+    """
+    runs = noted.count()
+    bound = OFTEN * -np.expm1(-OFTEN / max(1, runs))
+    each = noted.select(F.explode(F.arrays_zip("often", "times")).alias("z")).groupBy(F.col("z.often").alias("h")).agg(F.sum("z.times").alias("c"))
+    found = each.where(F.col("c") > float(bound)).orderBy(F.desc("c"), "h").limit(FREQUENT).select("h").toArrow()
+    return found.column(0).to_numpy()[::-1].astype(np.int64).view(np.uint64)
+
+
 def _prefixes(texts: DataFrame, common: np.ndarray) -> DataFrame:
     """One row per posted shingle of ``texts`` (rep, text): h, rep, n, pos, hot (is it frequent).
 
@@ -303,12 +316,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     named = base.where("n > 0 AND doc_id IS NOT NULL")
     classes = materialize(named.groupBy("key").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
     # a row id that repeats with other texts may stand for several classes: it posts them all
-    often = every.where("n < 0").select(F.explode(F.arrays_zip("often", "times")).alias("z")).groupBy(F.col("z.often").alias("h")).agg(F.sum("z.times").alias("c"))
-    hot = [r[0] for r in often.where(F.col("c") > OFTEN).orderBy(F.desc("c"), "h").limit(FREQUENT).select("h").collect()]
-    common = np.array(hot[::-1], np.int64).view(np.uint64)
-
     texts = _chosen(src, classes.select("rep").distinct())
-    lists = materialize(_lists(_prefixes(texts, common)), "jaccard-lists")
+    lists = materialize(_lists(_prefixes(texts, _frequent(every.where("n < 0")))), "jaccard-lists")
     rows = lists.where("h IS NOT NULL").select("h", "rep", "n", "pos")
     # of each set: entries in long lists, the posted shingles before the first of them, entries in short lists
     unlisted = materialize(rows.groupBy("rep").agg(F.count(F.lit(1)).alias("u"), F.min("pos").alias("cold")), "jaccard-unlisted")
@@ -377,33 +386,27 @@ def _families(pairs: DataFrame, full: DataFrame) -> list[DataFrame]:
         return links
     inside = family.join(large, "component").select(F.col("node").alias("a"))
     pairs = materialize(pairs.join(inside, "a", "left_semi"), "jaccard-large-pairs")
-    best = pairs.groupBy("b").agg(F.max(F.struct("met", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    links.append(_linked(best, full))
+    best = pairs.groupBy("b", "nb").agg(F.max(F.struct("met", "a")).alias("m")).select(F.col("m.a").alias("a"), "b", "nb")
+    links.append(_star_links(best, full, "jaccard-best-links"))
     labels = _labels(links)
     la = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
     lb = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     rest = pairs.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    links.append(_linked(rest.select("a", "b"), full))
+    links.append(_star_links(rest, full, "jaccard-rest-links"))
     return links
 
 
-def _linked(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets are linked."""
-    left = full.select(F.col("rep").alias("a"), F.col("items").alias("x"))
-    right = full.select(F.col("rep").alias("b"), F.col("items").alias("y"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
+def _star_links(pairs: DataFrame, full: DataFrame, name: str) -> DataFrame:
+    """Links (a, b) among ``pairs`` (a, b, nb), and those found beside them.
 
-    def run(batches):
-        for part in batches:
-            keep = []
-            for x, y in zip(part.column(2), part.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                z = np.concatenate([p, q])
-                z.sort()
-                keep.append(int((z[1:] == z[:-1]).sum()) >= _need(len(z)))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return materialize(both.mapInArrow(run, "a long, b long"), "jaccard-links", ROWS)
+    The sets that one set is to be compared with are dealt into units of bounded size that all hold it,
+    so only sets of ``pairs`` go out, each as often as it is a ``b``.
+    """
+    pairs = materialize(pairs.select("a", "b", "nb"), f"{name}-pairs")
+    size = pairs.groupBy("a").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("nb") / BLOCK_ITEMS)).cast("int").alias("k"))
+    dealt = pairs.join(size, "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("k"))).alias("unit"), "a", "b")
+    units = dealt.select("unit", F.col("b").alias("rep")).unionByName(dealt.select("unit", F.col("a").alias("rep")).distinct())
+    return _unit_links(units, full, name)
 
 
 def answers(sets: list[np.ndarray]) -> np.ndarray:

@@ -127,6 +127,32 @@ def test_copies_and_passages_grow_in_proportion(spark, monkeypatch):
     assert all(n <= 3 * len(rows) for _, n in sent), sent
 
 
+def test_frequent_shingles_spread_over_many_runs(spark):
+    """A shingle of 70 sets that meet two by two in 400 runs is frequent, one of four sets isn't."""
+    rows = [(None, -1, None, [7, *([9] if i < 2 else [])] if i < 35 else [1000 + i], [2, *([2] if i < 2 else [])] if i < 35 else [2]) for i in range(400)]
+    noted = spark.createDataFrame(rows, "doc_id long, n long, key binary, often array<long>, times array<long>")
+    got = jaccard._frequent(noted).tolist()
+    assert got[-1] == 7 and 1100 not in got
+    assert jaccard._frequent(noted.limit(0)).tolist() == []
+
+
+def test_large_families_send_their_own_sets_only(spark, monkeypatch):
+    """Sets outside large families aren't sent for these, and one of them goes out once a set it is compared with."""
+    rows = near_copies(random.Random(5), 1, 30, 120, 0) + [(1000 + i, t) for i, t in near_copies(random.Random(6), 40, 3, 60, 0)]
+    sent = {}
+    unit_links = jaccard._unit_links
+
+    def noted(units, full, name):
+        sent[name] = units.distinct().select("rep").collect()
+        return unit_links(units, full, name)
+
+    monkeypatch.setattr(jaccard, "_unit_links", noted)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 4)
+    assert answer(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))) == plain(rows)
+    assert 0 < len(sent["jaccard-best-links"]) <= 2 * 30
+    assert all(r["rep"] < 1000 for r in sent["jaccard-best-links"] + sent["jaccard-rest-links"])
+
+
 def test_odd_rows(spark, odd, empty):
     rows = jaccard.jaccard_components(odd).collect()
     assert len(rows) == odd.count()
