@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.sources.named_files import qualified, remove
+
 _MADE: set[str] = set()
 
 
@@ -40,6 +43,12 @@ def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
 def clear(spark: SparkSession) -> None:
     """Delete all places given out; tables read from them become unreadable."""
     for made in list(_MADE):
+        local = qualified(spark, made).removeprefix("file://")
+        if local.startswith("/"):  # Hadoop would list a folder's files in the driver
+            if os.path.isdir(local):
+                remove(local)
+            _MADE.discard(made)
+            continue
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(made)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
         _MADE.discard(made)

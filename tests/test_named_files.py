@@ -1,7 +1,10 @@
+import tracemalloc
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.sources import named_files
+from tessera.sources import named_files, scratch
 
 
 def files(folder):
@@ -60,3 +63,52 @@ def test_many_small_files_are_read_by_few_tasks(spark, tmp_path):
     got = named_files.read(spark, str(tmp_path))
     assert got.rdd.getNumPartitions() <= 3 * spark.sparkContext.defaultParallelism
     assert {r["name"]: bytes(r["content"]).decode() for r in got.collect()} == {f"f{i}": str(i) for i in range(1500)}
+
+
+def test_a_commit_holds_few_names(tmp_path, monkeypatch):
+    monkeypatch.setattr(named_files, "HELD", 500, raising=False)
+    (tmp_path / "old").write_text("goes")
+    (tmp_path / "0-7").write_text("goes")
+    writer = named_files.NamedFilesWriter(f"file://{tmp_path}", False, True)
+    done = [writer.write((f"{k}-{i}", "x") for i in range(2500)) for k in range(4)]
+    tracemalloc.start()
+    writer.commit(done)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert files(tmp_path) == {f"{k}-{i}": "x" for k in range(4) for i in range(2500)}
+    assert most < 1 << 20
+
+
+def test_names_of_two_tasks_are_found_in_each_part(tmp_path, monkeypatch):
+    monkeypatch.setattr(named_files, "HELD", 4, raising=False)
+    (tmp_path / "stays").write_text("as it was")
+    for both in range(20):
+        writer = named_files.NamedFilesWriter(f"file://{tmp_path}", False, True)
+        done = [writer.write((f"{k}{i}" if i != both else f"é\n{i}", "x") for i in range(20)) for k in "ab"]
+        with pytest.raises(ValueError, match="two tasks"):
+            writer.commit(done)
+        assert files(tmp_path) == {"stays": "as it was"}
+
+
+def test_reading_lists_no_files_in_the_driver(spark, tmp_path):
+    folder = tmp_path / "a b%20c"
+    df = spark.range(300).select(F.concat(F.lit("f"), "id").alias("n"), F.repeat(F.lit("é"), F.col("id").cast("int") * 100).alias("t"))
+    named_files.write(df, str(folder), "n", "t")
+    for name in ("_hidden", "_k=1", ".hidden", "x._COPYING_", "z.gz", "é\n ü"):
+        (folder / name).write_bytes(b"\x00\xff")
+    (folder / "below").mkdir()
+    (folder / "below" / "f1").write_text("not of this folder")
+    got = named_files.read(spark, str(folder))
+    assert got.inputFiles() == []
+    want = {f"f{i}": ("é" * 100 * i).encode() for i in range(1, 300)} | {n: b"\x00\xff" for n in ("_k=1", "z.gz", "é\n ü")}
+    assert {r["name"]: bytes(r["content"]) for r in got.collect()} == want
+
+
+def test_scratch_folders_go_entry_by_entry(spark):
+    made = scratch.path(spark, "a folder")
+    named_files.write(spark.range(50).select(F.col("id").cast("string").alias("n"), F.lit("x").alias("t")), f"{made}/below", "n", "t")
+    scratch.path(spark, "never made")
+    local = named_files.qualified(spark, made).removeprefix("file://")
+    assert len(files(Path(local, "below"))) == 50
+    scratch.clear(spark)
+    assert not Path(local).exists()
